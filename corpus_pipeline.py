@@ -31,7 +31,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each copy that the mix takes, shard by shard, at least as many shards as shuffle partitions."""
     shards = 1 << (partitions(spark) - 1).bit_length()
-    return mixing.mixed(docs, shards).repartition("shard").sortWithinPartitions("shard", "place").select(*docs.columns)
+    return mixing.mixed(docs, shards).repartition("shard").sortWithinPartitions("shard", "place").select("__row.*")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

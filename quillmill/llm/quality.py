@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from quillmill.llm.common import ASCII_SPACE, materialize, table, words_of
 
 MIN_WORDS = 50
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 #: A host is rejected if the shrunk rate, less Z standard deviations, is above.
 HOST_LIMIT, Z = 0.5, 1.645
+BROADCAST_ROWS = 100_000
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -56,7 +58,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("__p", F.sort_array(F.transform(again, lambda e: e["i"])))
         .withColumn("n_repeat_words", covered)
         .withColumn("base_failed", failed)
-        .drop("__text", "__w", "__t", "__s", "__p", "__lines")
+        # a generator, as a filter on a measure must not be pushed below, into the lambdas
+        .select(*docs.columns, F.inline(F.array(F.struct(*MEASURES))))
     )
 
 
@@ -65,14 +68,16 @@ def rule_failed() -> Column:
     return F.col("base_failed") | (10 * F.col("n_symbols") > F.col("n_words")) | (20 * F.col("n_dup_lines") > F.col("n_words"))
 
 
-def host_verdicts(judged: DataFrame, host: str = "source", failed: str = "failed") -> DataFrame:
+def host_verdicts(judged: DataFrame, host: str = "source", failed: str = "failed", rows: str | None = None) -> DataFrame:
     """host, n_docs, n_failed, rate (shrunk), rejected: one row for each host.
 
     The beta prior is fitted by moments over the hosts: its mean is the rate of
     all rows, its strength follows from the variance between hosts beyond the
-    binomial one, held to 1..10000. The driver sees one row of sums.
+    binomial one, held to 1..10000. The driver sees one row of sums. ``rows``
+    names a column of row counts, where the rows are summed already.
     """
-    hosts = judged.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n_docs"), F.sum(F.col(failed).cast("bigint")).alias("n_failed"))
+    many = F.col(rows) if rows else F.lit(1)
+    hosts = judged.groupBy(F.col(host).alias("host")).agg(F.sum(many).cast("bigint").alias("n_docs"), F.sum(F.when(F.col(failed), many).otherwise(0)).cast("bigint").alias("n_failed"))
     n, f = F.col("n_docs").cast("double"), F.col("n_failed").cast("double")
     s = hosts.agg(F.sum(n).alias("n"), F.sum(f).alias("f"), F.count("*").alias("h"), F.sum(f * f / n).alias("q")).first()
     total, bad = s["n"] or 1.0, s["f"] or 0.0
@@ -95,13 +100,19 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all its columns, that the rules and their host's verdict keep."""
-    held = docs.withColumn("__source", F.col("source"))
+    """The rows of ``docs``, all its columns, that the rules and their host's verdict keep.
+
+    The texts are measured twice, for the hosts and for the rows, and neither
+    shuffled nor written; rejected hosts are broadcast while few.
+    """
     names = docs.columns
-    own = measured(held).withColumn("failed", rule_failed()).select(*names, F.col("__source"), "base_failed", "failed")
-    judged = materialize(own, "quality")
-    rejected = host_verdicts(judged, "__source").where("rejected").select(F.col("host").alias("__host"))
-    return judged.where("not base_failed").join(rejected, F.col("__source").eqNullSafe(F.col("__host")), "left_anti").select(*names)
+    hosts = measured(docs.select("source", "text")).select("source", rule_failed().alias("failed")).groupBy("source", "failed").agg(F.count("*").alias("n"))
+    hosts = materialize(hosts, "hosts")
+    rejected = materialize(host_verdicts(hosts, rows="n").where("rejected").select(F.col("host").alias("__host")), "rejected")
+    rejected = F.broadcast(rejected) if rejected.count() <= BROADCAST_ROWS else rejected
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"), F.col("source").alias("__source"), F.col("text").alias("__own"))
+    own = measured(packed, "__own").where("not base_failed")
+    return own.join(rejected, F.col("__source").eqNullSafe(F.col("__host")), "left_anti").select("__row.*")
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -235,7 +235,12 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group, with all columns of ``docs``: of the smallest doc_id, any one of rows that repeat it with the same fingerprint."""
+    """One row of each group, with all columns of ``docs``: of the smallest doc_id, any one of rows that repeat it with the same fingerprint.
+
+    Fingerprints are made twice, for the groups and for the rows, so the texts
+    are shuffled once and not written.
+    """
+    kept = named(materialize(fingerprints(docs), "prints")).select(*_key(F.col("keeper.doc_id"), F.col("keeper.fp"))).distinct()
     key = docs.withColumns({"__id": F.col("doc_id").cast("bigint"), "__text": F.col("text").cast("string")})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -243,10 +248,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
             pdf["__fp"] = np.fromiter(map(fingerprint, pdf.pop("__text")), dtype=np.uint64, count=len(pdf)).view(np.int64)
             yield pdf.astype({"__id": "Int64"})
 
-    held = materialize(key.mapInPandas(add, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key.drop("__text").schema) + ", `__fp` bigint"), "printed")
-    kept = named(held.select(F.col("__id").alias("doc_id"), F.col("__fp").alias("fp"))).select(F.col("keeper.doc_id").alias("__keep_id"), F.col("keeper.fp").alias("__keep_fp")).distinct()
-    same = F.col("__id").eqNullSafe(F.col("__keep_id")) & (F.col("__fp") == F.col("__keep_fp"))
-    return held.join(kept, same, "left_semi").dropDuplicates(["__id", "__fp"]).select(*docs.columns)
+    own = key.mapInPandas(add, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key.drop("__text").schema) + ", `__fp` bigint")
+    own = own.select(*docs.columns, *_key(F.col("__id"), F.col("__fp")))
+    return own.join(kept, KEY, "left_semi").dropDuplicates(KEY).select(*docs.columns)
+
+
+KEY = ["__k_id", "__k_none", "__k_fp"]
+
+
+def _key(doc_id, fp) -> list:
+    """A row's id and fingerprint without nulls, so that join and dedup deal rows alike."""
+    return [c.alias(n) for c, n in zip((F.coalesce(doc_id, F.lit(0)), doc_id.isNull(), fp), KEY, strict=True)]
 
 
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
