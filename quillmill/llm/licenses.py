@@ -2,9 +2,9 @@
 
 Words are runs of digits, ASCII letters (lower-cased) and non-ASCII characters.
 The templates' words are posted as word to places in each template. A document
-that holds the rarest word of some mandatory phrase is looked up: its ``RARE``
-licence words of highest inverse document frequency (counted over all documents)
-are found in it, and each of their places votes, for each posting, for the
+that holds the rarest word of some mandatory phrase is looked up: of each template's
+words in it, the ``RARE`` of highest inverse document frequency (counted over all
+documents) are taken, and each of their places votes, for each posting, for the
 relative position at which the template would have to start. A template matches
 if the fullest relative position gathers at least ``SHARE`` of the postings of
 those words and all its mandatory phrases stand in the document.
@@ -106,7 +106,7 @@ def _due(post: Column) -> Column:
 def _votes(post: Column) -> Column:
     """Relative positions: place in the document less place in the template."""
     none = F.array().cast("array<int>")
-    return F.flatten(F.transform("__hits", lambda h: F.transform(F.coalesce(F.try_element_at(post, h["w"]), none), lambda p: h["i"] - p)))
+    return F.flatten(F.transform("__hits", lambda h: F.transform(F.when(F.array_contains("__own", h["w"]), F.coalesce(F.try_element_at(post, h["w"]), none)).otherwise(none), lambda p: h["i"] - p)))
 
 
 def scanned(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
@@ -115,14 +115,12 @@ def scanned(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     idf = inverse_frequency(words, vocab)
     rarest = lambda phrase: max(phrase.split(), key=lambda w: (idf[w], w))
     keys = sorted({rarest(p) for _, _, must in templates for p in must} | {rarest(p) for p, _ in BASE})
-    weight = F.create_map(*[F.lit(x) for w in vocab for x in (w, idf[w])])
-    rank = lambda w: F.struct((-F.element_at(weight, w)).alias("idf"), w.alias("w"))
     looked = F.col("__looked")
     no_ints = F.array().cast("array<int>")
     out = (
-        words.withColumn("__looked", F.arrays_overlap("__w", _strings(keys)))
-        .withColumn("__own", F.when(looked, F.slice(F.sort_array(F.transform(F.array_intersect("__w", _strings(vocab)), rank)), 1, RARE)["w"]))
-        .withColumn("__hits", F.when(looked, F.filter(F.transform("__w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains("__own", h["w"]))))
+        words.withColumns({"n_words": F.size("__w").cast("bigint"), "__looked": F.arrays_overlap("__w", _strings(keys))})
+        .withColumn("__w", F.when(F.col("__looked"), F.col("__w")))  # the others' words are done with
+        .withColumn("__hits", F.when(looked, F.filter(F.transform("__w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains(_strings(vocab), h["w"]))))
         .withColumn("__norm", F.when(looked, F.concat(F.lit(" "), F.array_join("__w", " "), F.lit(" "))))
         .withColumns({f"__b{k}": F.when(looked, _starts(p)).otherwise(no_ints) for k, (p, _) in enumerate(BASE)})
     )
@@ -131,18 +129,20 @@ def scanned(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
         for i, w in enumerate(text.split()):
             places.setdefault(w, []).append(i)
         post = F.create_map(*[x for w, p in places.items() for x in (F.lit(w), _ints(p))])
+        order = sorted(places, key=lambda w: (-idf[w], w))
+        out = out.withColumn("__own", F.when(looked, F.slice(F.array_intersect(_strings(order), "__w"), 1, RARE)))
         due, votes = _due(post), _votes(post)
         verified = F.lit(True)
         for p in must:
             verified = verified & F.col("__norm").contains(f" {p} ")
-        out = out.withColumn(f"__s{t}", F.when(looked & verified, _fullest(votes) / due).otherwise(0.0))
+        out = out.withColumn(f"__s{t}", F.when(looked & verified, F.coalesce(F.try_divide(_fullest(votes), due), F.lit(0.0))).otherwise(0.0)).drop("__own")
     starts = F.concat(*(F.col(f"__b{k}") for k in range(len(BASE))))
     base = [F.when(F.size(f"__b{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(BASE)]
     own = [F.when(F.col(f"__s{t}") >= SHARE, F.lit(label)) for t, (label, _, _) in enumerate(templates)]
     joined = lambda some: F.array_join(F.sort_array(F.array_distinct(F.array_compact(F.array(*some)))), ",")
     return out.select(
         "doc_id",
-        F.size("__w").cast("bigint").alias("n_words"),
+        "n_words",
         F.size(starts).cast("bigint").alias("n_base"),
         F.array_min(starts).cast("bigint").alias("first_word"),
         F.array_max(starts).cast("bigint").alias("last_word"),
