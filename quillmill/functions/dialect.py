@@ -58,6 +58,11 @@ def group_of(c: Column, pattern: str, group: int = 1, flags: str = "") -> Column
     return F.when(has(c, pattern, flags), F.regexp_extract(c, java(pattern, flags), group))
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def last(items: Column) -> Column:
     """The last element; null of an empty array."""
     return F.try_element_at(items, F.lit(-1))

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillmill.functions import rules as R
-from quillmill.functions.dialect import findall, group_of, has, java, nfkc, replaced, strip, sub
+from quillmill.functions.dialect import findall, group_of, has, java, let, nfkc, replaced, strip, sub
 
 NEWLINES = (("\r\n", "\n"), ("\r", "\n"))
 
@@ -156,10 +156,18 @@ def _any_of(words: tuple[str, ...]) -> str:
 
 def ablated(c: Column) -> Column:
     """C4, phrases deleted in order, code-like lines and hint lines dropped, left fragments dropped."""
-    c = without_blocks(c)
-    for p in R.PHRASES:
-        c = sub(c, p, "", "i")
-    code = "|".join(f"(?:{p})" for p in ("```", *R.CODE_LINES))
+
+
+    def without_phrases(x: Column) -> Column:
+        out = x
+        for p in R.PHRASES:
+            out = sub(out, p, "", "i")
+        # every phrase holds one of these, so most texts skip all 22 passes
+        return F.when(x.rlike("(?i)python|运行上述代码|运行以上代码"), out).otherwise(x)
+
+    bounded = "|".join(p.removeprefix(r"\b") for p in R.CODE_LINES if p.startswith(r"\b"))
+    code = "|".join([rf"\b(?:{bounded})", *(p for p in ("```", *R.CODE_LINES) if not p.startswith(r"\b"))])
+    c = let(without_blocks(c), without_phrases)
     c = normalize_chat(_kept_lines(c, lambda x: F.lower(x).rlike(_any_of(R.LINE_HINTS)) | x.rlike(java(code))))
     return normalize_chat(_kept_lines(c, lambda x: F.lower(x).rlike(_any_of(R.FRAGMENTS))))
 
