@@ -23,7 +23,8 @@ inside documents; strings are judged on the input.
 
 Strings of an anchor with over ``HOT`` places are sent one by one, by their own
 hash, after equal ones of a batch have been settled, so no common passage ends
-in one task. The texts are shuffled once, into a table bucketed by row; all later
+in one task. Anchors that a sample of rows shows to be hot aren't brought
+together to be counted either. The texts are shuffled once, into a table bucketed by row; all later
 steps read it beside small tables dealt the same way.
 
 Null text counts as empty. A null doc_id comes after all others; rows that
@@ -47,6 +48,8 @@ from quillmill.llm.common import materialize, partitions, shared_dir, table
 LENGTH, EVERY, TRIGGER, ANCHOR = 100, 512, 16, 32
 REACH = LENGTH - ANCHOR + 1
 HOT = 4096
+#: A sample of rows, one in SAMPLE, shows which anchors are hot ahead of counting; at most HEAVY of them. It routes work and decides nothing.
+SAMPLE, HEAVY = 32, 65_536
 SLICE = 1 << 19
 PLACE_BITS = np.uint64(20)
 _rng = np.random.default_rng(7)
@@ -189,11 +192,11 @@ def _inside(first: np.ndarray, last: np.ndarray, runs: np.ndarray) -> tuple[np.n
     return which, np.maximum(first[which], begin[run]), np.minimum(last[which], end[run])
 
 
-ANCHORED = pa.schema([("hash", pa.int64()), ("rid", pa.int64()), ("place", pa.int64())])
+ANCHORED = pa.schema([("hash", pa.int64()), ("rid", pa.int64()), ("place", pa.int64()), ("heavy", pa.bool_())])
 
 
-def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors of the strings that start in dictionary phrases."""
+def _anchored(batches: Iterator[pa.RecordBatch], heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Anchors of the strings that start in dictionary phrases; whether each is among ``heavy`` ones."""
     for batch in batches:
         hashes, rids, places = [], [], []
         for r, raw, runs in zip(batch.column("rid").to_pylist(), _texts(batch), _lists(batch, "runs"), strict=True):
@@ -206,7 +209,8 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             places.append(at[0])
             rids.append(np.full(len(at[0]), r))
         if hashes:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(rids).astype(np.int64)), pa.array(np.concatenate(places).astype(np.int64))], schema=ANCHORED)
+            found = np.concatenate(hashes).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.concatenate(rids).astype(np.int64)), pa.array(np.concatenate(places).astype(np.int64)), pa.array(np.isin(found, heavy))], schema=ANCHORED)
 
 
 SENT = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc", pa.int64()), ("rid", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())])
@@ -348,9 +352,16 @@ def removed(docs: DataFrame, digest: bool = False) -> DataFrame:
     ranked = parsed.where("not known").withColumn("first", F.row_number().over(order) == 1)
     ranked = materialize(ranked.select("rid", "start", "n", "first"), "dictionary")
     runs = ranked.where("first").groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    found = beside(runs).select("rid", "text", "runs").mapInArrow(_anchored, "hash long, rid long, place long")
-    places = F.count("*").over(Window.partitionBy("hash"))
-    again = found.withColumn("places", places).where("places > 1").select("rid", "place", (F.col("places") > HOT).cast("bigint").alias("hot"))
+    schema = "hash long, rid long, place long, heavy boolean"
+    none = np.array([], dtype=np.int64)
+    sampled = F.pmod(F.xxhash64("rid"), F.lit(SAMPLE)) == 0
+    sample = beside(runs.where(sampled), long.where(sampled)).select("rid", "text", "runs").mapInArrow(lambda batches: _anchored(batches, none), schema)
+    common = sample.groupBy("hash").count().where(F.col("count") > HOT // SAMPLE).orderBy(F.desc("count"), "hash").limit(HEAVY)
+    heavy = docs.sparkSession.sparkContext.broadcast(np.array([r[0] for r in common.collect()], dtype=np.int64))
+    found = beside(runs).select("rid", "text", "runs").mapInArrow(lambda batches: _anchored(batches, heavy.value), schema)
+    # heavy anchors are known to repeat and need not meet to be counted
+    places = F.count("*").over(Window.partitionBy("hash", F.when(F.col("heavy"), F.col("rid")).otherwise(0)))
+    again = found.withColumn("places", places).where("heavy or places > 1").select("rid", "place", (F.col("heavy") | (F.col("places") > HOT)).cast("bigint").alias("hot"))
     again = materialize(again.groupBy("rid").agg(F.collect_list(F.struct("place", "hot")).alias("again")), "anchors")
     sent = beside(again.join(runs, "rid")).select("doc", "rid", "text", "runs", "again").mapInArrow(_sent, "k1 long, k2 long, doc long, rid long, start long, n long, bytes binary")
     settled = sent.repartition(n, "k1").sortWithinPartitions("k1").mapInArrow(_settle, "rid long, start long, n long")
