@@ -154,3 +154,33 @@ def scanned(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
 
 def op8_license_scans(spark, sf_dir: str) -> DataFrame:
     return scanned(table(spark, sf_dir, "documents"))
+
+
+def _sql(templates=TEMPLATES) -> str:
+    """The same in DuckDB's SQL: places and votes as rows."""
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    posts = ", ".join(f"({t}, {q(w)}, {i})" for t, (_, text, _) in enumerate(templates) for i, w in enumerate(text.split()))
+    labels = ", ".join(f"({t}, {q(label)})" for t, (label, _, _) in enumerate(templates))
+    must = ", ".join(f"({t}, {q(f' {p} ')})" for t, (_, _, phrases) in enumerate(templates) for p in phrases)
+    base = ", ".join(f"({q(label)}, [{', '.join(map(q, p.split()))}])" for p, label in BASE)
+    return rf"""
+WITH post(t, w, p) AS (VALUES {posts}), label(t, label) AS (VALUES {labels}), must(t, phrase) AS (VALUES {must}), base(label, phrase) AS (VALUES {base}),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') AS ws FROM documents),
+v AS (SELECT r, unnest(list_distinct(ws)) AS w FROM d),
+df AS (SELECT w, count(*) AS n FROM v WHERE w IN (SELECT w FROM post) GROUP BY w),
+ok AS (SELECT r, t FROM d, must GROUP BY r, t HAVING bool_and(contains(' ' || array_to_string(ws, ' ') || ' ', phrase))),
+own AS (SELECT r, t, w FROM (SELECT ok.r, ok.t, v.w, row_number() OVER (PARTITION BY ok.r, ok.t ORDER BY df.n, v.w) AS k FROM ok JOIN v USING (r) JOIN (SELECT DISTINCT t, w FROM post) x ON x.t = ok.t AND x.w = v.w JOIN df ON df.w = v.w) WHERE k <= {RARE}),
+due AS (SELECT r, t, count(*) AS due FROM own JOIN post USING (t, w) GROUP BY r, t),
+place AS (SELECT r, i, ws[i] AS w FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d WHERE r IN (SELECT r FROM ok))),
+vote AS (SELECT own.r, own.t, max(n) AS n FROM (SELECT own.r, own.t, place.i - post.p AS spot, count(*) AS n FROM own JOIN post USING (t, w) JOIN place ON place.r = own.r AND place.w = own.w GROUP BY ALL) own GROUP BY own.r, own.t),
+score AS (SELECT r, t, vote.n / due.due AS score FROM vote JOIN due USING (r, t)),
+b AS (SELECT r, label, i - 1 AS spot FROM (SELECT r, ws, label, phrase, unnest(range(1, len(ws) + 2 - len(phrase))) AS i FROM d, base WHERE list_has_any(ws, phrase[1:1])) WHERE ws[i : i + len(phrase) - 1] = phrase),
+told AS (SELECT r, label FROM b UNION SELECT r, label FROM score JOIN label USING (t) WHERE score >= {SHARE})
+SELECT doc_id, len(ws)::BIGINT AS n_words, (SELECT count(*) FROM b WHERE b.r = d.r) AS n_base, (SELECT min(spot) FROM b WHERE b.r = d.r) AS first_word, (SELECT max(spot) FROM b WHERE b.r = d.r) AS last_word,
+  coalesce((SELECT string_agg(DISTINCT label, ',' ORDER BY label) FROM b WHERE b.r = d.r), '') AS base_labels, coalesce((SELECT string_agg(DISTINCT label, ',' ORDER BY label) FROM told WHERE told.r = d.r), '') AS labels,
+  coalesce((SELECT max(score) FROM score WHERE score.r = d.r), 0.0) AS score
+FROM d
+"""
+
+
+OP8_SQL = _sql()
