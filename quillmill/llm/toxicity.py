@@ -89,7 +89,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, share: f
     logistic regression: Newton steps, each solved by conjugate gradients."""
     x, y, m = Rows(rows), labels.astype(float), len(ratios)
     scale = ratios / np.sqrt(max(1e-9, float(np.mean(x.times(ratios**2)))))
-    w, b, n = np.zeros(m), 0.0, len(y)
+    w, b, n, start = np.zeros(m), 0.0, len(y), None
     for _ in range(12):
         p = 1 / (1 + np.exp(-np.clip(x.times(scale * w) + b, -40, 40)))
         gw, gb = scale * x.gathered((p - y) / n, m) + RIDGE * w, float((p - y).sum() / n)
@@ -97,7 +97,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, share: f
         dw, db, rw, rb = np.zeros(m), 0.0, -gw, -gb
         sw, sb, rr = rw.copy(), rb, float(rw @ rw + rb * rb)
         first = rr
-        if rr < 1e-14:
+        start = rr if start is None else start
+        if rr < 1e-8 * start:
             break
         for _ in range(20):
             v = h * (x.times(scale * sw) + sb)
