@@ -16,8 +16,9 @@ key, chains of two and three segments are checked before the full distance.
 A key's members are searched breadth-first: each member is compared with those
 not yet reached, so the links found join the key's components without listing
 all pairs of a group. A key with over ``MEMBERS`` members is refined first: the
-bits outside it are cut into 4 parts, of which one must be equal, and so on; no
-link is lost and no task holds more than that.
+bits outside it are cut into 4 parts, of which one must be equal, and so on up to
+``LEVELS`` times, after which a key leaves under 20 bits open, so it has a bounded
+number of members; no link is lost.
 
 Components join by minimum-label hooking over tables in the shared folder. Null
 text counts as empty. A null doc_id takes no part in choosing component_id; a
@@ -38,7 +39,7 @@ from quillmill.llm.common import materialize, partitions, table
 
 BUDGET, SEGMENTS, WIDTH, SHINGLE, SEED = 3, 4, 16, 3, 42
 MEMBERS = 8192
-PARTS = 4
+PARTS, LEVELS = 4, 3
 
 
 def fingerprint(text: str | None) -> int:
@@ -171,7 +172,7 @@ def links(distinct: DataFrame, members: int = MEMBERS) -> DataFrame:
     while True:
         sizes = rows.groupBy("kind", "key").count()
         crowded = materialize(sizes.where(F.col("count") > members).select("kind", "key"), "crowded")
-        if level > 2 or crowded.isEmpty():
+        if level == LEVELS or crowded.isEmpty():
             parts.append(rows)
             break
         held = rows.join(F.broadcast(crowded) if crowded.count() <= 10_000 else crowded, ["kind", "key"], "left_semi")
