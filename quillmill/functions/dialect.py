@@ -68,9 +68,13 @@ def last(items: Column) -> Column:
     return F.try_element_at(items, F.lit(-1))
 
 
+#: The same set as characters.
+SPACE_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
 def strip(c: Column) -> Column:
     """str.strip: white space in Unicode's sense at both ends."""
-    return F.regexp_replace(c, rf"^[{SPACES}]+|[{SPACES}]+\z", "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def replaced(c: Column, *pairs: tuple[str, str]) -> Column:

@@ -7,7 +7,8 @@ Arrow function (``dialect.nfkc``).
 
 from __future__ import annotations
 
-import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -150,8 +151,9 @@ def _kept_lines(c: Column, bad) -> Column:
     return F.array_join(F.transform(kept, lambda x: F.when(x["bare"] == "", "").otherwise(x["line"])), "\n")
 
 
-def _any_of(words: tuple[str, ...]) -> str:
-    return "|".join(re.escape(w) for w in words)
+def _holds(c: Column, words: tuple[str, ...]) -> Column:
+    """Whether the lower-cased text holds any of the words."""
+    return let(F.lower(c), lambda low: reduce(or_, (low.contains(w) for w in words)))
 
 
 def ablated(c: Column) -> Column:
@@ -168,8 +170,8 @@ def ablated(c: Column) -> Column:
     bounded = "|".join(p.removeprefix(r"\b") for p in R.CODE_LINES if p.startswith(r"\b"))
     code = "|".join([rf"\b(?:{bounded})", *(p for p in ("```", *R.CODE_LINES) if not p.startswith(r"\b"))])
     c = let(without_blocks(c), without_phrases)
-    c = normalize_chat(_kept_lines(c, lambda x: F.lower(x).rlike(_any_of(R.LINE_HINTS)) | x.rlike(java(code))))
-    return normalize_chat(_kept_lines(c, lambda x: F.lower(x).rlike(_any_of(R.FRAGMENTS))))
+    c = normalize_chat(_kept_lines(c, lambda x: _holds(x, R.LINE_HINTS) | x.rlike(java(code))))
+    return normalize_chat(_kept_lines(c, lambda x: _holds(x, R.FRAGMENTS)))
 
 
 def first_code(c: Column) -> Column:
