@@ -1,6 +1,6 @@
 """Toxicity by a character n-gram linear classifier with naive Bayes scaling.
 
-Features are the n-grams of 3 to 6 bytes of the lower-cased text (white-space
+Features are the n-grams of 3 to 8 characters of the lower-cased text (white-space
 runs count as one space, the text stands between spaces), present or not, hashed
 to ``BUCKETS``. Each is scaled by its naive Bayes log-count ratio, the log of
 its smoothed share of the toxic texts' features over that of the others', and a
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from quillmill.llm.common import materialize, table
 
-ORDERS, BUCKETS = (3, 4, 5, 6), 1 << 20
-PER_CLASS, MIN_TEXTS, SMOOTHING, LEAST_RATIO, RIDGE = 3000, 4, 1.0, 0.4, 5e-6
+ORDERS, BUCKETS, BASE = (3, 4, 5, 6, 7, 8), 1 << 20, np.uint64(0x100000001B3)
+PER_CLASS, MIN_TEXTS, SMOOTHING, LEAST_RATIO, RIDGE = 3000, 4, 1.0, 0.4, 1e-6
 SLICE = 1 << 16
 
 
@@ -50,14 +50,14 @@ def distinct(found: np.ndarray) -> np.ndarray:
 
 def features(text: str | None) -> np.ndarray:
     """The distinct buckets of the text's n-grams."""
-    raw = b" " + b" ".join((text or "").lower().encode().split()) + b" "
-    own = np.frombuffer(raw, dtype=np.uint8).astype(np.uint64)
+    words = " " + " ".join((text or "").lower().split()) + " "
+    own = np.frombuffer(words.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     found, top = [], max(ORDERS) - 1
     for at in range(0, len(own), SLICE):
         part = own[at : at + SLICE + top]
         key = part
         for n in range(2, top + 2):
-            key = (key[:-1] << np.uint64(8)) | part[n - 1 :]
+            key = key[:-1] * BASE + part[n - 1 :]
             if n in ORDERS:
                 mixed = (key[:SLICE] + np.uint64(n << 56)) * np.uint64(0x9E3779B97F4A7C15)
                 found.append((mixed >> np.uint64(44)).astype(np.int32))
