@@ -34,6 +34,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from quillmill.llm.common import materialize, partitions, table
 
@@ -60,6 +61,16 @@ def _prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": got.view(np.int64)})
 
 
+@F.pandas_udf(LongType())
+def _print_of(texts: pd.Series) -> pd.Series:
+    """The fingerprint beside its row: only the text goes to Python."""
+    return pd.Series(np.fromiter(map(fingerprint, texts), dtype=np.uint64, count=len(texts)).view(np.int64))
+
+
+# else a null check inferred from the join would be pushed below and make each fingerprint once more
+_print_of = _print_of.asNondeterministic()
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) for each row."""
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(_prints, "doc_id bigint, fp bigint")
@@ -242,15 +253,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     are shuffled once and not written.
     """
     kept = named(materialize(fingerprints(docs), "prints")).select(*_key(F.col("keeper.doc_id"), F.col("keeper.fp"))).distinct()
-    key = docs.withColumns({"__id": F.col("doc_id").cast("bigint"), "__text": F.col("text").cast("string")})
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["__fp"] = np.fromiter(map(fingerprint, pdf.pop("__text")), dtype=np.uint64, count=len(pdf)).view(np.int64)
-            yield pdf.astype({"__id": "Int64"})
-
-    own = key.mapInPandas(add, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key.drop("__text").schema) + ", `__fp` bigint")
-    own = own.select(*docs.columns, *_key(F.col("__id"), F.col("__fp")))
+    own = docs.select(*docs.columns, *_key(F.col("doc_id").cast("bigint"), _print_of(F.col("text").cast("string"))))
     return own.join(kept, KEY, "left_semi").dropDuplicates(KEY).select(*docs.columns)
 
 
