@@ -26,8 +26,8 @@ VALUE = f"""CASE
   WHEN role = 'assistant' AND conv_id % 4 = 2 THEN concat(text, {NL}, '### Python代码验证：', {NL}, 'print(3)', {NL}, '输出结果为 3', {NL}, '# title', {NL}, '所以 7', chr(9), chr(9), 'end')
   WHEN role = 'assistant' AND conv_id % 19 = 6 THEN concat({F3}, 'python', {NL}, text, {F3})
   ELSE text END"""
-#: conv_id, turn, role, text: most conversations cut to three or five turns
-TURNS = f"SELECT conv_id, turn, {ROLE} AS role, {VALUE} AS text FROM conversations WHERE conv_id % 7 = 0 OR turn < 3 + 2 * (conv_id % 2)"
+#: conv_id, turn, role, text: every turn of every conversation
+TURNS = f"SELECT conv_id, turn, {ROLE} AS role, {VALUE} AS text FROM conversations"
 
 #: doc_id, text with one residue snippet for most rows
 RESIDUE = f"""SELECT doc_id, concat(text, CASE doc_id % 16

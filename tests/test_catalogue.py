@@ -6,6 +6,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quillmill.plans import catalogue
 
@@ -29,3 +30,14 @@ def test_query(spark, duck, name):
     order = [wanted.columns.index(c) for c in df.columns]
     key = lambda rows: sorted(map(repr, rows))
     assert key(tuple(r) for r in df.collect()) == key(tuple(r[i] for i in order) for r in wanted.fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_every_turn_is_read(spark):
+    given = spark.read.parquet(f"{SF}/conversations.parquet")
+    wanted = sorted(map(tuple, given.select("conv_id", "turn").collect()))
+    for name in ("exec_result_extract", "code_block_removal", "ablated_output"):
+        assert sorted(map(tuple, catalogue.QUERIES[name](spark, SF).select("conv_id", "turn").collect())) == wanted
+    sizes = given.groupBy("conv_id").count()
+    kept = catalogue._parsed(spark, SF).join(sizes, sizes["conv_id"] == F.col("pos")).where("reason IS NULL")
+    assert {r["count"] - r["turns"] for r in kept.collect()} == {0}
