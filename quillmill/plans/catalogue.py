@@ -450,8 +450,8 @@ def limit_items(spark, sf_dir):
     return scoring.limited(spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("pos"), "text"), 25)
 
 
-@query(f"SELECT doc_id, {D.strip('lang')} || chr(10) || {D.strip("substring(text, 1, 40)")} AS question, {D.q(R.NUMBER_PROMPT)} || substring(text, 1, 40) AS number_prompt, {D.q(R.BOXED_PROMPT)} || substring(text, 1, 40) AS boxed_prompt, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END, ''), nullif(source, ''), '') AS told FROM documents")
+@query(f"SELECT doc_id, {D.strip('lang')} || chr(10) || {D.strip('text')} AS question, {D.q(R.NUMBER_PROMPT)} || text AS number_prompt, {D.q(R.BOXED_PROMPT)} || text AS boxed_prompt, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END, ''), nullif(source, ''), '') AS told FROM documents")
 def prompts_and_fields(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", F.substring("text", 1, 40).alias("t"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", F.col("text").alias("t"))
     d = d.withColumn("first", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("lang")))
     return d.select("doc_id", scoring.body_question("lang", "t").alias("question"), scoring.number_prompt(F.col("t")).alias("number_prompt"), scoring.boxed_prompt(F.col("t")).alias("boxed_prompt"), scoring.first_told("first", "source").alias("told"))

@@ -39,14 +39,14 @@ RESIDUE = f"""SELECT doc_id, concat(text, CASE doc_id % 16
 
 #: doc_id, question texts for style
 QUESTIONS = f"""SELECT doc_id, concat(CASE doc_id % 8 WHEN 0 THEN '题目：一共多少' WHEN 1 THEN 'How many more than ' WHEN 2 THEN '题目: 5 KG ' WHEN 3 THEN '求导数 '
-  WHEN 4 THEN concat({BS}, 'frac ') WHEN 5 THEN 'dx' WHEN 6 THEN '圆(' ELSE '' END, CASE WHEN doc_id % 3 = 0 THEN '' ELSE substring(text, 1, 60) END) AS question, text FROM documents"""
+  WHEN 4 THEN concat({BS}, 'frac ') WHEN 5 THEN 'dx' WHEN 6 THEN '圆(' ELSE '' END, text) AS question, text FROM documents"""
 
 #: pos, instruction, input, output of code-bearing rows
 CODE_ROWS = f"""SELECT doc_id AS pos,
-  CASE WHEN doc_id % 7 = 0 THEN concat('你是一个数学解题大师，请', {NL}, '题目: ', substring(text, 1, 30)) WHEN doc_id % 7 = 6 THEN '' ELSE 'solve' END AS instruction,
-  CASE WHEN doc_id % 7 = 0 OR doc_id % 14 = 6 THEN '' WHEN doc_id % 7 = 1 THEN concat('题目: ', substring(text, 1, 40)) ELSE substring(text, 1, 20) END AS input,
+  CASE WHEN doc_id % 7 = 0 THEN concat('你是一个数学解题大师，请', {NL}, '题目: ', text) WHEN doc_id % 7 = 6 THEN '' ELSE 'solve' END AS instruction,
+  CASE WHEN doc_id % 7 = 0 OR doc_id % 14 = 6 THEN '' WHEN doc_id % 7 = 1 THEN concat('题目: ', text) ELSE text END AS input,
   CASE WHEN doc_id % 23 = 11 THEN ' ' ELSE concat(
-    CASE WHEN doc_id % 3 = 0 THEN 'We think. ' ELSE substring(text, 1, 200) END,
+    CASE WHEN doc_id % 3 = 0 THEN 'We think. ' ELSE '' END, text,
     CASE doc_id % 5 WHEN 0 THEN concat({NL}, '### Python代码验证:', {NL}) WHEN 1 THEN concat({NL}, '生成的Python代码如下:', {NL}) WHEN 2 THEN concat({NL}, '我们可以使用Python代码来看', {NL}) ELSE {NL} END,
     CASE WHEN doc_id % 11 = 4 THEN '' WHEN doc_id % 11 = 5 THEN concat({F3}, 'python', {NL}, ' ', {F3}) WHEN doc_id % 11 = 6 THEN concat({F3}, 'python', {NL}, repeat('x = 1 # long ', 200), {F3})
       ELSE concat({F3}, 'Python', {NL}, 'print(', cast(doc_id % 9 AS STRING), ')', {NL}, {F3}) END,
@@ -55,7 +55,7 @@ CODE_ROWS = f"""SELECT doc_id AS pos,
       WHEN 4 THEN concat({NL}, 'so 15.0 kg') ELSE '' END) END AS output FROM documents"""
 
 #: pos, question, answer_raw, gold
-ANSWERS = f"""SELECT doc_id AS pos, substring(text, 1, 50) AS question, concat(substring(text, 1, 100), {NL}, CASE doc_id % 12
+ANSWERS = f"""SELECT doc_id AS pos, text AS question, concat(text, {NL}, CASE doc_id % 12
   WHEN 0 THEN concat({BS}, 'boxed', '{{3}} and ', {BS}, 'boxed', '{{4}}') WHEN 1 THEN '#### 1,300' WHEN 2 THEN '答案：5-3=2' WHEN 3 THEN 'the answer is 3.5' WHEN 4 THEN 'The final answer is: -12'
   WHEN 5 THEN concat('Final Answer: 18', {NL}, 'bye') WHEN 6 THEN '最终答案为 $7$' WHEN 7 THEN concat({F3}, 'python', {NL}, 'a', {F3}, ' x ', {F3}, {NL}, 'b = 2', {NL}, {F3}, ' 3/4')
   WHEN 8 THEN concat('python', {NL}, 'print(9)', {NL}, '因此 9') WHEN 9 THEN '3/0' WHEN 10 THEN concat({BS}, 'boxed', '{{none}}') ELSE '' END) AS answer_raw,

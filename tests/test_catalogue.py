@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quillmill.plans import catalogue
+from quillmill.plans import catalogue, fixtures
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,3 +41,16 @@ def test_every_turn_is_read(spark):
     sizes = given.groupBy("conv_id").count()
     kept = catalogue._parsed(spark, SF).join(sizes, sizes["conv_id"] == F.col("pos")).where("reason IS NULL")
     assert {r["count"] - r["turns"] for r in kept.collect()} == {0}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_texts_are_whole(spark):
+    texts = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.col("text").alias("whole"))
+    # CODE_ROWS blanks every 23rd output
+    for sql, pos, column, blank in ((fixtures.ANSWERS, "pos", "answer_raw", 0), (fixtures.ANSWERS, "pos", "question", 0), (fixtures.QUESTIONS, "doc_id", "question", 0), (fixtures.CODE_ROWS, "pos", "output", 23)):
+        rows = catalogue._input(spark, SF, "documents", sql).select(F.col(pos).alias("id"), column).join(texts, F.col("id") == F.col("doc_id"))
+        if blank:
+            rows = rows.where(F.col("id") % blank != 11)
+        assert rows.count() > 0 and rows.where(~F.contains(column, "whole")).count() == 0, column
+    rows = catalogue.prompts_and_fields(spark, SF).join(texts, "doc_id")
+    assert rows.where(~F.endswith("number_prompt", "whole")).count() == 0
