@@ -209,29 +209,56 @@ def quotas(units: DataFrame, shards: int = SHARDS) -> DataFrame:
     return leaves.withColumn("first", first)
 
 
+def dealt(held: DataFrame, shards: int) -> DataFrame:
+    """__s, __a, __shards: each taken block's source and place and the shards of its copies, in the order of the copies.
+
+    ``held`` has source, __at and copies of each row. The tree splits the units
+    of all sources among the shards.
+    """
+    units = held.where("copies > 0").groupBy("source", "__at").agg(F.max("copies").alias("n"))
+    units = units.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
+    order = F.row_number().over(Window.partitionBy("source").orderBy(_keyed(F.lit("unit"), "__at", "__copy"), "__at", "__copy")) - 1
+    units = units.withColumn("nth", order)
+    leaves = quotas(units.groupBy("source").agg(F.count("*").alias("units")), shards).where("quota > 0").select(F.col("source").alias("__s"), "shard", "first", "quota")
+    drawn = units.join(leaves, F.col("source").eqNullSafe(F.col("__s")) & (F.col("nth") >= F.col("first")) & (F.col("nth") < F.col("first") + F.col("quota")))
+    blocks = drawn.groupBy(F.col("source").alias("__s"), F.col("__at").alias("__a")).agg(F.sort_array(F.collect_list(F.struct("__copy", "shard"))).alias("got"))
+    return materialize(blocks.select("__s", "__a", F.col("got.shard").alias("__shards")), "units")
+
+
+def _sharded(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Adds __shards to rows of ``taken``: the shard of each copy; none for a row that is not taken."""
+    on = F.col("source").eqNullSafe(F.col("__s")) & (F.col("__at") == F.col("__a"))
+    got = F.slice(F.col("__shards"), F.lit(1), F.col("copies").cast("int"))
+    return rows.join(_small(blocks), on, "left").drop("__s", "__a").withColumn("__shards", F.coalesce(got, F.array().cast("array<int>")))
+
+
+def _place(key, copy) -> Column:
+    """Rows stand in a shard in the order of this hash."""
+    return _keyed(F.lit("place"), key, copy)
+
+
 def mixed(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """__row (a struct of all columns of ``docs``), shard and place, one row for each copy taken; rows stand in a shard in the order of place."""
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
     rows = sized(docs.select(whole, "source", "doc_id", "text")).withColumn("__key", _keyed("source", "doc_id", "text")).drop("text")
     sizes = materialize(rows.drop("__row"), "sizes")
     held = taken(rows, sizes).where("copies > 0").select("__row", "source", "__key", "__at", "copies")
-    copied = held.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
-    units = taken(sizes, sizes).where("copies > 0").groupBy("source", "__at").agg(F.max("copies").alias("n"))
-    units = units.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
-    order = F.row_number().over(Window.partitionBy("source").orderBy(_keyed(F.lit("unit"), "__at", "__copy"), "__at", "__copy")) - 1
-    units = units.withColumn("nth", order)
-    leaves = quotas(units.groupBy("source").agg(F.count("*").alias("units")), shards).where("quota > 0").select(F.col("source").alias("__s"), "shard", "first", "quota")
-    dealt = units.join(leaves, F.col("source").eqNullSafe(F.col("__s")) & (F.col("nth") >= F.col("first")) & (F.col("nth") < F.col("first") + F.col("quota")))
-    dealt = materialize(dealt.select(F.col("source").alias("__s"), F.col("__at").alias("__a"), F.col("__copy").alias("__c"), "shard"), "units")
-    on = F.col("source").eqNullSafe(F.col("__s")) & (F.col("__at") == F.col("__a")) & (F.col("__copy") == F.col("__c"))
-    return copied.join(_small(dealt), on).withColumn("place", _keyed(F.lit("place"), "__key", "__copy")).select("__row", "shard", "place")
+    copied = _sharded(held, dealt(taken(sizes, sizes), shards)).select("__row", "__key", F.posexplode("__shards").alias("__copy", "shard"))
+    return copied.select("__row", "shard", _place("__key", F.col("__copy") + 1).alias("place"))
 
 
-def mixture(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row."""
+def mixture(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """doc_id, size, source_size, target, taken, shards, places for each row.
+
+    ``shards`` has the output shard of each copy of the row and ``places`` its
+    place there, joined by bars; ``taken`` counts the copies dealt.
+    """
     small = docs.select("doc_id", "source", "text").withColumn("__key", _keyed("source", "doc_id", "text"))
-    held = materialize(sized(small).drop("text"), "sizes")
-    return taken(held, held).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    sizes = materialize(sized(small).drop("text"), "sizes")
+    held = materialize(taken(sizes, sizes), "taken")
+    rows = _sharded(held, dealt(held, shards))
+    places = F.transform("__shards", lambda x, i: _place(F.col("__key"), i + 1))
+    return rows.select("doc_id", "size", "source_size", "target", (F.size("__shards") * F.col("size")).alias("taken"), F.array_join("__shards", "|").alias("shards"), F.array_join(places, "|").alias("places"))
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

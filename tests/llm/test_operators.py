@@ -221,6 +221,17 @@ def test_mixture(spark, docs, empty):
     assert mixing.mixed(empty, 4).count() == 0
 
 
+def test_mixture_deals_copies_through_the_tree(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 100)
+    told = Counter()
+    for r in mixing.mixture(docs, 4).collect():
+        shards, places = (r[c].split("|") if r[c] else [] for c in ("shards", "places"))
+        assert len(shards) == len(places) and r["taken"] == len(shards) * r["size"]
+        told.update((r["doc_id"], int(s), int(p)) for s, p in zip(shards, places, strict=True))
+    wanted = mixing.mixed(docs, 4).select("__row.doc_id", "shard", "place").collect()
+    assert told == Counter(map(tuple, wanted)) and {s for _, s, _ in told} == {0, 1, 2, 3}
+
+
 def test_tree_splits_exactly(spark):
     units = spark.createDataFrame([("a", 1000), ("b", 37), ("c", 0), (None, 5), ("d", 333)], "source string, units int")
     got = mixing.quotas(units, 8).collect()
