@@ -4,13 +4,12 @@ Units are words (runs without ASCII white space, lower-cased). A k-mer of
 ``K`` = 5 words is a closed syncmer if the smallest hash among its ``K - S + 1``
 inner s-mers (``S`` = 2 words) stands first or last. Whether a k-mer is chosen
 depends on its own words alone, so equal passages yield equal anchors wherever
-they stand. ``anchors`` returns all of them with their word positions;
-``sketch`` keeps the ``SKETCH`` smallest distinct anchor hashes, from which
-``likeness`` estimates the Jaccard index of two anchor sets (exact while both
-together have at most ``SKETCH`` anchors).
+they stand. ``anchors`` returns all of them with their word positions, whatever
+the length of the text; ``likeness`` is the Jaccard index of two texts' sets of
+anchor hashes.
 
 Texts of 1 to 4 words have one anchor, the whole word sequence; texts without
-words have none, and two such sketches have likeness 1 (one of them: 0).
+words have none, and two such texts have likeness 1 (one of them: 0).
 """
 
 from __future__ import annotations
@@ -18,9 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import partitions, table, words_of
+from quillmill.llm.common import let, partitions, table, words_of
 
-K, S, SKETCH = 5, 2, 64
+K, S = 5, 2
 MASK = (1 << 32) - 1
 
 
@@ -59,24 +58,19 @@ def anchors(df: DataFrame, text: str = "text", out: str = "anchors") -> DataFram
     )
 
 
-def sketch(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds ``out``: the ``SKETCH`` smallest distinct anchor hashes, ascending."""
-    got = F.transform("__m", lambda x, i: F.when(_is_closed(x, i), _hash(x, i)))
-    kept = F.array_except(got, F.array(F.lit(None).cast("bigint")))
-    n = F.size("__h")
-    all_of = F.when(n == 0, F.array().cast("array<bigint>")).when(n < K, F.array(_short())).otherwise(kept)
-    return _with_mers(df, text).withColumn(out, F.slice(F.sort_array(all_of), 1, SKETCH)).drop("__h", "__m")
+def likeness(a: str, b: str) -> Column:
+    """Jaccard index of two columns of anchors by their hashes."""
 
+    def index(x):
+        shared = F.size(F.array_intersect(x["a"], x["b"]))
+        return F.when((F.size(x["a"]) == 0) & (F.size(x["b"]) == 0), F.lit(1.0)).otherwise(shared / (F.size(x["a"]) + F.size(x["b"]) - shared))
 
-def likeness(a: str, b: str) -> Column:
-    """Jaccard estimate of two sketches: shared ones among the smallest of both together."""
-    smallest = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    shared = F.size(F.array_intersect(F.array_intersect(smallest, F.col(a)), F.col(b)))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(shared / F.size(smallest))
+    return let(F.struct(*(F.array_distinct(F.col(c)["hash"]).alias(n) for c, n in ((a, "a"), (b, "b")))), index)
 
 
 def as_text(a: str) -> Column:
-    return F.array_join(F.transform(a, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+    """16 hexadecimal digits for each anchor in the order of the text: position, hash."""
+    return F.lower(F.array_join(F.transform(a, lambda x: F.lpad(F.hex(F.shiftleft(x["pos"].cast("bigint"), 32).bitwiseOR(x["hash"])), 16, "0")), ""))
 
 
 def _bucket(bounds: list[int]) -> Column:
@@ -88,9 +82,8 @@ def _bucket(bounds: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, text_sketch, next_text, next_sketch: each row beside its
-    successor by descending doc_id (nulls last; ties by text), the last row
-    beside the first.
+    """doc_id, text, next_text: each row beside its successor by descending
+    doc_id (nulls last; ties by text), the last row beside the first.
 
     One shuffle: rows go to ranges of doc_id, and the top rows of each range
     also to the range above, where they follow its last row. The driver sees
@@ -111,31 +104,29 @@ def with_next(docs: DataFrame) -> DataFrame:
     dealt = base.withColumn("__at", F.explode(F.when(F.col("doc_id").eqNullSafe(F.get(top, F.col("__b"))), F.array(here, also)).otherwise(F.array(here))))
     dealt = dealt.select("doc_id", "text", "__at.b", "__at.halo").repartition(n, "b")
     w = Window.partitionBy("b").orderBy("halo", F.desc_nulls_last("doc_id"), "text")
-    return (
-        sketch(dealt, "text", "text_sketch")
-        .withColumns({"next_text": F.lead("text").over(w), "next_sketch": F.lead("text_sketch").over(w)})
-        .where("halo = 0")
-        .drop("b", "halo")
-    )
+    return dealt.withColumn("next_text", F.lead("text").over(w)).where("halo = 0").drop("b", "halo")
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
-    """The fingerprints of each text and of its edited text, with likenesses.
+    """All anchors of each text and of its edited text, with likenesses.
 
     The edited text has its last floor(n/2) code points replaced by the first
     as many (or all) of the next document. Rows that repeat are reported each.
     """
     n = F.length("text")
     edited = F.concat(F.expr("left(text, length(text) - length(text) div 2)"), F.expr("left(next_text, cast(length(text) div 2 as int))"))
-    both = sketch(with_next(docs).withColumn("edited", edited), "edited", "edited_sketch")
-    return both.select(
+    found = with_next(docs).withColumn("edited", edited)
+    # the next text's anchors are found anew: beside the texts they would more than double what the window holds
+    for name in ("text", "edited", "next_text"):
+        found = anchors(found, name, f"{name}_anchors")
+    return found.select(
         "doc_id",
         n.cast("bigint").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        as_text("text_sketch").alias("fingerprint"),
-        as_text("edited_sketch").alias("edited_fingerprint"),
-        likeness("text_sketch", "edited_sketch").alias("near_edited"),
-        likeness("text_sketch", "next_sketch").alias("near_next"),
+        as_text("text_anchors").alias("fingerprint"),
+        as_text("edited_anchors").alias("edited_fingerprint"),
+        likeness("text_anchors", "edited_anchors").alias("near_edited"),
+        likeness("text_anchors", "next_text_anchors").alias("near_next"),
     )
 
 

@@ -99,6 +99,39 @@ def test_anchors_are_closed_syncmers_with_places(spark):
     assert len(syncmers.anchors(tie).first()["anchors"]) == 26
 
 
+def plain_anchors(text):
+    def chained(*longs):
+        seed = 42
+        for v in longs:
+            seed = xxhash.xxh64(v.to_bytes(8, "little", signed=True), seed=seed).intdigest()
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    def of_word(w):
+        h = xxhash.xxh64(w.encode(), seed=42).intdigest()
+        return h - (1 << 64) if h >> 63 else h
+
+    h = [of_word(w) for w in text.lower().split()]
+    m = [chained(a, b) for a, b in zip(h, h[1:])]
+    return [(i, chained(m[i], m[i + 2], h[i + 4]) & 0xFFFFFFFF) for i in range(len(h) - 4) if min(m[i], m[i + 3]) <= min(m[i + 1], m[i + 2])]
+
+
+def test_fingerprints_hold_all_anchors_of_long_texts(spark):
+    rng = random.Random(8)
+    passage = prose(rng, 40)
+    texts = [prose(rng, 3000) + " " + passage + " " + prose(rng, 3000), prose(rng, 2000) + " " + passage, prose(rng, 500)]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in syncmers.fingerprint_report(df).collect()}
+    for k, t in enumerate(texts):
+        after = texts[k - 1]  # by descending doc_id, the last beside the first
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        for column, x in (("fingerprint", t), ("edited_fingerprint", edited)):
+            assert got[k][column] == "".join(f"{p:08x}{h:08x}" for p, h in plain_anchors(x))
+        for column, x in (("near_edited", edited), ("near_next", after)):
+            a, b = ({h for _, h in plain_anchors(y)} for y in (t, x))
+            assert got[k][column] == len(a & b) / len(a | b)
+    assert got[1]["near_next"] > 0  # a passage of 40 words in thousands
+
+
 # ---- 2: toxicity ----
 
 
