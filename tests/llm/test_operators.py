@@ -419,6 +419,15 @@ def test_licenses(spark, docs, empty):
     assert licenses.scanned(empty).count() == 0
 
 
+def test_standard_notices_are_labelled(spark):
+    gpl = "* This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version {} of the License, or\n * (at your option) any later version."
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'
+    rows = [(0, gpl.format(2)), (1, gpl.format(3)), (2, mit), (3, gpl.format(3).replace("either version 3 of the License", "and so on"))]
+    got = {r["doc_id"]: r for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k]["labels"] for k in range(4)] == ["gpl,gpl-2.0", "gpl,gpl-3.0", "mit", "gpl"]
+    assert [got[k]["score"] for k in range(3)] == [1.0, 1.0, 1.0]
+
+
 # ---- 9: quality ----
 
 
