@@ -16,52 +16,54 @@ the classes' shares among all labelled rows.
 Null text counts as empty and, like any text without known features, gets the
 score of the intercept. Labels that are null don't train; a doc_id with several
 labels trains with each. Without labels of both classes every score is the
-toxic share (0 without any labels). Rows that repeat are scored each.
+toxic share (0 without any labels). Rows that repeat are scored each; rows with a
+null doc_id are scored too and are not held out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import materialize, table
+from quillmill.llm.common import discard, materialize, table
 
 ORDERS, BUCKETS, BASE = (3, 4, 5, 6, 7, 8), 1 << 20, np.uint64(0x100000001B3)
 PER_CLASS, MIN_TEXTS, SMOOTHING, LEAST_RATIO, RIDGE = 3000, 4, 1.0, 0.4, 1e-6
 SLICE = 1 << 16
 
 
-@cache
-def _scratch() -> np.ndarray:
+def scratch() -> np.ndarray:
+    """Working space of ``features``, to be made once for many texts."""
     return np.zeros(BUCKETS, dtype=np.int32)
 
 
-def distinct(found: np.ndarray) -> np.ndarray:
+def distinct(found: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The distinct buckets: each writes its place, and those whose place stands stay."""
-    last, place = _scratch(), np.arange(len(found), dtype=np.int32)
+    place = np.arange(len(found), dtype=np.int32)
     last[found] = place
     return found[last[found] == place]
 
 
-def features(text: str | None) -> np.ndarray:
-    """The distinct buckets of the text's n-grams."""
+def features(text: str | None, last: np.ndarray) -> np.ndarray:
+    """The distinct buckets of the text's n-grams; slices are made distinct as they come,
+    so a text of any length holds ``BUCKETS`` and one slice at most."""
     words = " " + " ".join((text or "").lower().split()) + " "
     own = np.frombuffer(words.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    found, top = [], max(ORDERS) - 1
+    got, top = np.array([], dtype=np.int32), max(ORDERS) - 1
     for at in range(0, len(own), SLICE):
         part = own[at : at + SLICE + top]
-        key = part
+        key, found = part, [got]
         for n in range(2, top + 2):
             key = key[:-1] * BASE + part[n - 1 :]
             if n in ORDERS:
                 mixed = (key[:SLICE] + np.uint64(n << 56)) * np.uint64(0x9E3779B97F4A7C15)
                 found.append((mixed >> np.uint64(44)).astype(np.int32))
-    return distinct(np.concatenate(found)) if found else np.array([], dtype=np.int32)
+        got = distinct(np.concatenate(found), last)
+    return got
 
 
 def log_count_ratio(p, q, n_toxic: float, n_other: float):
@@ -98,7 +100,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, share: f
         sw, sb, rr = rw.copy(), rb, float(rw @ rw + rb * rb)
         first = rr
         start = rr if start is None else start
-        if rr < 1e-8 * start:
+        if rr <= 1e-8 * start:  # at the top, or without any feature
             break
         for _ in range(20):
             v = h * (x.times(scale * sw) + sb)
@@ -115,10 +117,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, share: f
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sums = np.zeros((2, BUCKETS), dtype=np.int64)
+    sums, last = np.zeros((2, BUCKETS), dtype=np.int64), scratch()
     for pdf in batches:
         for toxic, text in zip(pdf["toxic"], pdf["text"], strict=True):
-            sums[int(toxic), features(text)] += 1
+            sums[int(toxic), features(text, last)] += 1
     seen = np.flatnonzero(sums.any(axis=0))
     yield pd.DataFrame({"bucket": seen, "other": sums[0, seen], "toxic": sums[1, seen]})
 
@@ -148,30 +150,34 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     held = docs.sparkSession.sparkContext.broadcast(place)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = scratch()
         for pdf in batches:
-            own = (held.value[features(t)] for t in pdf["text"])
+            own = (held.value[features(t, last)] for t in pdf["text"])
             yield pd.DataFrame({"toxic": pdf["toxic"], "own": [p[p >= 0].astype("<i4").tobytes() for p in own]})
 
     got = picked.mapInPandas(run, "toxic int, own binary").toArrow()
+    discard(picked)
     rows = [np.frombuffer(x.as_py(), dtype="<i4") for x in got["own"]]
     weights, intercept = fit(rows, got["toxic"].to_numpy(), ratios, share)
     return buckets, weights, intercept
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
-    """doc_id, score for each row."""
+    """doc_id, score for each row; only texts go to Python, ids stay in the JVM."""
     buckets, weights, intercept = model
     dense = np.zeros(BUCKETS, dtype=np.float32)
     dense[buckets] = weights
     held = docs.sparkSession.sparkContext.broadcast(dense)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = held.value
-        for pdf in batches:
-            z = np.array([float(w[features(t)].sum(dtype=np.float64)) for t in pdf["text"]]) + intercept
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": 1 / (1 + np.exp(-np.clip(z, -40, 40)))})
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        w, last = held.value, scratch()
+        for texts in batches:
+            z = np.array([float(w[features(t, last)].sum(dtype=np.float64)) for t in texts]) + intercept
+            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id bigint, score double")
+    # not deterministic by name only: a column that is read twice must not be made twice
+    scored = F.pandas_udf(run, "double").asNondeterministic()
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), scored(F.col("text").cast("string")).alias("score"))
 
 
 def held_out(doc_id: str = "doc_id"):
