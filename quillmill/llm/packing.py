@@ -10,44 +10,44 @@ ranked within their length, in parallel, and looked up in that table.
 
 A document's ids end with ``END_ID``. Only documents longer than a bin are cut,
 into full bins from the end; the first piece may be shorter. Null text counts
-as empty: one piece of length 1. Rows that repeat are packed each. An empty
-table gives no sequences.
+as empty: one piece of length 1. Rows that repeat are packed each, those with a
+null doc_id too, each as a document of its own. An empty table gives no sequences.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import materialize, partitions, table
 
 CAPACITY, END_ID = 2048, 0
+#: More than a length can have pieces; lengths times this stay within 63 bits.
+RANKS = np.int64(1) << 44
 TOKENIZER = "byte_bpe_50k"
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, tie bigint"
 
 
-@cache
-def encoder(json_path: str, ranks_path: str):
-    """The tokenizer of ``json_path`` as an encoder over the same vocabulary's
-    ranks, which gives the same ids several times as fast; special tokens'
-    strings in a text become their ids, as by the file itself."""
+def vocabulary(json_path: str, ranks_path: str) -> dict:
+    """The tokenizer of ``json_path`` as pattern, ranks and special tokens: what
+    an encoder needs that gives the same ids several times as fast. Read on the
+    driver, as executors need not have the files."""
     import base64
     import json
 
     import public_tokenizers
-    import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     with open(json_path) as f:
         special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return {"pat_str": public_tokenizers.PATTERN, "mergeable_ranks": ranks, "special_tokens": special}
 
 
 def tokenizer_paths() -> tuple[str, str]:
@@ -64,20 +64,25 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, paths: tuple[str, str] | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece; tie: its first ids' mark, to order equal doc_ids."""
-    found = paths or tokenizer_paths()
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary(*(paths or tokenizer_paths())))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(*found)
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import tiktoken
+
+        # special tokens' strings in a text become their ids, as by the tokenizer file
+        enc, kinds = tiktoken.Encoding("own", **held.value), (pa.int32(), *[pa.int64()] * 4)
+        for batch in batches:
             out = []
-            for doc_id, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True):
+            for row, text in enumerate(batch.column("text").to_pylist()):
                 ids = np.array([*enc.encode(text or "", allowed_special="all"), END_ID], dtype="<u4")
                 whole = zlib.crc32(ids.tobytes())
-                out += [(doc_id, k, s, n, zlib.crc32(ids[s : s + n].tobytes()), whole) for k, (s, n) in enumerate(cut(len(ids), capacity))]
-            got = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "tie"])
-            yield got.astype({"doc_id": "Int64"})
+                out += [(row, k, s, n, zlib.crc32(ids[s : s + n].tobytes()), whole) for k, (s, n) in enumerate(cut(len(ids), capacity))]
+            if out:
+                row, *others = zip(*out, strict=True)
+                own = [batch.column("doc_id").take(pa.array(row)), *(pa.array(x, type=t) for x, t in zip(others, kinds, strict=True))]
+                yield pa.RecordBatch.from_arrays(own, names=["doc_id", "piece", "start", "length", "ids_crc32", "tie"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, PIECES)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
 def fullest(counts: np.ndarray, room: int) -> list[tuple[int, int]]:
@@ -160,21 +165,18 @@ def pack(cut_up: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     histogram = {r[0]: r[1] for r in held.groupBy("length").count().collect()}
     found = slots(patterns(histogram, capacity))
     arrays = {c: found[c].to_numpy(dtype=np.int64) for c in found}
-    schema = ", ".join(f"{c} {t}" for c, t in [*((c, t) for c, t in held.dtypes if c != "tie"), ("sequence_id", "bigint"), ("offset", "bigint")])
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        big = np.int64(1) << 44
-        keys = arrays["length"] * big + arrays["first"]
-        for pdf in batches:
-            n, rank = pdf["length"].to_numpy(np.int64), pdf.pop("rank").to_numpy(np.int64)
-            at = np.searchsorted(keys, n * big + rank, side="right") - 1
-            own, k = rank - arrays["first"][at], arrays["k"][at]
-            pdf = pdf.drop(columns="tie")
-            pdf["sequence_id"] = arrays["bin"][at] + own // k
-            pdf["offset"] = arrays["base"][at] + own % k * n
-            yield pdf
-
-    return ranked(held).mapInPandas(place, schema)
+    keys = arrays["length"] * RANKS + arrays["first"]
+
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        n, r = length.to_numpy(np.int64), rank.to_numpy(np.int64)
+        at = np.searchsorted(keys, n * RANKS + r, side="right") - 1
+        own, k = r - arrays["first"][at], arrays["k"][at]
+        return pd.DataFrame({"sequence_id": arrays["bin"][at] + own // k, "offset": arrays["base"][at] + own % k * n})
+
+    # only length and rank go to Python, and once, though two columns are read from the result
+    placed = F.pandas_udf(place, "sequence_id bigint, offset bigint").asNondeterministic()
+    rows = ranked(held).withColumn("at", placed("length", "rank"))
+    return rows.select(*(c for c in held.columns if c != "tie"), "at.sequence_id", "at.offset")
 
 
 def op3_best_fit_packing(spark, sf_dir: str) -> DataFrame:
