@@ -36,11 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from quillmill.llm.common import materialize, partitions, table
+from quillmill.llm.common import discard, materialize, partitions, small, table
 
 BUDGET, SEGMENTS, WIDTH, SHINGLE, SEED = 3, 4, 16, 3, 42
 MEMBERS = 8192
 PARTS, LEVELS = 4, 3
+HUB = 100_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -55,15 +56,9 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def _prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        got = np.fromiter(map(fingerprint, pdf["text"]), dtype=np.uint64, count=len(pdf))
-        yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": got.view(np.int64)})
-
-
 @F.pandas_udf(LongType())
 def _print_of(texts: pd.Series) -> pd.Series:
-    """The fingerprint beside its row: only the text goes to Python."""
+    """The fingerprint beside its row: only the text goes to Python, ids stay in the JVM."""
     return pd.Series(np.fromiter(map(fingerprint, texts), dtype=np.uint64, count=len(texts)).view(np.int64))
 
 
@@ -73,7 +68,7 @@ _print_of = _print_of.asNondeterministic()
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) for each row."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(_prints, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _print_of(F.col("text").cast("string")).alias("fp"))
 
 
 def _bits(fp, low: int, width: int):
@@ -186,8 +181,9 @@ def links(distinct: DataFrame, members: int = MEMBERS) -> DataFrame:
         if level == LEVELS or crowded.isEmpty():
             parts.append(rows)
             break
-        held = rows.join(F.broadcast(crowded) if crowded.count() <= 10_000 else crowded, ["kind", "key"], "left_semi")
-        parts.append(rows.join(F.broadcast(crowded) if crowded.count() <= 10_000 else crowded, ["kind", "key"], "left_anti"))
+        crowded = small(crowded)
+        held = rows.join(crowded, ["kind", "key"], "left_semi")
+        parts.append(rows.join(crowded, ["kind", "key"], "left_anti"))
         rows, level = _refine(held, level), level + 1
     found = None
     for p in parts:
@@ -204,7 +200,9 @@ def components(found: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) for the nodes of links a, b.
 
     Alternates large-star and small-star steps until no edge changes; each step
-    is one shuffle of at most as many edges, written to the shared folder.
+    is one shuffle of at most as many edges, written to the shared folder. A node
+    with over ``HUB`` edges has its least neighbour broadcast, so no hub's edges
+    meet in one task.
     """
     edges = materialize(found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
     if edges.isEmpty():
@@ -212,19 +210,30 @@ def components(found: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: neighbours above a node hang on the smallest around it
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = _beside_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u != v").distinct()
+        large = materialize(large, "large")
         # small star: a node and the neighbours below it hang on the smallest of them
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_low, "u")
-        edges = materialize(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "edges")
+        held = _beside_least(large)
+        before, edges = edges, materialize(held.select(F.col("v").alias("u"), F.col("m").alias("v")).union(held.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "edges")
+        discard(before, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = now
 
 
+def _beside_least(edges: DataFrame) -> DataFrame:
+    """u, v and m, the least v of u, for each edge; hubs' edges stay where they are."""
+    low = materialize(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    hubs = low.where(F.col("n") > HUB).select("u", "m")
+    plain = edges.join(low.where(F.col("n") <= HUB).select("u", "m"), "u")
+    if hubs.isEmpty():
+        return plain
+    # at most one hub for each HUB edges
+    return plain.unionByName(edges.join(small(hubs), "u"))
+
+
 def named(prints: DataFrame) -> DataFrame:
     """fp, component_id, keeper (the doc_id and fp of the row to keep) for each distinct fp.
 
