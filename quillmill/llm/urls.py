@@ -4,14 +4,17 @@ Rules decide first: the longest rule whose host is the url's host or a parent
 of it and whose path begins the url's path. Other urls are judged by empirical-
 Bayes host reputation: labelled page outcomes are counted by host, and each
 level's bad rate is shrunk towards the next one's through a beta-binomial prior,
-host to registered domain to suffix to all pages; a host is blocked if the lower
-bound of its posterior exceeds ``BLOCK_ABOVE``.
-
-The registered domain is the last two labels of the host, the suffix the last.
-Null urls and urls without ``://`` have empty host and path and are judged by
-the posterior of the empty host. Rows that repeat are judged each. Without any
-outcome all posteriors are the prior's mean of 1/2 with nothing behind it, which
-no bound lets block.
+host to registered domain to suffix to all pages; a host is blocked if the
+``TAIL`` quantile of its beta posterior exceeds ``BLOCK_ABOVE``: with 95 %
+certainty more than that share of its pages is bad.
+
+The suffix is the last two labels of the host if ``SUFFIXES`` has them, else the
+last label; the registered domain is the suffix and one label more (a host that
+is a suffix itself is its own domain). Null urls and urls without ``://`` have
+empty host and path and are judged by the posterior of the empty host. Rows that
+repeat are judged each, those with a null page_id too, which no outcome meets.
+Without any outcome all posteriors are the prior's mean of 1/2 with nothing
+behind it, which no bound lets block.
 """
 
 from __future__ import annotations
@@ -19,11 +22,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import lower_ascii, table
+from quillmill.llm.common import beta_quantile, beta_quantile_sql, lower_ascii, materialize, small, table
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-BLOCK_ABOVE, Z = 0.5, 1.645
+BLOCK_ABOVE, TAIL = 0.5, 0.05
+#: Suffixes of two labels under which names are registered; others have one. A parameter, to be given the public list where it is at hand.
+SUFFIXES = tuple(
+    f"{second}.{country}"
+    for country, seconds in (
+        ("ar", "com edu gov net org"), ("au", "com edu gov net org id"), ("br", "com edu gov net org"), ("cn", "ac com edu gov net org"), ("hk", "com edu gov net org"), ("id", "ac co go or web"),
+        ("il", "ac co gov net org"), ("in", "ac co edu gov net org"), ("jp", "ac co go ne or"), ("ke", "ac co go or"), ("kr", "ac co go or re"), ("mx", "com edu gob net org"), ("my", "com edu gov net org"),
+        ("nz", "ac co govt net org"), ("pl", "com edu gov net org"), ("sg", "com edu gov net org"), ("th", "ac co go in or"), ("tr", "com edu gov net org"), ("tw", "com edu gov net org"), ("ua", "com edu gov net org"),
+        ("uk", "ac co gov ltd me net org plc sch"), ("za", "ac co gov net org web"),
+    )
+    for second in seconds.split()
+)
 #: Bounds of a level's prior strength, in pages.
 LEAST, MOST = 1.0, 1000.0
 
@@ -56,17 +70,26 @@ def _strength(groups: DataFrame) -> float:
     return min(max(s["v"] / s["n"] / max(between, 1e-12) - 1, LEAST), MOST)
 
 
-def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
+def levels(hosts: DataFrame, suffixes=SUFFIXES) -> DataFrame:
+    """Adds suffix and domain to hosts."""
+    two = F.substring_index("host", ".", -2)
+    long = two.isin(*suffixes) if suffixes else F.lit(False)
+    return hosts.withColumns({"suffix": F.when(long, two).otherwise(F.substring_index("host", ".", -1)), "domain": F.when(long, F.substring_index("host", ".", -3)).otherwise(two)})
+
+
+def reputations(pages: DataFrame, outcomes: DataFrame, suffixes=SUFFIXES) -> DataFrame:
     """host, alpha, beta, bound: the posterior of each host of ``pages`` (parsed).
 
     ``outcomes`` has page_id and bad (boolean; null rows don't count); several
-    outcomes of a page count as one, bad if any is. The driver sees one row of
-    sums for each level.
+    outcomes of a page count as one, bad if any is. Pages are summed by page_id
+    and host before the join, hosts are stored once, and the driver sees one row
+    of sums for each level.
     """
     once = outcomes.where("bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    labelled = pages.select("page_id", "host").join(once, "page_id", "left")
-    hosts = labelled.groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum(F.col("bad").cast("double")), F.lit(0.0)).alias("bad"))
-    hosts = hosts.withColumns({"domain": F.substring_index("host", ".", -2), "suffix": F.substring_index("host", ".", -1)})
+    labelled = pages.where("page_id is not null").groupBy("page_id", "host").agg(F.count("*").cast("double").alias("pages")).join(once, "page_id")
+    sums = labelled.groupBy("host").agg(F.sum("pages").alias("n"), F.sum(F.when(F.col("bad"), F.col("pages")).otherwise(0.0)).alias("bad"))
+    every = pages.select("host", F.lit(0.0).alias("n"), F.lit(0.0).alias("bad")).distinct()
+    hosts = materialize(levels(every.unionByName(sums).groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), suffixes), "hosts")
     total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     overall = ((total["bad"] or 0.0) + 1) / ((total["n"] or 0.0) + 2)
     parent = None
@@ -79,17 +102,20 @@ def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     judged = hosts.select("host", "n", "bad", "domain").join(parent, "domain")
     m = _strength(judged)
     a, b = F.col("bad") + m * F.col("parent"), F.col("n") - F.col("bad") + m * (1 - F.col("parent"))
-    mean = F.col("alpha") / (F.col("alpha") + F.col("beta"))
-    return judged.select("host", a.alias("alpha"), b.alias("beta")).withColumn("bound", mean - Z * F.sqrt(mean * (1 - mean) / (F.col("alpha") + F.col("beta") + 1)))
+    return judged.select("host", a.alias("alpha"), b.alias("beta")).withColumn("bound", beta_quantile(F.col("alpha"), F.col("beta"), TAIL))
+
 
+def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, suffixes=SUFFIXES) -> DataFrame:
+    """page_id, host, path, rule, verdict for each row.
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict for each row."""
+    Only blocked hosts are joined back, by broadcast while their bytes are few.
+    """
     known = parsed(pages.select("page_id", "url")).drop("url")
-    bounds = reputations(known, outcomes).select("host", "bound")
+    blocked = reputations(known, outcomes, suffixes).where(F.col("bound") > BLOCK_ABOVE).select(F.col("host").alias("__host"))
+    blocked = small(materialize(blocked, "blocked"))
     rule, verdict = by_rule(rules)
-    other = F.when(F.col("bound") > BLOCK_ABOVE, "block").otherwise("allow")
-    return known.join(bounds, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, other).alias("verdict"))
+    other = F.when(F.col("__host").isNotNull(), "block").otherwise("allow")
+    return known.join(blocked, F.col("host") == F.col("__host"), "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, other).alias("verdict"))
 
 
 def op6_url_filters(spark, sf_dir: str) -> DataFrame:
@@ -111,7 +137,8 @@ WITH p AS (
   SELECT doc_id AS page_id, max((coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0)::INT) AS bad FROM labels GROUP BY 1
 ), h AS (
   SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad,
-         array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix
+         CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN (SUFFIXES) THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain,
+         CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN (SUFFIXES) THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE string_split(host, '.')[-1] END AS suffix
   FROM k LEFT JOIN o USING (page_id) GROUP BY host
 ), g AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) AS p FROM h
 ), s AS (
@@ -131,7 +158,7 @@ WITH p AS (
   SELECT coalesce(least(greatest((sum(n*p*(1-p)) / sum(n)) / greatest((sum(n*(bad/n-p)*(bad/n-p)) - sum(p*(1-p))) / sum(n), 1e-12) - 1, 1.0), 1000.0), 1.0) AS m
   FROM x WHERE n > 0
 ), y AS (SELECT host, bad + m*p AS a, n - bad + m*(1-p) AS b FROM x, mh
-), z AS (SELECT host, a/(a+b) - 1.645 * sqrt(a/(a+b) * (1 - a/(a+b)) / (a+b+1)) AS bound FROM y
+), z AS (SELECT host, BOUND AS bound FROM y
 ), r AS (
   SELECT page_id, host, path, bound,
     CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
@@ -144,4 +171,4 @@ SELECT page_id, host, path, rule,
   CASE rule WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block' WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow'
        ELSE CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END END AS verdict
 FROM r
-"""
+""".replace("SUFFIXES", ", ".join(f"'{s}'" for s in SUFFIXES)).replace("BOUND", beta_quantile_sql("a", "b", TAIL))
