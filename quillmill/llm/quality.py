@@ -3,12 +3,14 @@
 Each document is measured, the failures of the rules are summed by host (the
 ``source`` column; null is a host of its own), each host's failure rate is
 shrunk towards all hosts' by an empirical beta prior, and the verdict of the
-host is joined back: a host is rejected if the lower bound of its shrunk rate
-exceeds ``HOST_LIMIT``. A document is kept if it passes the base rules itself
-and its host is not rejected.
+host is joined back: a host is rejected if the ``TAIL`` quantile of its beta
+posterior exceeds ``HOST_LIMIT``, so with 95 % certainty over half its documents
+fail. A document is kept if it passes the base rules itself and its host is not
+rejected.
 
 Null or empty text: no words, so the base rules fail. Rows that repeat count
-and are judged each. An empty table gives an empty result.
+and are judged each, those with a null doc_id too. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -16,13 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import ASCII_SPACE, materialize, table, words_of
+from quillmill.llm.common import ASCII_SPACE, beta_quantile, beta_quantile_sql, materialize, small, table, words_of
 
 MIN_WORDS = 50
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-#: A host is rejected if the shrunk rate, less Z standard deviations, is above.
-HOST_LIMIT, Z = 0.5, 1.645
-BROADCAST_ROWS = 100_000
+HOST_LIMIT, TAIL = 0.5, 0.05
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -85,8 +85,7 @@ def host_verdicts(judged: DataFrame, host: str = "source", failed: str = "failed
     between = (s["q"] or 0.0) / total - (bad / total) ** 2 - p * (1 - p) * s["h"] / total
     m = min(max(p * (1 - p) / max(between, 1e-12) - 1, 1.0), 1e4)
     rate = (f + m * p) / (n + m)
-    spread = F.sqrt(rate * (1 - rate) / (n + m + 1))
-    return hosts.select("host", "n_docs", "n_failed", rate.alias("rate"), (rate - Z * spread > HOST_LIMIT).alias("rejected"))
+    return hosts.select("host", "n_docs", "n_failed", rate.alias("rate"), (beta_quantile(f + m * p, n - f + m * (1 - p), TAIL) > HOST_LIMIT).alias("rejected"))
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
@@ -94,6 +93,7 @@ def quality_report(docs: DataFrame) -> DataFrame:
     base = docs.select("doc_id", "source", "text")
     judged = materialize(measured(base).drop("text").withColumn("failed", rule_failed()), "quality")
     verdicts = host_verdicts(judged).select(F.col("host").alias("__host"), F.round("rate", 9).alias("host_rate"), "rejected")
+    verdicts = small(materialize(verdicts, "verdicts"))
     return judged.join(verdicts, F.col("source").eqNullSafe(F.col("__host")), "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("rejected")).alias("kept"), "host_rate"
     )
@@ -108,8 +108,7 @@ def keep_documents(docs: DataFrame) -> DataFrame:
     names = docs.columns
     hosts = measured(docs.select("source", "text")).select("source", rule_failed().alias("failed")).groupBy("source", "failed").agg(F.count("*").alias("n"))
     hosts = materialize(hosts, "hosts")
-    rejected = materialize(host_verdicts(hosts, rows="n").where("rejected").select(F.col("host").alias("__host")), "rejected")
-    rejected = F.broadcast(rejected) if rejected.count() <= BROADCAST_ROWS else rejected
+    rejected = small(materialize(host_verdicts(hosts, rows="n").where("rejected").select(F.col("host").alias("__host")), "rejected"))
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"), F.col("source").alias("__source"), F.col("text").alias("__own"))
     own = measured(packed, "__own").where("not base_failed")
     return own.join(rejected, F.col("__source").eqNullSafe(F.col("__host")), "left_anti").select("__row.*")
@@ -141,9 +140,10 @@ WITH d AS (
 ), s AS (
   SELECT greatest(least(sum(f)/sum(n), 1 - 1e-6), 1e-6) AS p, sum(f)/sum(n) AS p0, sum(f*f/n)/sum(n) AS q, count(*)/sum(n) AS k FROM h
 ), z AS (SELECT p, least(greatest(p*(1-p) / greatest(q - p0*p0 - p*(1-p)*k, 1e-12) - 1, 1.0), 1e4) AS m FROM s
-), v AS (SELECT source, n, m, (f + m*p) / (n + m) AS rate FROM h, z
+), y AS (SELECT source, (f + m*p) / (n + m) AS rate, f + m*p AS a, n - f + m*(1-p) AS b FROM h, z
+), v AS (SELECT source, rate, BOUND AS bound FROM y
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (rate - 1.645 * sqrt(rate * (1 - rate) / (n + m + 1)) > 0.5) AS kept, round(rate, 9) AS host_rate
+       NOT base_failed AND NOT bound > 0.5 AS kept, round(rate, 9) AS host_rate
 FROM j JOIN v ON j.source IS NOT DISTINCT FROM v.source
-"""
+""".replace("BOUND", beta_quantile_sql("a", "b", TAIL))
