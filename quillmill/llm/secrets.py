@@ -6,8 +6,15 @@ only blobs that the ledger lacks under the present rule version are scanned,
 once however many paths hold them, and the findings are joined back to all
 paths. ``scan`` returns the rows to add to the ledger.
 
-Null text counts as empty. Rows that repeat get the findings each. Spans are
-in code points, end exclusive.
+A ledger is a folder in storage that all machines see: each run appends its new
+rows as one write, which counts once it is whole, under its rule version. The
+query and the pipeline's stage use the folder that the session names in
+``LEDGER_SETTING``; without one they begin with an empty ledger of their own.
+``findings`` takes any key columns, so a table of paths and versions is scanned
+over its whole history at once.
+
+Null text counts as empty. Rows that repeat get the findings each, rows with a
+null doc_id too. Spans are in code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -16,13 +23,14 @@ import hashlib
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from quillmill.llm.common import materialize, table
+from quillmill.llm.common import exists, materialize, small, table
 
 RULE_VERSION = "1"
-BROADCAST_ROWS = 100_000
+LEDGER_SETTING = "spark.quillmill.secrets.ledger"
 #: kind, pattern, group to measure, least length; found spans shorter than that are dropped.
 RULES = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8),
@@ -37,7 +45,9 @@ RULES = (
 N_BASE = 3
 #: A text without any of these (lower-cased where the rule ignores case) can't match the rule.
 NEEDS = {"assign": ("password", "passwd", "secret", "token", "apikey", "api_key"), "access": ("AKIA",), "pem": ("-----BEGIN",), "github": ("gh",), "slack": ("xox",), "jwt": ("eyJ",)}
-FOUND = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+COLUMNS = (("n_assign", "long"), ("n_access", "long"), ("n_hex", "long"), ("base_sha256", "string"), ("spans", "string"))
+NAMES = [c for c, _ in COLUMNS]
+FOUND = ", ".join(f"{c} {t}" for c, t in COLUMNS)
 
 
 def find(text: str) -> list[tuple[int, int, int]]:
@@ -58,7 +68,7 @@ def digest(text: str) -> tuple:
 
 def _scan(batches):
     for pdf in batches:
-        got = pd.DataFrame([digest(t) for t in pdf["text"]], columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+        got = pd.DataFrame([digest(t) for t in pdf["text"]], columns=NAMES)
         got.insert(0, "blob", pdf["blob"].to_numpy())
         yield got
 
@@ -77,35 +87,56 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     return unseen.mapInPandas(_scan, f"blob binary, {FOUND}").withColumn("rule_version", F.lit(RULE_VERSION))
 
 
-def findings(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """doc_id and the findings for each row, from the ledger where it has them."""
-    new = materialize(scan(docs, ledger), "ledger")
-    known = new if ledger is None else ledger.where(F.col("rule_version") == RULE_VERSION).select(*new.columns).unionByName(new)
-    paths = addressed(docs.select("doc_id", "text")).drop("text")
-    return paths.join(known.drop("rule_version"), "blob").drop("blob")
+def ledger_at(spark: SparkSession, path: str | None) -> DataFrame | None:
+    """The rows of the ledger in ``path``; none before its first write."""
+    return spark.read.parquet(path) if path and exists(spark, path) else None
 
 
-def redacted(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """All columns of ``docs``; each finding in ``text`` gives way to ``[KIND]``, n_chars follows.
+def known(docs: DataFrame, ledger: str | None = None) -> DataFrame:
+    """blob and findings of every text of ``docs``: what the ledger in the folder ``ledger`` lacks is scanned and appended to it."""
+    spark = docs.sparkSession
+    old = ledger_at(spark, ledger)
+    new = materialize(scan(docs, old), "ledger")
+    if ledger:
+        new.write.mode("append").parquet(ledger)
+    held = new if old is None else old.where(F.col("rule_version") == RULE_VERSION).select(*new.columns).unionByName(new)
+    # two runs that began together may both have scanned a blob
+    return held.drop("rule_version") if old is None else held.drop("rule_version").dropDuplicates(["blob"])
+
 
-    Overlapping findings give way together, named by the first. The ledger's
-    blobs with findings are broadcast if they are at most ``BROADCAST_ROWS``,
-    and joined by a shuffle beyond.
+def findings(docs: DataFrame, ledger: str | None = None, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The key columns and the findings for each row, from the ledger where it has them.
+
+    Every blob is in the ledger by then, so a path whose blob has no findings
+    there gets the empty result without a join of its own.
     """
-    new = materialize(scan(docs, ledger), "ledger")
-    known = new if ledger is None else ledger.where(F.col("rule_version") == RULE_VERSION).select(*new.columns).unionByName(new)
-    hits = known.where("spans <> ''").select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    hits = F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits
-    sha = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    paths = docs.withColumn("__sha", sha).join(hits, F.col("__sha") == F.col("__blob"), "left").drop("__sha", "__blob")
+    paths = addressed(docs.select(*keys, "text")).drop("text").withColumnRenamed("blob", "__sha")
+    hits = small(known(docs, ledger).where("spans <> ''"))
+    told = [F.coalesce(c, F.lit(v)).cast(t).alias(c) for (c, t), v in zip(COLUMNS, digest(""), strict=True)]
+    return paths.join(hits, F.col("__sha") == F.col("blob"), "left").select(*keys, *told)
+
+
+@F.pandas_udf(StringType())
+def _blanked(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    return pd.Series([blanked(t, s) if s else None for t, s in zip(texts, spans, strict=True)], dtype=object)
+
 
-    def clean(batches):
-        for pdf in batches:
-            spans = pdf.pop("__spans")
-            pdf["text"] = [blanked(t, s) if isinstance(s, str) else t for t, s in zip(pdf["text"], spans, strict=True)]
-            yield pdf
+# else the text would be made again for n_chars
+_blanked = _blanked.asNondeterministic()
 
-    out = paths.mapInPandas(clean, docs.schema)
+
+def redacted(docs: DataFrame, ledger: str | None = None) -> DataFrame:
+    """All columns of ``docs``; each finding in ``text`` gives way to ``[KIND]``, n_chars follows.
+
+    Overlapping findings give way together, named by the first. The blobs with
+    findings are broadcast while their bytes are few, and joined by a shuffle
+    beyond. Only texts and spans go to Python, other columns stay as they are.
+    """
+    hits = known(docs, ledger).where("spans <> ''").select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    sha = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    paths = docs.withColumn("__sha", sha).join(small(hits), F.col("__sha") == F.col("__blob"), "left")
+    found = F.col("__spans").isNotNull()
+    out = paths.withColumn("__clean", _blanked(F.when(found, F.col("text").cast("string")), F.col("__spans"))).withColumn("text", F.when(found, F.col("__clean")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
@@ -121,5 +152,9 @@ def blanked(text: str, spans: str) -> str:
     return "".join(out) + text[end:]
 
 
+def session_ledger(spark: SparkSession) -> str | None:
+    return spark.conf.get(LEDGER_SETTING, None)
+
+
 def op10_secret_scans(spark, sf_dir: str) -> DataFrame:
-    return findings(table(spark, sf_dir, "documents"))
+    return findings(table(spark, sf_dir, "documents"), session_ledger(spark))
