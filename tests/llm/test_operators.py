@@ -7,18 +7,24 @@ rows, exact and near copies, ties, and extra columns with clashing names.
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillmill.llm import licenses, mixing, packing, quality, secrets, simhash, substrings, syncmers, toxicity, urls
+from quillmill.llm import common, licenses, mixing, packing, quality, queries, secrets, simhash, substrings, syncmers, toxicity, urls
 
+REPO = Path(__file__).resolve().parents[2]
 EXTRA = ["size", "rid", "target", "blocks", "n_words", "key", "start", "length", "blob", "fp", "score", "rank", "source_size"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in EXTRA)
 WORDS = [a + b for a in ("an", "be", "co", "du", "el", "fi", "go") for b in ("ra", "lo", "mi", "tu", "ne", "sa", "ko", "pi")]
@@ -57,6 +63,103 @@ def same(got, wanted):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, wanted))
 
 
+# ---- all ----
+
+#: Longs that a double can't hold.
+BIG = [(1 << 60) + 1, None, (1 << 60) + 3, (1 << 60) + 2]
+
+
+@pytest.fixture(scope="module")
+def big(spark):
+    rng = random.Random(11)
+    rows = [(i, prose(rng, 80), "en", "s", 1, *("x" for _ in EXTRA)) for i in BIG]
+    rows[3] = (rows[3][0], rows[0][1] + " token=abcdefgh1", *rows[3][2:])
+    return spark.createDataFrame(rows, SCHEMA).coalesce(1)
+
+
+def test_ids_stay_exact_beside_nulls(spark, big):
+    labels = spark.createDataFrame([(BIG[0], 1), (BIG[2], 0)], "doc_id long, toxic int")
+    outs = {
+        1: syncmers.fingerprint_report(big), 2: toxicity.score(big, toxicity.train(big, labels)), 3: packing.pack(packing.pieces(big)), 4: mixing.mixture(big), 5: simhash.groups(big),
+        7: substrings.removed(big), 8: licenses.scanned(big), 9: quality.quality_report(big), 10: secrets.findings(big), "stage 9": quality.keep_documents(big), "stage 10": secrets.redacted(big),
+    }
+    for op, out in outs.items():
+        assert Counter(r["doc_id"] for r in out.collect()) == Counter(BIG), op
+    pages = big.select(F.col("doc_id").alias("page_id"), F.lit("http://a.b/").alias("url"))
+    assert Counter(r["page_id"] for r in urls.judge(pages, labels.select(F.col("doc_id").alias("page_id"), F.lit(True).alias("bad"))).collect()) == Counter(BIG)
+    assert set(r["doc_id"] for r in mixing.mixed(big, 2).select("__row.doc_id").collect()) <= set(BIG)
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark, big):
+    kept = [r["doc_id"] for r in simhash.keep_one(big).collect()]
+    prints = [plain_print(r["text"]) for r in big.collect()]
+    assert len(kept) == len(set(plain_groups(prints))) and {BIG[0], None, BIG[2]} <= set(kept)
+
+
+def test_workers_need_not_have_the_package(tmp_path):
+    """A session whose workers don't find the repository on their path."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(REPO)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", {str(tmp_path)!r}).config("spark.sql.warehouse.dir", {str(tmp_path / "w")!r}).getOrCreate()
+def there(_):
+    import importlib.util
+    yield int(importlib.util.find_spec("quillmill") is not None)
+assert spark.sparkContext.parallelize([0], 1).mapPartitions(there).collect() == [0]
+from quillmill.llm import packing, secrets, simhash, substrings, toxicity
+docs = spark.createDataFrame([(k, f"some words token=abcdefgh{{k}} of text " * 9) for k in range(6)], "doc_id long, text string")
+labels = spark.createDataFrame([(k, k % 2) for k in range(6)], "doc_id long, toxic int")
+for out in (toxicity.score(docs, toxicity.train(docs, labels)), packing.pack(packing.pieces(docs)), simhash.groups(docs), simhash.keep_one(docs), substrings.removed(docs), secrets.findings(docs), secrets.redacted(docs)):
+    out.collect()
+"""
+    place = tmp_path / "elsewhere"
+    place.mkdir()
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYTHONPATH": os.pathsep.join(p for p in sys.path if p and p != str(REPO) and not p.startswith(str(REPO) + os.sep))}
+    subprocess.run([sys.executable, "-c", code], cwd=place, check=True, env=env)
+
+
+def test_beta_quantile(spark):
+    cases = [(0.05, 1.0), (1.0, 1.0), (3.0, 9.0), (50.0, 20.0), (1000.0, 3000.0), (20.0, 0.05)]
+    got = spark.createDataFrame(cases, "a double, b double").select("a", "b", common.beta_quantile(F.col("a"), F.col("b"), 0.05).alias("q")).collect()
+    rng = np.random.default_rng(1)
+    for r in got:
+        assert r["q"] == pytest.approx(np.quantile(rng.beta(r["a"], r["b"], 500_000), 0.05), abs=2e-3)
+
+
+def test_small_sides_are_measured_in_bytes(spark):
+    held = common.materialize(spark.range(10).select(F.repeat(F.lit("x"), 100).alias("s"), F.array(F.lit("y")).alias("a"), "id"), "small")
+    assert "ResolvedHint" in common.small(held)._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in common.small(held, 500)._jdf.queryExecution().analyzed().toString()
+    common.discard(held)
+    assert not common.exists(spark, held._stored_at)
+
+
+SQL_QUERIES = sorted(queries.ORACLE_SQL)
+
+
+@pytest.mark.parametrize("name", SQL_QUERIES)
+def test_queries_equal_their_sql(spark, docs, tmp_path, name):
+    """The registered query and its SQL over the rows above and a few urls."""
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    hosts = ["a.bad.co.uk", "b.bad.co.uk", "fine.co.uk", "bad.com", "fine.com", "example.net"]
+    pages = [(k, f"http://{hosts[k % 6]}/en/{k}" if k % 50 else None, "x" * 9) for k in range(600)] + [(None, "http://a.bad.co.uk/" + "y" * 50_000, "x"), (3, "http://bad.com/", "x")]
+    labels = [(k, int(k % 6 not in (0, 1, 3)), int(k % 12 == 0)) for k in range(500)] + [(None, 0, 1), (5, None, None)]
+    spark.createDataFrame(pages, "page_id long, url string, host string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "pages", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    wanted = con.sql(queries.ORACLE_SQL[name])
+    assert sorted(got.columns) == sorted(wanted.columns)
+    rows = got.select(*wanted.columns).collect()
+    same(rows, wanted.fetchall())
+    if name.startswith("op6"):
+        verdict = {(r["host"], r["verdict"]) for r in rows if r["rule"] is None}
+        assert verdict == {("a.bad.co.uk", "block"), ("b.bad.co.uk", "block"), ("bad.com", "block"), ("fine.co.uk", "allow"), ("fine.com", "allow"), ("example.net", "allow"), ("", "allow")} - {("example.net", "allow")}
+
+
 # ---- 1: fingerprints ----
 
 
@@ -162,9 +265,11 @@ def test_toxicity(spark):
 
 def test_features_do_not_depend_on_slices(monkeypatch):
     text = prose(random.Random(2), 300)
-    whole = set(toxicity.features(text).tolist())
+    space = toxicity.scratch()
+    whole = toxicity.features(text, space).tolist()
     monkeypatch.setattr(toxicity, "SLICE", 64)
-    assert set(toxicity.features(text).tolist()) == whole
+    again = toxicity.features(text, space).tolist()
+    assert set(again) == set(whole) and len(again) == len(set(again)) == len(whole)
 
 
 # ---- 3: packing ----
@@ -428,6 +533,21 @@ def test_standard_notices_are_labelled(spark):
     assert [got[k]["score"] for k in range(3)] == [1.0, 1.0, 1.0]
 
 
+def test_whole_licence_texts_are_labelled(spark):
+    filler = "some code here then more code " * 30
+    rows = [(k, f"{filler} {text} {filler}") for k, (_, text, _) in enumerate(licenses.TEMPLATES)]
+    n = len(rows)
+    mit = licenses.MIT_TEXT.replace("the software without restriction", "the software program without restriction")
+    rows += [(n, f"{filler} {mit}"), *((n + 1 + k, filler + " ".join(part)) for k, part in enumerate((licenses.ZLIB_TEXT.split()[:60], licenses.ZLIB_TEXT.split()[60:])))]
+    got = {r["doc_id"]: r for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (label, _, _) in enumerate(licenses.TEMPLATES):
+        assert label in got[k]["labels"].split(","), label
+        assert got[k]["score"] == 1.0
+    assert got[n]["labels"] == "mit"  # a word put in moves no vote away
+    halves = [got[n + 1], got[n + 2]]
+    assert [r["labels"] for r in halves] == ["", ""] and 0 < max(r["score"] for r in halves) < 1
+
+
 # ---- 9: quality ----
 
 
@@ -461,6 +581,14 @@ def test_bad_hosts_lose_their_documents(spark):
     assert got.where("kept and doc_id < 200").count() == 0
 
 
+def test_the_query_rejects_a_bad_host(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(k, "short" if k % 20 else prose(rng, 80), "bad" if k < 100 else None) for k in range(200)] + [(k + 200, prose(rng, 80) if k % 20 else "short", "good") for k in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["op9_quality_rules"](spark, str(tmp_path))
+    assert got.where("kept").count() == 190 and got.where("not base_failed and not kept").count() == 10
+
+
 # ---- 10: secrets ----
 
 
@@ -485,12 +613,39 @@ def test_secrets(spark, docs, empty):
     assert "[ASSIGN]" in text and "[ACCESS]" in text and "[HEX]" in text and plain_secrets(text)[:3] == (0, 0, 0)
 
 
-def test_ledger_scans_only_unseen_blobs(spark, docs):
+def test_ledger_scans_only_unseen_blobs(spark, docs, tmp_path, monkeypatch):
     first = secrets.scan(docs)
     blobs = len({r[1] or "" for r in ROWS})
     assert first.count() == blobs
-    ledger = secrets.materialize(first, "ledger-test")
+    ledger = str(tmp_path / "ledger")
+    plain = list(map(tuple, secrets.findings(docs).collect()))
+    rows = lambda: secrets.ledger_at(spark, ledger).count()
+    for _ in range(2):  # the second run finds all blobs in the ledger
+        same(secrets.findings(docs, ledger).collect(), plain)
+        assert rows() == blobs
     new = docs.union(docs.limit(1).withColumn("text", F.lit("fresh token=abcdefgh1")))
-    assert secrets.scan(new, ledger).count() == 1
-    assert secrets.scan(docs, ledger.withColumn("rule_version", F.lit("0"))).count() == blobs
-    same(secrets.findings(docs, ledger).collect(), map(tuple, secrets.findings(docs).collect()))
+    assert secrets.scan(new, secrets.ledger_at(spark, ledger)).count() == 1
+    assert secrets.findings(new, ledger).count() == len(ROWS) + 1 and rows() == blobs + 1
+    monkeypatch.setattr(secrets, "RULE_VERSION", "2")
+    same(secrets.findings(docs, ledger).collect(), plain)
+    assert rows() == 2 * blobs + 1
+
+
+def test_every_version_of_a_path_is_scanned(spark):
+    rows = [("a", 1, "token=abcdefgh1"), ("a", 2, "clean"), ("b", 7, "clean"), ("a", 3, None), (None, 4, "token=abcdefgh1")]
+    history = spark.createDataFrame(rows, "path string, version long, text string")
+    got = {(r["path"], r["version"]): r["n_assign"] for r in secrets.findings(history, keys=("path", "version")).collect()}
+    assert got == {("a", 1): 1, ("a", 2): 0, ("b", 7): 0, ("a", 3): 0, (None, 4): 1}
+
+
+def test_the_query_uses_the_sessions_ledger(spark, tmp_path):
+    query = queries.QUERIES["op10_secret_scans"]
+    spark.createDataFrame(ROWS, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    plain = list(map(tuple, query(spark, str(tmp_path)).collect()))
+    spark.conf.set(secrets.LEDGER_SETTING, str(tmp_path / "ledger"))
+    try:
+        for _ in range(2):
+            same(query(spark, str(tmp_path)).collect(), plain)
+    finally:
+        spark.conf.unset(secrets.LEDGER_SETTING)
+    assert secrets.ledger_at(spark, str(tmp_path / "ledger")).count() == len({r[1] or "" for r in ROWS})
