@@ -24,14 +24,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Findings in the text give way to the name of their kind."""
-    return secrets.redacted(docs)
+    """Findings in the text give way to the name of their kind; the session may name a ledger to scan only what is new."""
+    return secrets.redacted(docs, secrets.session_ledger(spark))
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each copy that the mix takes, shard by shard, at least as many shards as shuffle partitions."""
     shards = 1 << (partitions(spark) - 1).bit_length()
-    return mixing.mixed(docs, shards).repartition("shard").sortWithinPartitions("shard", "place").select("__row.*")
+    return mixing.mixed(docs, shards).repartitionById(shards, "shard").sortWithinPartitions("place").select("__row.*")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
