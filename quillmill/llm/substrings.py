@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by prefix-free parsing.
+"""Removal of repeated byte strings by prefix-free parsing and suffix arrays.
 
 A byte goes if a string of ``LENGTH`` = 100 bytes that covers it also starts
 earlier (smaller doc_id, or the same document, further left). Matches stay
@@ -7,25 +7,28 @@ inside documents; strings are judged on the input.
 1. Parse: a rolling hash over 16 bytes triggers cuts, on average every ``EVERY``
    bytes, that depend on the bytes alone. A phrase is a cut to the next one and
    the 99 bytes after it, so each string starts in one phrase and lies inside.
-2. Dictionary: of equal phrases the earliest enters the dictionary; all strings
-   that start in the others are repeats at once. The earliest place of any string
-   lies in a dictionary phrase, so only those are looked into further. On highly
+2. Order of the parse: suffixes of the parse are ordered by their first phrase,
+   then by corpus order; no more is asked for, as no string leaves its phrase. The
+   first of each phrase's places enters the dictionary; all strings that start at
+   its other places are repeats at once. The earliest place of any string lies in
+   a dictionary phrase, so only those are looked into further. On highly
    repetitive text the dictionary is small.
-3. Order of the dictionary's strings: equal strings have to meet. Each one's
-   least rolling hash over 32 bytes (its anchor) is at the same place in equal
-   strings; anchors that occur once are set aside, for the others the bytes
-   around them are sent to one place, where the strings are ranked by two 64-bit
-   hashes, then by corpus order, the first of equal ones staying. This ranking to
-   a depth of 100 bytes stands for the dictionary's suffix array and the parse's
-   order: only equality to that depth is asked for, and it needs no array over
-   the corpus in one place.
-4. Marks: repeats of both kinds are gathered by document and cut out.
-
-Strings of an anchor with over ``HOT`` places are sent one by one, by their own
-hash, after equal ones of a batch have been settled, so no common passage ends
-in one task. Anchors that a sample of rows shows to be hot aren't brought
-together to be counted either. The texts are shuffled once, into a table bucketed by row; all later
-steps read it beside small tables dealt the same way.
+3. Suffix array of the dictionary, in ranges: equal strings have to meet. Each
+   one's least rolling hash over 32 bytes (its anchor) is at the same place in
+   equal strings, and ranges of anchors, not of first bytes, divide the array:
+   that sends each byte about once, not 100 times. Anchors that occur once are set
+   aside; for the others the bytes around them are sent to their range, where the
+   suffixes are sorted by their first 100 bytes.
+4. Combination: suffixes that share 100 bytes with the one before stand in corpus
+   order in that array, and all but the first of them are repeats.
+5. Marks: repeats of both kinds are gathered by document and cut out.
+
+Suffixes of an anchor with over ``HOT`` places are sent one by one, by two 64-bit
+hashes of their 100 bytes in place of the bytes, after equal ones of a batch have
+been settled, so no common passage ends in one task. Anchors that a sample of
+rows shows to be hot aren't brought together to be counted either. The texts are
+shuffled once, into a table bucketed by row; all later steps read it beside small
+tables dealt the same way. That table and those between are deleted at the end.
 
 Null text counts as empty. A null doc_id comes after all others; rows that
 repeat a doc_id are separate documents, in an order fixed once a run.
@@ -43,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import materialize, partitions, shared_dir, table
+from quillmill.llm.common import delete, discard, materialize, partitions, run_dir, table
 
 LENGTH, EVERY, TRIGGER, ANCHOR = 100, 512, 16, 32
 REACH = LENGTH - ANCHOR + 1
@@ -51,6 +54,8 @@ HOT = 4096
 #: A sample of rows, one in SAMPLE, shows which anchors are hot ahead of counting; at most HEAVY of them. It routes work and decides nothing.
 SAMPLE, HEAVY = 32, 65_536
 SLICE = 1 << 19
+#: Suffixes that are sorted at a time, but for a key with more (HOT * REACH at most).
+SORTED = 1 << 16
 PLACE_BITS = np.uint64(20)
 _rng = np.random.default_rng(7)
 #: Two rolling hashes: a random 64-bit value for each byte, and an odd base.
@@ -261,30 +266,50 @@ def _marks_of(rid: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rid[at]), pa.array(start[at]), pa.array(start[end] - start[at] + 1)], schema=MARKS)
 
 
+def suffix_array(flat: np.ndarray, at: np.ndarray, *corpus: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of ``flat`` at the places ``at`` (as their indices) by their first
+    LENGTH bytes, then in corpus order, and whether each shares those bytes with the one before."""
+    order = np.lexsort(corpus[::-1])
+    own = np.lib.stride_tricks.sliding_window_view(flat, LENGTH)[at[order]].view(f"S{LENGTH}").ravel()
+    sa = np.argsort(own, kind="stable")
+    own = own[sa]
+    shares = np.zeros(len(sa), dtype=bool)
+    shares[1:] = own[1:] == own[:-1]
+    return order[sa], shares
+
+
 def _settled(rows: pa.Table) -> pa.RecordBatch | None:
-    """Marks of all strings in the rows but the first of equal ones."""
+    """Marks of all strings in the rows but the first of equal ones; a key's rows are here all."""
     n = rows["n"].to_numpy()
     doc, rid, start, k1, k2 = (rows[c].to_numpy() for c in ("doc", "rid", "start", "k1", "k2"))
     done = n < 0
     own = np.flatnonzero(n > 0)
     raw = [b if b is not None else b"" for b in rows["bytes"].take(pa.array(own)).to_pylist()]
     direct = np.array([not b for b in raw], dtype=bool)
-    packed = own[~direct]
-    flat = np.frombuffer(b"".join(b for b in raw if b), dtype=np.uint8)
-    count = n[packed]
-    base = np.cumsum(count + LENGTH - 1) - (count + LENGTH - 1)
-    step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    at = np.repeat(base, count) + step
-    of = np.repeat(packed, count)
-    w1, w2 = (whole(flat, k).view(np.int64)[at] if len(at) else np.array([], np.int64) for k in (0, 1))
-    single = own[direct]
-    a = np.concatenate([w1, k1[single]])
-    b = np.concatenate([w2, k2[single]])
-    d, r = np.concatenate([doc[of], doc[single]]), np.concatenate([rid[of], rid[single]])
-    s = np.concatenate([start[of] + step, start[single]])
-    order = np.lexsort((s, r, d, b, a))
-    again = order[~first_of(order, a, b)]
-    rr, ss = np.concatenate([r[again], rid[done]]), np.concatenate([s[again], start[done]])
+    found_r, found_s = [rid[done]], [start[done]]
+    # suffixes with their bytes: whole keys, some SORTED of them at a time
+    packed, bytes_of = own[~direct], [b for b in raw if b]
+    total = np.cumsum(n[packed])
+    key_ends = np.append(np.flatnonzero(k1[packed][1:] != k1[packed][:-1]) + 1, len(packed))
+    begin = 0
+    while begin < len(packed):
+        goal = total[begin] - n[packed[begin]] + SORTED
+        fits = key_ends[(key_ends > begin) & (total[key_ends - 1] <= goal)]
+        end = int(fits[-1]) if len(fits) else int(key_ends[key_ends > begin][0])
+        part = packed[begin:end]
+        flat, count = np.frombuffer(b"".join(bytes_of[begin:end]), dtype=np.uint8), n[part]
+        base = np.cumsum(count + LENGTH - 1) - (count + LENGTH - 1)
+        step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        of, s = np.repeat(part, count), np.repeat(start[part], count) + step
+        sa, shares = suffix_array(flat, np.repeat(base, count) + step, doc[of], rid[of], s)
+        found_r.append(rid[of][sa[shares]])
+        found_s.append(s[sa[shares]])
+        begin = end
+    # suffixes of hot anchors, by their hashes
+    one = own[direct]
+    order = one[np.lexsort((start[one], rid[one], doc[one], k2[one], k1[one]))]
+    again = order[~first_of(order, k1, k2)]
+    rr, ss = np.concatenate([*found_r, rid[again]]), np.concatenate([*found_s, start[again]])
     return _marks_of(rr, ss) if len(rr) else None
 
 
@@ -328,19 +353,22 @@ def _cut(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, type=pa.int64()) for x in (size, removed, spans)), pa.array(kept, type=pa.binary())], schema=CUT)
 
 
-def _bucketed(docs: DataFrame, n: int) -> DataFrame:
-    """The rows with a row number, in a table of n buckets by it, in the shared folder."""
+def _bucketed(docs: DataFrame, n: int) -> tuple[str, str]:
+    """Name and folder of a table of n buckets that holds the rows with a row number and is dealt by it."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumns({"rid": F.monotonically_increasing_id(), "doc": F.coalesce("doc_id", F.lit((1 << 63) - 1))})
     name = f"quillmill_texts_{uuid.uuid4().hex}"
-    rows.repartition(n, "rid").write.bucketBy(n, "rid").option("path", f"{shared_dir(docs.sparkSession)}/{name}").format("parquet").saveAsTable(name)
-    return docs.sparkSession.table(name)
+    path = f"{run_dir(docs.sparkSession)}/{name}"
+    rows.repartition(n, "rid").write.bucketBy(n, "rid").option("path", path).format("parquet").saveAsTable(name)
+    return name, path
 
 
 def removed(docs: DataFrame, digest: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left, or their SHA-256 if ``digest``) for each row."""
-    n = partitions(docs.sparkSession)
-    texts = _bucketed(docs, n)
+    spark = docs.sparkSession
+    n = partitions(spark)
+    name, path = _bucketed(docs, n)
+    texts = spark.table(name)
     long = texts.where(F.octet_length("text") >= LENGTH)
 
     def beside(small: DataFrame, rows: DataFrame = long, how: str = "inner") -> DataFrame:
@@ -348,16 +376,17 @@ def removed(docs: DataFrame, digest: bool = False) -> DataFrame:
 
     parsed = long.select("doc", "rid", "text").mapInArrow(_parse, "k1 long, k2 long, doc long, rid long, start long, n long, known boolean")
     parsed = materialize(parsed, "phrases")
-    order = Window.partitionBy("k1", "k2").orderBy("doc", "rid", "start")
-    ranked = parsed.where("not known").withColumn("first", F.row_number().over(order) == 1)
-    ranked = materialize(ranked.select("rid", "start", "n", "first"), "dictionary")
-    runs = ranked.where("first").groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    # combined before the shuffle, so a phrase of all documents comes as one row for each task
+    first = parsed.where("not known").groupBy("k1", "k2").agg(F.min(F.struct("doc", "rid", "start", "n")).alias("first"))
+    dictionary = materialize(first.select("first.rid", "first.start", "first.n"), "dictionary")
+    later = parsed.where("not known").join(dictionary.select("rid", "start"), ["rid", "start"], "left_anti")
+    runs = dictionary.groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     schema = "hash long, rid long, place long, heavy boolean"
     none = np.array([], dtype=np.int64)
     sampled = F.pmod(F.xxhash64("rid"), F.lit(SAMPLE)) == 0
     sample = beside(runs.where(sampled), long.where(sampled)).select("rid", "text", "runs").mapInArrow(lambda batches: _anchored(batches, none), schema)
     common = sample.groupBy("hash").count().where(F.col("count") > HOT // SAMPLE).orderBy(F.desc("count"), "hash").limit(HEAVY)
-    heavy = docs.sparkSession.sparkContext.broadcast(np.array([r[0] for r in common.collect()], dtype=np.int64))
+    heavy = spark.sparkContext.broadcast(np.array([r[0] for r in common.collect()], dtype=np.int64))
     found = beside(runs).select("rid", "text", "runs").mapInArrow(lambda batches: _anchored(batches, heavy.value), schema)
     # heavy anchors are known to repeat and need not meet to be counted
     places = F.count("*").over(Window.partitionBy("hash", F.when(F.col("heavy"), F.col("rid")).otherwise(0)))
@@ -365,10 +394,14 @@ def removed(docs: DataFrame, digest: bool = False) -> DataFrame:
     again = materialize(again.groupBy("rid").agg(F.collect_list(F.struct("place", "hot")).alias("again")), "anchors")
     sent = beside(again.join(runs, "rid")).select("doc", "rid", "text", "runs", "again").mapInArrow(_sent, "k1 long, k2 long, doc long, rid long, start long, n long, bytes binary")
     settled = sent.repartition(n, "k1").sortWithinPartitions("k1").mapInArrow(_settle, "rid long, start long, n long")
-    marks = parsed.where("known").select("rid", "start", "n").unionByName(ranked.where("not first").select("rid", "start", "n")).unionByName(settled)
+    marks = parsed.where("known").select("rid", "start", "n").unionByName(later.select("rid", "start", "n")).unionByName(settled)
     marks = marks.groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
     held = beside(marks, texts, "left").select("doc_id", "text", "marks")
-    return held.mapInArrow(lambda batches: _cut(batches, digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = materialize(held.mapInArrow(lambda batches: _cut(batches, digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"), "kept")
+    spark.sql(f"DROP TABLE {name}")
+    delete(spark, path)
+    discard(parsed, dictionary, again)
+    return out
 
 
 def op7_repeated_substrings(spark, sf_dir: str) -> DataFrame:

@@ -486,12 +486,32 @@ def plain_removed(rows):
 @pytest.mark.parametrize("hot", [4096, 2])
 def test_repeated_substrings(spark, docs, empty, monkeypatch, hot):
     monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "SORTED", 500)
     rows = sorted(((r[0], r[1]) for r in ROWS), key=lambda r: (r[0] is None, r[0] or 0, r[1] is None))
     got = substrings.removed(docs, digest=True).select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept"))).collect()
     same(got, plain_removed(rows))
     assert substrings.removed(empty).count() == 0
 
 
+def test_suffix_array_is_in_order(monkeypatch):
+    rng = np.random.default_rng(3)
+    flat = rng.integers(0, 2, 3000).astype(np.uint8)  # zero bytes, too
+    flat[1500:2000] = flat[200:700]
+    at = rng.permutation(len(flat) - 99)
+    doc, rid = rng.integers(0, 3, len(at)), rng.integers(0, 2, len(at))
+    sa, shares = substrings.suffix_array(flat, at, doc, rid, at)
+    raw = flat.tobytes()
+    wanted = sorted(range(len(at)), key=lambda k: (raw[at[k] : at[k] + 100], doc[k], rid[k], at[k]))
+    assert sa.tolist() == wanted and shares.any()
+    assert [raw[at[a] : at[a] + 100] == raw[at[b] : at[b] + 100] for a, b in zip(wanted, wanted[1:])] == shares[1:].tolist()
+
+
+def test_no_table_is_left_behind(spark, docs):
+    before = {t.name for t in spark.catalog.listTables()}
+    out = substrings.removed(docs)
+    assert {t.name for t in spark.catalog.listTables()} == before and out.count() == len(ROWS)
+
+
 def test_parse_does_not_depend_on_slices(monkeypatch):
     raw = np.frombuffer(prose(random.Random(4), 2000).encode(), dtype=np.uint8)
     cuts, found = substrings.cuts(raw), substrings.anchors(raw)
