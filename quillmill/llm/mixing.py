@@ -3,10 +3,10 @@ DataFrame functions only.
 
 Each source has a target in words. Its documents are taken as often as the
 target holds its size, and a permuted part of them once more for the rest: a
-keyed hash deals the documents to blocks, whole blocks are taken in order up to
-the rest, and of the block that crosses it documents are taken in order of
-their hashes while their words still come nearer to the rest. Each (block, copy)
-taken is one unit of its source's exact quota.
+keyed hash deals the documents to blocks and blocks to finer cells, whole cells
+are taken in order up to the rest, and of the cell that crosses it documents are
+taken in order of their hashes while their words still come nearer to the rest.
+Each (block, copy) taken is one unit of its source's exact quota.
 
 The units of all sources are then split among ``shards`` output shards by a
 tree: a node with U units of ``n`` shards gives its left child the units of half
@@ -27,13 +27,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import WORD, let, materialize, table
+from quillmill.llm.common import WORD, let, materialize, small, table
 
 CYCLE, CEILING = (1, 2, 3), 3.0
-#: Blocks of a source, at most; words of a block, about; output shards (a power of two).
+#: Blocks of a source, at most (a unit of the tree each); words of a block, about; output shards (a power of two).
 BLOCKS, BLOCK_WORDS, SHARDS = 4096, 20_000, 8
+#: A cell is cut into ``BLOCKS`` finer ones while a source's last has more rows, ``FINEST`` times at most: 4096**4 cells tell any rows apart.
+EDGE_ROWS, FINEST = 2000, 3
+#: Sources that are drawn for in one array.
+FAN = 64
 SEED = 17
-BROADCAST_ROWS = 300_000
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -70,67 +73,107 @@ def targets(sizes: DataFrame) -> DataFrame:
     return told.select("source", "source_size", target.alias("target"), blocks.cast("int").alias("blocks"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """For a join: broadcast if its rows, counted, are few, else shuffled."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _keyed(*cols) -> Column:
     return F.xxhash64(F.lit(SEED), *cols)
 
 
+def _cell(k: int) -> Column:
+    """A row's place at step ``k`` of its source's order: its block, then finer and finer parts of that."""
+    return F.pmod("__key", "blocks").cast("int") if k == 0 else F.pmod(_keyed(F.lit(k), "__key"), F.lit(BLOCKS)).cast("int")
+
+
+def _edges(sizes: DataFrame, told: DataFrame) -> tuple[DataFrame, int]:
+    """For each source the cell in which its rest ends: __source, __e0 .. __ek, __left (of the rest at the cell's start); and k.
+
+    Blocks are summed first; the block that crosses the rest is cut into finer
+    cells, summed again, until no source's cell has over ``EDGE_ROWS`` rows (or
+    only rows that are equal in all that is hashed are left).
+    """
+    edges, k = None, 0
+    while True:
+        rows = sizes.join(told, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+        if edges is not None:
+            inside = F.col("source").eqNullSafe(F.col("__source"))
+            for j in range(k):
+                inside = inside & (_cell(j) == F.col(f"__e{j}"))
+            rows = rows.drop("__rest").join(edges, inside).drop("__source").withColumnRenamed("__left", "__rest")
+        before = [f"__e{j}" for j in range(k)]
+        cells = rows.groupBy("source", *before, _cell(k).alias(f"__e{k}")).agg(F.sum("size").alias("words"), F.count("*").alias("rows"), F.first("__rest").alias("rest"))
+        upto = F.sum("words").over(Window.partitionBy("source").orderBy(f"__e{k}"))
+        found = cells.withColumn("upto", upto).withColumn("start", F.col("upto") - F.col("words")).where("start < rest and upto >= rest")
+        held = materialize(found.select(F.col("source").alias("__source"), *before, f"__e{k}", (F.col("rest") - F.col("start")).alias("__left"), "rows"), "edges")
+        most = held.agg(F.max("rows")).first()[0] or 0
+        edges = small(held.drop("rows"))
+        if most <= EDGE_ROWS or k == FINEST:
+            return edges, k
+        k += 1
+
+
 def taken(docs: DataFrame, sizes: DataFrame) -> DataFrame:
     """__at (place of the row's block in the source's order), size, source_size, target, copies, and all columns of ``docs``.
 
     ``docs`` has source, size and __key, a hash of the row, and ``sizes`` the
-    same rows without more; rows of one source are never brought together:
-    blocks sum them first, and only the block that crosses the rest is ordered
-    by row.
+    same rows without more. What is taken of the cell in which a source's rest
+    ends is settled on sizes and joined back by key; only rows that are equal in
+    id, source and text, some of which are taken, are numbered as they are.
     """
     told = targets(sizes.select("source", "size"))
     told = told.withColumn("__full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     told = told.withColumn("__rest", F.col("target") - F.col("__full") * F.col("source_size")).withColumnRenamed("source", "__source")
+    told = small(materialize(told, "targets"))
     same = F.col("source").eqNullSafe(F.col("__source"))
-    told = _small(materialize(told, "targets"))
-
-    def in_blocks(rows):
-        return rows.join(told, same).drop("__source").withColumn("__at", F.pmod("__key", "blocks").cast("int"))
-
-    dealt = in_blocks(docs)
-    blocks = in_blocks(sizes.select("source", "size", "__key")).groupBy("source", "__at").agg(F.sum("size").alias("words"), F.first("__rest").alias("rest"))
-    upto = F.sum("words").over(Window.partitionBy("source").orderBy("__at"))
-    edges = blocks.withColumn("upto", upto).select(F.col("source").alias("__source"), F.col("__at").alias("__edge"), (F.col("upto") - F.col("words")).alias("before"), "upto", "rest")
-    # the block that crosses the rest: earlier ones are taken whole, later ones not
-    edges = edges.where("before < rest and upto >= rest").select("__source", "__edge", (F.col("rest") - F.col("before")).alias("__left"))
-    edges = _small(materialize(edges, "edges"))
-    held = dealt.join(edges, same, "left").drop("__source")
-    within = Window.partitionBy("source", "__at").orderBy("__key", *(["doc_id"] if "doc_id" in docs.columns else []))
-    inside = held.where(F.col("__at") == F.col("__edge")).withColumn("__sum", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    edges, k = _edges(sizes.select("source", "size", "__key"), told)
+
+    def placed(rows):
+        """Adds __more: 1 before the source's last cell, 0 after it, null inside."""
+        held = rows.join(told, same).drop("__source").join(edges, same, "left").drop("__source").withColumn("__at", _cell(0))
+        more = F.lit(None).cast("int")
+        for j in reversed(range(k + 1)):
+            more = F.when(_cell(j) < F.col(f"__e{j}"), 1).when(_cell(j) > F.col(f"__e{j}"), 0).otherwise(more)
+        return held.withColumn("__more", F.when(F.col("__e0").isNull(), 0).otherwise(more)).drop(*(f"__e{j}" for j in range(k + 1)))
+
+    inside = placed(sizes.select("source", "size", "__key")).where("__more is null")
+    within = Window.partitionBy("source").orderBy("__key")
     # a row is taken if the running sum with it is nearer to what is left than without it
-    inside = inside.withColumn("__more", (F.col("__sum") - F.col("size") / 2 <= F.col("__left")).cast("int")).drop("__sum")
+    inside = inside.withColumn("__sum", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__more", (F.col("__sum") - F.col("size") / 2 <= F.col("__left")).cast("int"))
     # then the one row whose change of mind comes nearest to what is left still, if that is nearer
-    group = Window.partitionBy("source", "__at")
-    still = F.col("__left") - F.sum(F.col("size") * F.col("__more")).over(group)
-    inside = inside.withColumn("__still", still).withColumn("__off", F.abs(F.col("__still") - F.when(F.col("__more") == 1, -F.col("size")).otherwise(F.col("size"))))
-    nearest = F.row_number().over(group.orderBy("__off", "__key", *(["doc_id"] if "doc_id" in docs.columns else [])))
-    inside = inside.withColumn("__best", (nearest == 1) & (F.col("__off") < F.abs("__still")))
-    inside = inside.withColumn("__more", F.when(F.col("__best"), 1 - F.col("__more")).otherwise(F.col("__more"))).drop("__still", "__off", "__best")
-    outside = held.where(F.col("__edge").isNull() | (F.col("__at") != F.col("__edge"))).withColumn("__more", F.coalesce((F.col("__at") < F.col("__edge")).cast("int"), F.lit(0)))
-    return inside.unionByName(outside).withColumn("copies", (F.col("__full") + F.col("__more")).cast("bigint")).drop("__full", "__rest", "__more", "__edge", "__left", "blocks")
+    group = Window.partitionBy("source")
+    inside = inside.withColumn("__still", F.col("__left") - F.sum(F.col("size") * F.col("__more")).over(group))
+    inside = inside.withColumn("__off", F.abs(F.col("__still") - F.when(F.col("__more") == 1, -F.col("size")).otherwise(F.col("size"))))
+    best = (F.row_number().over(group.orderBy("__off", "__key")) == 1) & (F.col("__off") < F.abs("__still"))
+    inside = inside.withColumn("__more", F.when(best, 1 - F.col("__more")).otherwise(F.col("__more")))
+    settled = materialize(inside.groupBy(F.col("__key").alias("__k")).agg(F.count("*").alias("__n"), F.sum("__more").alias("__m")), "settled")
+    held = placed(docs).join(small(settled), F.col("__key") == F.col("__k"), "left")
+    some = F.col("__more").isNull() & (F.col("__m") > 0) & (F.col("__m") < F.col("__n"))
+    all_or_none = F.when(F.col("__more").isNull(), (F.col("__m") > 0).cast("int")).otherwise(F.col("__more"))
+    if settled.where("__m > 0 and __m < __n").isEmpty():
+        out = held.withColumn("__more", all_or_none)
+    else:
+        nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+        numbered = held.where(some).withColumn("__more", (nth <= F.col("__m")).cast("int"))
+        out = held.where(~F.coalesce(some, F.lit(False))).withColumn("__more", all_or_none).unionByName(numbered)
+    return out.withColumn("copies", (F.col("__full") + F.col("__more")).cast("bigint")).drop("__full", "__rest", "__more", "__left", "blocks", "__k", "__n", "__m")
 
 
 def _draw(u: Column, own: Column, units: Column, draws: Column) -> Column:
     """How many of ``own`` marked among ``units`` come into ``draws`` draws without
     replacement: the hypergeometric quantile at ``u``, whose outcomes are taken
     from the mode outwards, upwards first. Weights follow from the mode's by
-    ratios, so nothing overflows."""
-    given = F.struct(u.alias("u"), own.alias("k"), units.alias("n"), draws.alias("d"))
+    ratios, so nothing overflows; outcomes over 12 standard deviations from the
+    mode, whose weights a double no longer adds to the sum, are left out."""
+    given = F.struct(u.alias("u"), *(c.cast("bigint").alias(n) for c, n in ((own, "k"), (units, "n"), (draws, "d"))))
 
     def bounded(g):
-        low, high = F.greatest(F.lit(0), g["d"] - (g["n"] - g["k"])), F.least(g["k"], g["d"])
-        mode = F.floor((g["d"].cast("double") + 1) * (g["k"] + 1) / (g["n"] + 2)).cast("int")
+        low, high = F.greatest(F.lit(0).cast("bigint"), g["d"] - (g["n"] - g["k"])), F.least(g["k"], g["d"])
+        mode = F.floor((g["d"].cast("double") + 1) * (g["k"] + 1) / (g["n"] + 2))
+        n = F.greatest(g["n"].cast("double"), F.lit(1.0))
+        far = F.ceil(12 * F.sqrt(F.greatest(F.lit(0.0), g["d"] * (g["k"] / n) * (1 - g["k"] / n) * (1 - g["d"] / n))) + 12)
         names = [g[c].alias(c) for c in ("u", "k", "n", "d")]
-        return let(F.struct(*names, low.alias("low"), high.alias("high"), mode.alias("mode")), lambda b: let(F.struct(*(b[c].alias(c) for c in ("u", "k", "n", "d", "low", "high")), F.least(b["high"], F.greatest(b["low"], b["mode"])).alias("mode")), chosen))
+        return let(F.struct(*names, low.alias("low"), high.alias("high"), F.least(high, F.greatest(low, mode)).alias("mode"), far.alias("far")), near)
+
+    def near(b):
+        held = [b[c].alias(c) for c in ("u", "k", "n", "d", "mode")]
+        return let(F.struct(*held, F.greatest(b["low"], b["mode"] - b["far"]).alias("low"), F.least(b["high"], b["mode"] + b["far"]).alias("high")), chosen)
 
     def chosen(v):
         own, units, draws, mode = v["k"], v["n"], v["d"], v["mode"]
@@ -173,38 +216,75 @@ def _draw(u: Column, own: Column, units: Column, draws: Column) -> Column:
     return let(given, bounded)
 
 
+def _lefts(packed: DataFrame) -> DataFrame:
+    """Adds ``left``, how many of each item of ``own`` (units) come into ``draws`` draws; items draw one after another from what the earlier ones left."""
+    zero = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).cast("bigint").alias("drawn"), F.array().cast("array<bigint>").alias("left"))
+
+    def step(a, x):
+        u = (F.pmod(_keyed(F.lit("draw"), F.col("node"), F.col("level"), x["id"]), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+        got = _draw(u, x["units"], F.col("sum") - a["used"], F.col("draws") - a["drawn"])
+        return let(got, lambda n: F.struct((a["used"] + x["units"]).alias("used"), (a["drawn"] + n).alias("drawn"), F.array_append(a["left"], n).alias("left")))
+
+    return packed.withColumn("left", F.aggregate("own", zero, step, lambda a: a["left"]))
+
+
+def _summed(packed: DataFrame) -> DataFrame:
+    return packed.withColumn("sum", F.aggregate("own", F.lit(0).cast("bigint"), lambda a, x: a + x["units"]))
+
+
+def _half() -> Column:
+    """The units of a node's left child; an odd one goes to either."""
+    return F.floor((F.col("sum") + F.pmod(_keyed("node"), F.lit(2))) / 2)
+
+
+def _group_draws(groups: DataFrame, width: int, level: int) -> DataFrame:
+    """node, group, draws: how many units of each group (numbers below ``width``) go to the node's left child."""
+    up = F.pmod("group", F.lit(max(1, width // FAN)))
+    own = F.sort_array(F.collect_list(F.struct(F.concat(F.lit("group "), F.col("group").cast("string")).alias("id"), "group", F.col("sum").alias("units"))))
+    packed = _summed(groups.groupBy("node", up.alias("up")).agg(own.alias("own"))).withColumn("level", F.lit(f"{level}/{width}"))
+    if width <= FAN:
+        packed = packed.withColumn("draws", _half())
+    else:
+        upper = materialize(packed.select("node", F.col("up").alias("group"), "sum"), "groups")
+        packed = packed.join(_group_draws(upper, width // FAN, level).withColumnRenamed("group", "up"), ["node", "up"])
+    each = _lefts(packed).select("node", F.explode(F.arrays_zip("own", "left")).alias("x"))
+    return each.select("node", "x.own.group", F.col("x.left").alias("draws"))
+
+
 def quotas(units: DataFrame, shards: int = SHARDS) -> DataFrame:
     """shard, source, quota, first: the splitting tree's leaves, from (source, units) rows.
 
     ``first`` is the place of the shard's first unit in the source's order. Each
-    level splits all its nodes at once; a node's sources draw one after another
-    from what the earlier ones left, by a running sum in the source's order.
+    level splits all its nodes at once. Over ``FAN`` sources are drawn for in
+    groups of about as many, the groups' own draws made first in the same way, so
+    no row holds all sources.
     """
     depth = shards.bit_length() - 1
     if shards != 1 << depth:
         raise ValueError("shards must be a power of two")
-    nodes = units.select(F.lit(0).alias("node"), "source", F.col("units").cast("int").alias("units"))
-    packed = nodes.groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.col("source").isNull().alias("none"), "source", "units"))).alias("own"))
-    zero = F.struct(F.lit(0).alias("used"), F.lit(0).alias("drawn"), F.array().cast("array<int>").alias("left"))
+    width, n = 1, units.count()
+    while n > FAN * width:
+        width *= FAN
+    item = F.struct(F.col("source").isNull().alias("none"), "source", F.coalesce("source", F.lit("")).alias("id"), F.col("units").cast("bigint").alias("units"))
+    packed = units.groupBy(F.lit(0).cast("bigint").alias("node"), F.pmod(_keyed(F.lit("group"), "source"), F.lit(width)).cast("int").alias("group")).agg(F.sort_array(F.collect_list(item)).alias("own"))
     for level in range(depth):
-        packed = packed.withColumn("sum", F.aggregate("own", F.lit(0), lambda a, x: a + x["units"])).withColumn("half", F.floor((F.col("sum") + F.pmod(_keyed("node"), F.lit(2))) / 2).cast("int"))
-
-        def step(a, x):
-            u = (F.pmod(_keyed(F.lit("draw"), F.col("node"), F.col("level"), x["source"]), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-            got = _draw(u, x["units"], F.col("sum") - a["used"], F.col("half") - a["drawn"])
-            return let(got, lambda n: F.struct((a["used"] + x["units"]).alias("used"), (a["drawn"] + n).alias("drawn"), F.array_append(a["left"], n).alias("left")))
-
-        split = packed.withColumn("level", F.lit(level)).withColumn("left", F.aggregate("own", zero, step, lambda a: a["left"]))
+        packed = _summed(packed)
+        if width == 1:
+            packed = packed.withColumn("draws", _half())
+        else:
+            packed = materialize(packed, "nodes")
+            packed = packed.join(_group_draws(packed.select("node", "group", "sum"), width, level), ["node", "group"])
+        split = _lefts(packed.withColumn("level", F.lit(str(level))))
 
         def side(take):
-            return F.transform("own", lambda x, i: F.struct(x["none"].alias("none"), x["source"].alias("source"), take(x, i).alias("units")))
+            return F.transform("own", lambda x, i: F.struct(x["none"].alias("none"), x["source"].alias("source"), x["id"].alias("id"), take(x, i).alias("units")))
 
         halves = F.array(
             F.struct((2 * F.col("node")).alias("node"), side(lambda x, i: F.get("left", i)).alias("own")),
             F.struct((2 * F.col("node") + 1).alias("node"), side(lambda x, i: x["units"] - F.get("left", i)).alias("own")),
         )
-        packed = split.select(F.explode(halves).alias("half")).select("half.node", "half.own")
-    leaves = packed.select(F.col("node").alias("shard"), F.explode("own").alias("x")).select("shard", "x.source", F.col("x.units").alias("quota"))
+        packed = split.select("group", F.explode(halves).alias("half")).select("half.node", "group", "half.own")
+    leaves = packed.select(F.col("node").alias("shard"), F.explode("own").alias("x")).select(F.col("shard").cast("int").alias("shard"), "x.source", F.col("x.units").alias("quota"))
     first = F.sum("quota").over(Window.partitionBy("source").orderBy("shard")) - F.col("quota")
     return leaves.withColumn("first", first)
 
@@ -213,23 +293,27 @@ def dealt(held: DataFrame, shards: int) -> DataFrame:
     """__s, __a, __shards: each taken block's source and place and the shards of its copies, in the order of the copies.
 
     ``held`` has source, __at and copies of each row. The tree splits the units
-    of all sources among the shards.
+    of all sources among the shards; a unit belongs to the last shard that begins
+    at or before its place in the source's order.
     """
-    units = held.where("copies > 0").groupBy("source", "__at").agg(F.max("copies").alias("n"))
-    units = units.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
+    blocks = held.where("copies > 0").groupBy("source", "__at").agg(F.max("copies").alias("n"))
+    blocks = materialize(blocks, "blocks")
+    units = blocks.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
     order = F.row_number().over(Window.partitionBy("source").orderBy(_keyed(F.lit("unit"), "__at", "__copy"), "__at", "__copy")) - 1
-    units = units.withColumn("nth", order)
-    leaves = quotas(units.groupBy("source").agg(F.count("*").alias("units")), shards).where("quota > 0").select(F.col("source").alias("__s"), "shard", "first", "quota")
-    drawn = units.join(leaves, F.col("source").eqNullSafe(F.col("__s")) & (F.col("nth") >= F.col("first")) & (F.col("nth") < F.col("first") + F.col("quota")))
-    blocks = drawn.groupBy(F.col("source").alias("__s"), F.col("__at").alias("__a")).agg(F.sort_array(F.collect_list(F.struct("__copy", "shard"))).alias("got"))
-    return materialize(blocks.select("__s", "__a", F.col("got.shard").alias("__shards")), "units")
+    units = units.withColumns({"place": order.cast("bigint"), "shard": F.lit(None).cast("int")})
+    leaves = quotas(blocks.groupBy("source").agg(F.sum("n").alias("units")), shards).where("quota > 0")
+    begins = leaves.select("source", F.lit(None).cast("int").alias("__at"), F.lit(None).cast("int").alias("__copy"), F.col("first").alias("place"), "shard")
+    last = F.last("shard", ignorenulls=True).over(Window.partitionBy("source").orderBy("place", F.col("__at").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    drawn = units.select(*begins.columns).unionByName(begins).withColumn("shard", last).where("__at is not null")
+    told = drawn.groupBy(F.col("source").alias("__s"), F.col("__at").alias("__a")).agg(F.sort_array(F.collect_list(F.struct("__copy", "shard"))).alias("got"))
+    return materialize(told.select("__s", "__a", F.col("got.shard").alias("__shards")), "units")
 
 
 def _sharded(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     """Adds __shards to rows of ``taken``: the shard of each copy; none for a row that is not taken."""
     on = F.col("source").eqNullSafe(F.col("__s")) & (F.col("__at") == F.col("__a"))
     got = F.slice(F.col("__shards"), F.lit(1), F.col("copies").cast("int"))
-    return rows.join(_small(blocks), on, "left").drop("__s", "__a").withColumn("__shards", F.coalesce(got, F.array().cast("array<int>")))
+    return rows.join(small(blocks), on, "left").drop("__s", "__a").withColumn("__shards", F.coalesce(got, F.array().cast("array<int>")))
 
 
 def _place(key, copy) -> Column:

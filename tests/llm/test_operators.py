@@ -370,6 +370,57 @@ def test_mixture_deals_copies_through_the_tree(spark, docs, monkeypatch):
     assert told == Counter(map(tuple, wanted)) and {s for _, s, _ in told} == {0, 1, 2, 3}
 
 
+@pytest.mark.parametrize("rows", [1, 7])
+def test_cells_are_cut_until_they_are_small(spark, docs, monkeypatch, rows):
+    """Finer cells change which documents are taken, not how near the target is met."""
+    monkeypatch.setattr(mixing, "EDGE_ROWS", rows)
+    monkeypatch.setattr(mixing, "BLOCKS", 3)
+    got = mixing.mixture(docs, 4).collect()
+    longest = max(len((r[1] or "").split()) for r in ROWS)
+    by_target = Counter()
+    for r in got:
+        by_target[r["target"]] += r["taken"]
+        assert r["taken"] <= 3 * r["size"]
+    assert len(got) == len(ROWS)
+    for target, words in by_target.items():
+        assert abs(words - target) <= longest
+    copies = Counter(r["doc_id"] for r in mixing.mixed(docs, 4).select("__row.doc_id").collect())
+    told = Counter()
+    for r in got:
+        told[r["doc_id"]] += len(r["shards"].split("|")) if r["shards"] else 0
+    assert +told == copies
+
+
+def test_rows_that_repeat_are_taken_in_part(spark):
+    """Equal rows differ in nothing, so some of them are taken."""
+    rows = [(None, "same words here and there", "a")] * 60 + [(k, "one two three", "b") for k in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixture(df, 2).where("doc_id is null").collect()
+    assert len(got) == 60 and abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 3
+    assert mixing.mixed(df, 2).where("__row.doc_id is null").count() * 5 == sum(r["taken"] for r in got)
+
+
+def test_many_sources_are_drawn_in_groups(spark, monkeypatch):
+    units = [(f"s{k}", k % 7) for k in range(300)] + [(None, 40)]
+    df = spark.createDataFrame(units, "source string, units long")
+    for fan in (64, 4):
+        monkeypatch.setattr(mixing, "FAN", fan)
+        got = mixing.quotas(df, 4).collect()
+        shards, sources = Counter(), Counter()
+        for r in got:
+            assert r["quota"] >= 0
+            shards[r["shard"]] += r["quota"]
+            sources[r["source"]] += r["quota"]
+        assert sources == dict(units) and max(shards.values()) - min(shards.values()) <= 1
+
+
+def test_draws_over_wide_ranges(spark):
+    u = (F.col("id") + 0.5) / 2000
+    got = np.array([r[0] for r in spark.range(2000).select(mixing._draw(u, F.lit(200_000), F.lit(1_000_000), F.lit(500_000))).collect()])
+    sd = (500_000 * 0.2 * 0.8 * 0.5) ** 0.5
+    assert got.mean() == pytest.approx(100_000, abs=1) and got.std() == pytest.approx(sd, rel=0.01)
+
+
 def test_tree_splits_exactly(spark):
     units = spark.createDataFrame([("a", 1000), ("b", 37), ("c", 0), (None, 5), ("d", 333)], "source string, units int")
     got = mixing.quotas(units, 8).collect()
