@@ -73,38 +73,58 @@ def as_text(a: str) -> Column:
     return F.lower(F.array_join(F.transform(a, lambda x: F.lpad(F.hex(F.shiftleft(x["pos"].cast("bigint"), 32).bitwiseOR(x["hash"])), 16, "0")), ""))
 
 
-def _bucket(bounds: list[int]) -> Column:
-    """Number of bounds under the id, by binary search; null ids come lowest."""
-    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
-    held = F.array(*map(F.lit, bounds)).cast("array<bigint>")
-    found = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda a, s: F.when((a + s <= len(bounds)) & (F.get(held, a + s - 1) < F.col("doc_id")), a + s).otherwise(a))
-    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(found)
+class Ranges:
+    """Ranges of (doc_id, hash of the text), ascending, nulls lowest.
+
+    ``cuts`` are doc_ids at even shares of the rows, so an id that repeats among
+    them is as heavy as several ranges: its rows get that many of their own, by
+    hash. So do rows without an id, ``nulls`` ranges, if that is over one.
+    """
+
+    def __init__(self, cuts: list[int], nulls: int):
+        self.bounds = sorted(set(cuts))
+        self.parts = [cuts.count(v) if cuts.count(v) > 1 else 0 for v in self.bounds] + [0]
+        self.nulls = nulls if nulls > 1 else 0
+        self.first = [self.nulls]
+        for p in self.parts:
+            self.first.append(self.first[-1] + 1 + p)
+
+    def of(self, doc_id: str, h: str) -> Column:
+        """The number of a row's range, by binary search."""
+        bounds, parts, first = (F.array(*map(F.lit, x)).cast(f"array<{t}>") for x, t in ((self.bounds, "bigint"), (self.parts, "int"), (self.first, "int")))
+        steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(self.bounds).bit_length()))))
+        below = F.aggregate(steps, F.lit(0), lambda a, s: F.when((a + s <= len(self.bounds)) & (F.get(bounds, a + s - 1) < F.col(doc_id)), a + s).otherwise(a))
+        part = lambda n: F.least(n - 1, F.floor((F.col(h) / float(1 << 64) + 0.5) * n).cast("int"))
+        own = let(below, lambda j: F.get(first, j) + F.when((F.get(parts, j) > 0) & (F.get(bounds, j) == F.col(doc_id)), 1 + part(F.get(parts, j))).otherwise(0))
+        return F.when(F.col(doc_id).isNull(), part(F.lit(self.nulls)) if self.nulls else F.lit(0)).otherwise(own)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, next_text: each row beside its successor by descending
-    doc_id (nulls last; ties by text), the last row beside the first.
+    doc_id (nulls last; equal ids by descending hash of the text, then by text),
+    the last row beside the first.
 
-    One shuffle: rows go to ranges of doc_id, and the top rows of each range
-    also to the range above, where they follow its last row. The driver sees
-    two ids for each range.
+    One shuffle: rows go to ranges in that order, and the top rows of each range
+    also to the range above, where they follow its last row. An id that many rows
+    share, or none, is divided by hash; only rows that are equal in id and text
+    stay together. The driver sees a few longs for each range.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     n = max(2, partitions(spark))
-    cuts = base.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 50 * n)).first()[0] or []
-    base = base.withColumn("__b", _bucket(sorted(set(cuts))))
-    tops = {r[0]: r[1] for r in base.groupBy("__b").agg(F.max("doc_id")).collect()}
+    cuts, rows, known = base.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 50 * n), F.count("*"), F.count("doc_id")).first()
+    ranges = Ranges(cuts or [], -(-n * (rows - known) // max(rows, 1)))
+    base = base.withColumn("b", ranges.of("doc_id", "h"))
+    tops = {r[0]: r[1] for r in base.groupBy("b").agg(F.max(F.struct("doc_id", "h"))).collect()}
     used = sorted(tops) or [0]
     above = dict(zip(used, [*used[1:], used[0]], strict=True))
-    to = F.array(*(F.lit(above.get(b, 0)) for b in range(used[-1] + 1)))
-    top = F.array(*(F.lit(tops.get(b)).cast("bigint") for b in range(used[-1] + 1)))
-    here = F.struct(F.col("__b").alias("b"), F.lit(0).alias("halo"))
-    also = F.struct(F.get(to, F.col("__b")).alias("b"), F.lit(1).alias("halo"))
-    dealt = base.withColumn("__at", F.explode(F.when(F.col("doc_id").eqNullSafe(F.get(top, F.col("__b"))), F.array(here, also)).otherwise(F.array(here))))
-    dealt = dealt.select("doc_id", "text", "__at.b", "__at.halo").repartition(n, "b")
-    w = Window.partitionBy("b").orderBy("halo", F.desc_nulls_last("doc_id"), "text")
-    return dealt.withColumn("next_text", F.lead("text").over(w)).where("halo = 0").drop("b", "halo")
+    by_range = lambda f, t: F.get(F.array(*(F.lit(f(b)) for b in range(used[-1] + 1))).cast(f"array<{t}>"), F.col("b"))
+    is_top = F.col("doc_id").eqNullSafe(by_range(lambda b: tops[b][0] if b in tops else None, "bigint")) & (F.col("h") == by_range(lambda b: tops[b][1] if b in tops else None, "bigint"))
+    here, also = F.struct("b", F.lit(0).alias("halo")), F.struct(by_range(lambda b: above.get(b, 0), "int").alias("b"), F.lit(1).alias("halo"))
+    dealt = base.withColumn("at", F.explode(F.when(is_top, F.array(here, also)).otherwise(F.array(here))))
+    dealt = dealt.select("doc_id", "text", "h", "at.b", "at.halo").repartitionById(used[-1] + 1, "b")
+    w = Window.partitionBy("b").orderBy("halo", F.desc_nulls_last("doc_id"), F.desc("h"), "text")
+    return dealt.withColumn("next_text", F.lead("text").over(w)).where("halo = 0").drop("b", "h", "halo")
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:

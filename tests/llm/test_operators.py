@@ -165,7 +165,44 @@ def test_queries_equal_their_sql(spark, docs, tmp_path, name):
 
 def plain_order():
     pairs = [(r[0], r[1] or "") for r in ROWS]
-    return sorted(pairs, key=lambda p: (p[0] is None, -(p[0] or 0), p[1]))
+    return sorted(pairs, key=lambda p: (p[0] is None, -(p[0] or 0), -signed_hash(p[1]), p[1]))
+
+
+def signed_hash(text):
+    h = xxhash.xxh64(text.encode(), seed=42).intdigest()
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_heavy_ids_are_divided(spark):
+    """A third of the rows without an id, a third with one id."""
+    rng = random.Random(0)
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, f"text {rng.random()}") for k in range(3000)] + [(7, "twice"), (7, "twice")]
+    got = syncmers.with_next(spark.createDataFrame(rows, "doc_id long, text string"))
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -signed_hash(r[1]), r[1]))
+    assert Counter(map(tuple, got.collect())) == Counter((*a, b[1]) for a, b in zip(order, order[1:] + order[:1]))
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 1100
+
+
+@pytest.mark.parametrize("op", ["op1_syncmer_fingerprints", "op2_toxicity", "op3_best_fit_packing", "op4_mixing", "op5_simhash_near_dedup", "op7_repeated_substrings", "op10_secret_scans"])
+def test_registered_queries_without_sql(spark, docs, tmp_path, op):
+    """Each row of the table comes out, under the contract's columns; the empty table gives none."""
+    columns = {
+        "op1_syncmer_fingerprints": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+        "op2_toxicity": ["doc_id", "held_out", "score", "predicted"],
+        "op3_best_fit_packing": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+        "op4_mixing": ["doc_id", "size", "source_size", "target", "taken"],
+        "op5_simhash_near_dedup": ["doc_id", "fingerprint", "component_id"],
+        "op7_repeated_substrings": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+        "op10_secret_scans": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+    }[op]
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(k, k % 2, k % 3 and 1) for k in range(40)] + [(None, 1, 1), (2, 0, 0), (2, 0, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = queries.QUERIES[op](spark, str(tmp_path))
+    assert set(columns) <= set(got.columns)
+    rows = got.where("piece = 0") if "piece" in got.columns else got
+    assert Counter(r["doc_id"] for r in rows.collect()) == Counter(r[0] for r in ROWS)
 
 
 def test_fingerprints(spark, docs, empty):
