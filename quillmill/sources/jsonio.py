@@ -8,13 +8,16 @@ in the array or file order; it decides all ties later.
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: The eight datasets are train_{full,ablated}_{one of these}.jsonl.
+DATASETS = ("clean", "codeonly", "gsm8kstyle", "mathstyle")
+
+
 def read_json_array(spark: SparkSession, path: str, require_list: bool = True) -> DataFrame:
     """Pos, item (variant), file for each element; raises if the top level is no list and that is asked for."""
     raw = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("doc"), F.col("_metadata.file_name").alias("file"))
@@ -58,11 +61,16 @@ def conversations(spark: SparkSession, path: str) -> DataFrame:
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """line_no (from 1, blank lines count) and line of a text file.
 
-    The one use of an RDD: zipWithIndex numbers lines in file order with one
-    extra pass that counts each partition's.
+    Within a split Spark's row ids rise by one; a first pass over the splits
+    counts each one's lines, and those of the splits before it, in the order of
+    files and offsets, are added. The table of splits is small: one row for each
+    128 MB or so.
     """
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0]))
-    return spark.createDataFrame(lines, "line_no long, line string")
+    raw = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("id"))
+    splits = raw.groupBy("f", "b").agg(F.count("line").alias("n"), F.min("id").alias("first"))
+    before = F.sum("n").over(Window.orderBy("f", "b")) - F.col("n")
+    starts = splits.select("f", "b", (before - F.col("first") + 1).alias("shift"))
+    return raw.join(F.broadcast(starts), ["f", "b"]).select((F.col("id") + F.col("shift")).alias("line_no"), "line")
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -95,14 +103,63 @@ def write_jsonl(rows: DataFrame, path: str, columns: tuple[str, ...] = ("instruc
 
 
 def write_fan_out(rows: DataFrame, path: str) -> None:
-    """The subsets and modes as folders subset=…/mode=…, in one job."""
-    rows.repartitionByRange("subset", "mode", "pos").sortWithinPartitions("subset", "mode", "pos").write.mode("overwrite").partitionBy("subset", "mode").json(path)
+    """The eight datasets, written in one job as folders of JSON lines under their own names.
 
-
-def write_report(report: dict, path: str) -> None:
-    """Pretty JSON on the driver's side; reports are small by nature."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(report, ensure_ascii=False, indent=2), encoding="utf-8")
+    A dataset without rows is an empty folder.
+    """
+    spark, at = rows.sparkSession, f"{path}/_writing"
+    name = F.concat(F.lit("train_"), F.col("mode"), F.lit("_"), F.when(F.col("subset") == "all", "clean").otherwise(F.col("subset")))
+    named = rows.select(name.alias("dataset"), "pos", "instruction", "input", "output")
+    named.repartitionByRange("dataset", "pos").sortWithinPartitions("dataset", "pos").drop("pos").write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("dataset").json(at)
+    fs, _ = file_system(spark, path)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    for mode in ("full", "ablated"):
+        for subset in DATASETS:
+            to = place(f"{path}/train_{mode}_{subset}.jsonl")
+            fs.delete(to, True)
+            written = place(f"{at}/dataset=train_{mode}_{subset}")
+            if fs.exists(written):
+                fs.rename(written, to)
+            else:
+                fs.mkdirs(to)
+    fs.delete(place(at), True)
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path for it: local or shared alike."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """S9."""
+    fs, at = file_system(spark, path)
+    return fs.exists(at)
+
+
+def require(spark: SparkSession, path: str) -> str:
+    """The path, if there is something."""
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    return path
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    """The folder and those above it, where they are missing."""
+    fs, at = file_system(spark, path)
+    fs.mkdirs(at)
+
+
+def write_report(spark: SparkSession, report: dict, path: str) -> None:
+    """Pretty JSON, by the driver, wherever Spark can write; reports are small by nature."""
+    fs, at = file_system(spark, path)
+    if at.getParent() is not None:
+        fs.mkdirs(at.getParent())
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray(json.dumps(report, ensure_ascii=False, indent=2, default=str), "utf-8"))
+    finally:
+        out.close()
 
 
 SFT = T.StructType([T.StructField(c, T.StringType()) for c in ("instruction", "input", "output")])
