@@ -2,31 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
 
 
+def key_hash(question: Column) -> Column:
+    """A question's key as 16 bytes, so long keys are neither sorted nor sent."""
+    return F.unhex(F.md5(T.question_key(question)))
+
+
+def rank(score: Column, pos: Column) -> Column:
+    """One number that is least for the highest score and then the earliest place; hash aggregation can hold it."""
+    return (-score).cast("decimal(10,0)") * F.lit(str(1 << 63)).cast("decimal(19,0)") + pos.cast("decimal(19,0)")
+
+
 def keep_best(samples: DataFrame, key: Column | None = None, score: str = "quality_score", pos: str = "pos") -> DataFrame:
     """Of each key the row with the highest score, the earliest of equals; ``first_pos`` is the key's first place.
 
-    One shuffle, combined on the map side: a struct of what decides and the row
-    itself is reduced by min, so a hot key arrives as one row for each task.
+    Keys are reduced to (hash, rank, place) first, combined on the map side, so a
+    hot key arrives as one small row for each task; the winners' rows are then
+    looked up by hash and rank. ``pos`` tells rows apart.
     """
     key = T.question_key(F.col("input")) if key is None else key
-    row = F.struct(*samples.columns)
-    order = F.struct((-F.col(score)).alias("s"), F.col(pos).alias("p"))
-    best = samples.groupBy(key.alias("dedup_key")).agg(F.min_by(row, order).alias("row"), F.min(pos).alias("first_pos"))
-    return best.select("row.*", "dedup_key", "first_pos")
+    rows = samples.withColumn("dedup_key", key)
+    rows = rows.withColumns({"__h": F.unhex(F.md5("dedup_key")), "__r": rank(F.col(score), F.col(pos))})
+    best = rows.groupBy("__h").agg(F.min("__r").alias("__r"), F.min(pos).alias("first_pos"))
+    return rows.join(best, ["__h", "__r"]).drop("__h", "__r")
 
 
 def keep_first(rows: DataFrame, question: str = "input", output: str = "output", pos: str = "pos") -> DataFrame:
-    """The first row of each normalized (question, output).
+    """The first row of each normalized (question, output); ``pos`` tells rows apart.
 
-    The texts are reduced to two hashes of their own before the shuffle.
+    The texts are reduced to a hash before the shuffle, and only hash and place
+    are reduced to find the first.
     """
-    keyed = rows.withColumns({"__q": T.dedup_text(F.col(question)), "__o": T.dedup_text(F.col(output))})
-    keyed = keyed.withColumn("__k", F.sha2(F.concat_ws("\x00", "__q", "__o"), 256)).drop("__q", "__o")
-    first = F.row_number().over(Window.partitionBy("__k").orderBy(pos)) == 1
-    return keyed.withColumn("__first", first).where("__first").drop("__k", "__first")
+    key = F.concat_ws("\x00", T.dedup_text(F.col(question)), T.dedup_text(F.col(output)))
+    keyed = rows.withColumn("__h", F.unhex(F.sha2(key, 256)))
+    first = keyed.groupBy("__h").agg(F.min(pos).alias(pos))
+    return keyed.join(first, ["__h", pos], "left_semi").select(*rows.columns)

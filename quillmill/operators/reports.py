@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
+from quillmill.operators import dedup as D
 
 
 def counted(df: DataFrame, by: str) -> DataFrame:
@@ -16,8 +17,10 @@ def counted(df: DataFrame, by: str) -> DataFrame:
 def label_histogram(df: DataFrame, hits: str = "hits", pos: str = "pos") -> DataFrame:
     """A5: label, n, first_pos, in the order of falling counts, ties by first seen."""
     each = df.select(F.col(pos).alias("p"), F.posexplode(hits).alias("k", "label"))
-    sums = each.groupBy("label").agg(F.count("*").alias("n"), F.min(F.struct("p", "k")).alias("first"))
-    return sums.orderBy(F.desc("n"), "first").select("label", "n", F.col("first.p").alias("first_pos"))
+    # place and rank within the row as one number, which hash aggregation can hold
+    first = F.min(F.col("p").cast("decimal(20,0)") * 1024 + F.col("k"))
+    sums = each.groupBy("label").agg(F.count("*").alias("n"), F.min("p").alias("first_pos"), first.alias("first"))
+    return sums.orderBy(F.desc("n"), "first").select("label", "n", "first_pos")
 
 
 def ratio(df: DataFrame, flag: Column, name: str = "ratio") -> DataFrame:
@@ -47,20 +50,26 @@ def first_example(rows: DataFrame) -> DataFrame:
     return rows.agg(F.min_by(F.struct("instruction", "input", "output"), "pos").alias("output_example"))
 
 
-def build_report(parsed: DataFrame, kept: DataFrame) -> DataFrame:
-    """A3, A4 long form: section, name, n."""
-    row = lambda df, section, name, n: df.select(F.lit(section).alias("section"), name.cast("string").alias("name"), n.cast("bigint").alias("n"))
-    before = parsed.agg(F.count("*").alias("raw"), F.count_if(F.col("reason").isNull()).alias("ok"))
-    after = kept.agg(F.count("*").alias("kept"), F.count_if("has_code").alias("code"))
-    both = before.join(F.broadcast(after))  # one row each
-    scalars = both.select(F.expr("stack(5, 'raw_count', raw, 'valid_count_before_dedup', ok, 'valid_count_after_dedup', kept, 'duplicate_removed', ok - kept, 'samples_with_code_after_dedup', code) as (name, n)"))
-    reasons = parsed.where("reason is not null").groupBy("reason").count()
-    return (
-        row(scalars, "scalar", F.col("name"), F.col("n"))
-        .unionByName(row(reasons, "skipped_reasons", F.col("reason"), F.col("count")))
-        .unionByName(row(kept.groupBy("style").count(), "style_count_after_dedup", F.col("style"), F.col("count")))
-        .unionByName(row(kept.groupBy("turns").count(), "turns_count_after_dedup", F.col("turns"), F.col("count")))
-    )
+SCALARS = ("raw_count", "valid_count_before_dedup", "valid_count_after_dedup", "duplicate_removed", "samples_with_code_after_dedup")
+
+
+def build_report(parsed: DataFrame) -> DataFrame:
+    """A3, A4 long form: section, name, n; scalars without rows are 0.
+
+    One pass over the parsed rows: they are reduced to one small row for each
+    reason and for each key's best sample, which then add to their counters.
+    """
+    slim = parsed.select("reason", "style", "turns", "has_code", F.when(F.col("reason").isNull(), D.key_hash(F.col("input"))).alias("h"), D.rank(F.col("quality_score"), F.col("pos")).alias("r"))
+    told = F.struct("style", "turns", "has_code")
+    each = slim.groupBy("reason", "h").agg(F.count("*").alias("n"), F.min_by(told, "r").alias("best"))
+    add = lambda section, name, n: F.struct(F.lit(section).alias("section"), name.cast("string").alias("name"), n.cast("bigint").alias("n"))
+    one, n = F.lit(1), F.col("n")
+    kept = (n, n, one, n - 1, F.col("best.has_code").cast("int"))
+    of_key = F.array(*(add("scalar", F.lit(s), v) for s, v in zip(SCALARS, kept, strict=True)), add("style_count_after_dedup", F.col("best.style"), one), add("turns_count_after_dedup", F.col("best.turns"), one))
+    of_reason = F.array(add("scalar", F.lit("raw_count"), n), add("skipped_reasons", F.col("reason"), n))
+    counters = each.select(F.inline(F.when(F.col("reason").isNull(), of_key).otherwise(of_reason)))
+    zeros = parsed.sparkSession.range(1).select(F.inline(F.array(*(add("scalar", F.lit(s), F.lit(0)) for s in SCALARS))))
+    return counters.unionByName(zeros).groupBy("section", "name").agg(F.sum("n").alias("n"))
 
 
 def as_map(long: DataFrame, key: str, value: str) -> dict:
