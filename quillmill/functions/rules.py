@@ -9,6 +9,8 @@ results. Patterns are written for Python's ``re`` and go through ``dialect``.
 DEFAULT_SYSTEM = "你是一个数学解题大师，请解决以下数学题，务必详细说明解题思路，并在必要时提供Python代码来支持你的推理。答案中的数值应使用\\boxed{}包围，最后的答案以“因此”开头并直接给出结论，不要添加任何多余的内容。"
 STANDARD_INSTRUCTION = "请解决下面的数学题。可以给出必要的推理，并在需要时给出 Python 代码。\n最后请单独一行输出：Final Answer: <answer>"
 QUESTION_PREFIX = "题目："
+INPUT_PREFIX = r"^题目[:：]\s*"
+KEY_PREFIX = r"^\s*(题目[:：]\s*)"
 EXECUTION_TITLE = "代码执行结果：\n"
 NUMBER_PROMPT = "请解答下面的数学题。\n你可以进行必要推理，但最后一行必须严格按下面格式输出，且只能输出一个数字，不要输出单位、解释或其他文字：\nFinal Answer: <number>\n\n题目："
 BOXED_PROMPT = "Please solve the following math word problem step by step. At the end, give the final answer in the format \\boxed{answer}.\n\nProblem:\n"

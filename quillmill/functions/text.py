@@ -59,13 +59,13 @@ def with_prefix(question: Column) -> Column:
 
 def question_of(instruction: Column, input_: Column) -> Column:
     """N3e of normalized columns: the input without its prefix, else the instruction without boilerplate and prefix."""
-    bare = lambda c: strip(sub(c, r"^题目[:：]\s*"))
+    bare = lambda c: strip(sub(c, R.INPUT_PREFIX))
     return F.when(input_ != "", bare(input_)).otherwise(bare(strip(sub(instruction, R.BOILERPLATE, "", "s"))))
 
 
 def question_key(c: Column) -> Column:
     """N1, one question prefix cut, lower case, white space and punctuation deleted."""
-    c = F.lower(sub(normalize_chat(c), r"^\s*(题目[:：]\s*)", "", "i"))
+    c = F.lower(sub(normalize_chat(c), R.KEY_PREFIX, "", "i"))
     return F.regexp_replace(sub(c, r"\s+"), R.KEY_PUNCTUATION, "")
 
 
