@@ -62,11 +62,11 @@ def scored_segments(items: DataFrame) -> DataFrame:
 
 
 def scored_simple(items: DataFrame) -> DataFrame:
-    """Id (from 1), question, gold, pred, correct, type from pos, question, answer, model_output."""
+    """Id (from 1), question, gold, pred, correct, type, model_output from pos, question, answer, model_output (P8); raw_item too where it is given."""
     told = items.withColumns({"gold": last_plain_number(F.col("answer")), "found": A.simple_answer(F.col("model_output"))})
     correct = F.coalesce(F.col("found").isNotNull() & equal_or_text(F.col("found"), F.col("gold")), F.lit(False))
     kind = F.when(F.col("found").isNull(), "extract_error").when(correct, "correct").otherwise("reasoning_error")
-    return told.select((F.col("pos") + 1).alias("id"), "question", "gold", F.coalesce("found", F.lit("NONE")).alias("pred"), correct.alias("correct"), kind.alias("type"), "model_output")
+    return told.select((F.col("pos") + 1).alias("id"), "question", "gold", F.coalesce("found", F.lit("NONE")).alias("pred"), correct.alias("correct"), kind.alias("type"), "model_output", *(["raw_item"] if "raw_item" in items.columns else []))
 
 
 def analysed(items: DataFrame) -> DataFrame:

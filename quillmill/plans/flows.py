@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import functools
+import importlib
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmill.functions.numbers import rounded
 from quillmill.functions.text import has_fence
 from quillmill.operators import cleaning, conversations, dedup, hooks, reports, scoring
 from quillmill.sources import jsonio
@@ -15,19 +18,20 @@ from quillmill.sources import jsonio
 
 def build(spark: SparkSession, input_path: str, out_dir: str) -> dict:
     """Conversations to eight instruction datasets and clean_report.json; returns the report."""
-    df = jsonio.conversations(spark, input_path)
+    df = jsonio.conversations(spark, jsonio.require(spark, input_path))
+    jsonio.make_folder(spark, out_dir)
     parsed = conversations.parsed(df, F.col("source")).persist(StorageLevel.MEMORY_AND_DISK)
     kept = dedup.keep_best(conversations.valid(parsed)).persist(StorageLevel.MEMORY_AND_DISK)
     rows = conversations.fan_out(kept.withColumn("pos", F.col("first_pos")))
-    jsonio.write_fan_out(rows, f"{out_dir}/datasets")
+    jsonio.write_fan_out(rows, out_dir)
     conversations.validate_ablated(rows.where("mode = 'ablated'"))
     report = {}
-    for r in reports.build_report(parsed, kept).collect():
+    for r in reports.build_report(parsed).collect():
         if r["section"] == "scalar":
             report[r["name"]] = r["n"]
         else:
             report.setdefault(r["section"], {})[r["name"]] = r["n"]
-    jsonio.write_report(report, f"{out_dir}/clean_report.json")
+    jsonio.write_report(spark, report, f"{out_dir}/clean_report.json")
     kept.unpersist()
     parsed.unpersist()
     return report
@@ -45,7 +49,7 @@ def clean(spark: SparkSession, input_path: str, output_path: str, report_path: s
         "input_path": input_path, "output_path": output_path, "raw_count": sum(outcomes.values()), "cleaned_count_before_dedup": outcomes.get("ok", 0),
         "cleaned_count_after_dedup": kept, "duplicate_removed": outcomes.get("ok", 0) - kept, "reason_counter": outcomes, "output_example": example.asDict() if example else None,
     }
-    jsonio.write_report(report, report_path or f"{output_path.removesuffix('.jsonl')}.report.json")
+    jsonio.write_report(spark, report, report_path or f"{output_path.removesuffix('.jsonl')}.report.json")
     first.unpersist()
     done.unpersist()
     return report
@@ -54,17 +58,19 @@ def clean(spark: SparkSession, input_path: str, output_path: str, report_path: s
 def audit(spark: SparkSession, input_path: str, report_path: str) -> dict:
     """D3: named-rule residue of outputs; returns the report."""
     items = jsonio.read_jsonl(spark, input_path)
-    rows = items.select("line_no", *(jsonio.field("item", c).alias(c) for c in ("instruction", "input", "output")))
-    held = reports.named_audit(rows.withColumn("output", F.coalesce("output", F.lit(""))))
-    total = reports.ratio(held, F.size("hits") > 0).first()
+    # a JSON null is the text 'None' as an output, stays null as an instruction, and has no text as an input
+    told = F.when(F.is_variant_null(F.try_variant_get("item", "$.instruction", "variant")), F.lit(None)).otherwise(F.coalesce(jsonio.field("item", "instruction"), F.lit("")))
+    rows = items.select("line_no", told.alias("instruction"), jsonio.field("item", "input").alias("input"), F.coalesce(jsonio.field_or_none("item", "output"), F.lit("")).alias("output"))
+    held = reports.named_audit(rows)
+    total = reports.ratio(held, F.size("hits") > 0).withColumn("ratio", rounded(F.col("ratio"), 6)).first()
     histogram = reports.label_histogram(held, pos="line_no")
     found = held.where(F.size("hits") > 0).orderBy("line_no").limit(50)
-    shown = found.select("line_no", "hits", F.coalesce("instruction", F.lit("")).alias("instruction"), F.substring(F.coalesce("input", F.lit("")), 1, 300).alias("input"), F.substring("output", 1, 800).alias("output_preview"))
+    shown = found.select("line_no", "hits", "instruction", F.substring(F.coalesce("input", F.lit("")), 1, 300).alias("input"), F.substring("output", 1, 800).alias("output_preview"))
     report = {
         "input_path": input_path, "total_samples": total["total"], "residue_samples": total["hits"], "clean_samples": total["total"] - total["hits"],
-        "residue_ratio": round(total["ratio"], 6), "reason_counter": reports.as_map(histogram, "label", "n"), "examples": [r.asDict() for r in shown.collect()],
+        "residue_ratio": total["ratio"], "reason_counter": reports.as_map(histogram, "label", "n"), "examples": [r.asDict() for r in shown.collect()],
     }
-    jsonio.write_report(report, report_path)
+    jsonio.write_report(spark, report, report_path)
     return report
 
 
@@ -86,31 +92,31 @@ def qa_items(spark: SparkSession, path: str) -> DataFrame:
 
 
 def body_items(spark: SparkSession, path: str) -> DataFrame:
-    """Pos, question, answer."""
+    """Pos, question, answer, raw_item (the item as it is)."""
     items = jsonio.read_json_array(spark, path, require_list=False)
-    texts = items.select("pos", jsonio.field("item", "Body").alias("Body"), jsonio.field("item", "Question").alias("Question"), F.coalesce(jsonio.field_or_none("item", "Answer"), F.lit("")).alias("answer"))
-    return texts.select("pos", scoring.body_question("Body", "Question").alias("question"), "answer")
+    texts = items.select("pos", F.col("item").alias("raw_item"), jsonio.field("item", "Body").alias("Body"), jsonio.field("item", "Question").alias("Question"), F.coalesce(jsonio.field_or_none("item", "Answer"), F.lit("")).alias("answer"))
+    return texts.select("pos", scoring.body_question("Body", "Question").alias("question"), "answer", "raw_item")
 
 
 def evaluate_segments(answered: DataFrame, mode: str, test_path: str, output_path: str) -> dict:
     """D6 after generation: details and summary of pos, question, gold_raw, answer_raw."""
     scoring.check_mode(mode)
     details = scoring.scored_segments(answered)
-    s = scoring.accuracy(details).first()
-    report = {"mode": mode, "test_path": test_path, "summary": {"total": s["total"], "correct": s["correct"], "accuracy": round(s["accuracy"], 6)}}
+    s = scoring.accuracy(details).withColumn("accuracy", rounded(F.col("accuracy"), 6)).first()
+    report = {"mode": mode, "test_path": test_path, "summary": {"total": s["total"], "correct": s["correct"], "accuracy": s["accuracy"]}}
     details.orderBy("idx").write.mode("overwrite").option("ignoreNullFields", "false").json(f"{output_path}.details")
-    jsonio.write_report(report, output_path)
+    jsonio.write_report(details.sparkSession, report, output_path)
     return report
 
 
 def evaluate_simple(answered: DataFrame, mode: str, dataset: str, output_path: str) -> dict:
     """D7 after generation."""
     results = scoring.scored_simple(answered)
-    s = scoring.accuracy(results, "correct", empty=None).first()
+    s = scoring.accuracy(results, "correct", empty=None).withColumn("accuracy", rounded(F.col("accuracy"), 4)).first()
     kinds = reports.as_map(reports.counted(results, "type"), "type", "n")
-    report = {"mode": mode, "dataset": dataset, "total": s["total"], "correct": s["correct"], "accuracy": round(s["accuracy"], 4), "type_counter": kinds}
+    report = {"mode": mode, "dataset": dataset, "total": s["total"], "correct": s["correct"], "accuracy": s["accuracy"], "type_counter": kinds}
     results.orderBy("id").write.mode("overwrite").option("ignoreNullFields", "false").json(f"{output_path}.results")
-    jsonio.write_report(report, output_path)
+    jsonio.write_report(results.sparkSession, report, output_path)
     return report
 
 
@@ -123,12 +129,10 @@ def predictions(spark: SparkSession, path: str) -> DataFrame:
 def analyse(spark: SparkSession, pred_file: str, out_file: str, executor: hooks.Executor | None = None) -> dict:
     """Rescoring of saved predictions; code runs only with an executor."""
     details = hooks.executed(scoring.analysed(predictions(spark, pred_file)), executor).persist(StorageLevel.MEMORY_AND_DISK)
-    s = scoring.analysis_summary(details).first().asDict()
-    for k in ("accuracy", "code_generation_rate", "code_executability_rate"):
-        s[k] = round(s[k], 4)
-    s = {"pred_file": pred_file, **s}
+    rates = {k: rounded(F.col(k), 4) for k in ("accuracy", "code_generation_rate", "code_executability_rate")}
+    s = {"pred_file": pred_file, **scoring.analysis_summary(details).withColumns(rates).first().asDict()}
     details.orderBy("idx").write.mode("overwrite").option("ignoreNullFields", "false").json(f"{out_file}.details")
-    jsonio.write_report({"summary": s, "wrong": [r[0] for r in scoring.wrong_ids(details).collect()]}, out_file)
+    jsonio.write_report(spark, {"summary": s, "wrong": [r[0] for r in scoring.wrong_ids(details).collect()]}, out_file)
     details.unpersist()
     return s
 
@@ -138,13 +142,46 @@ def summary_lines(report: dict) -> str:
     return "\n".join(f"{k}: {v}" for k, v in report.items() if not isinstance(v, (list, dict))) + "".join(f"\n{k}: " + ", ".join(f"{a}={b}" for a, b in sorted(v.items())) for k, v in report.items() if isinstance(v, dict))
 
 
+def generator(name: str, **told):
+    """``module:factory`` as a hook that makes a batch generator; the factory gets what was told of the model."""
+    module, _, factory = name.partition(":")
+    make = getattr(importlib.import_module(module), factory)
+    return functools.partial(make, **{k: v for k, v in told.items() if v is not None})
+
+
+def segments(spark: SparkSession, mode: str, test_path: str, output_path: str, make) -> dict:
+    """D6 with generation: items are prompted, answered by the hook's generator, and scored."""
+    scoring.check_mode(mode)
+    items = qa_items(spark, jsonio.require(spark, test_path))
+    answered = hooks.generated(items.withColumn("prompt", scoring.number_prompt(F.col("question"))), make).drop("prompt").persist(StorageLevel.MEMORY_AND_DISK)
+    report = evaluate_segments(answered, mode, test_path, output_path)
+    answered.unpersist()
+    return report
+
+
+def simple(spark: SparkSession, mode: str, data_path: str, output_path: str, make, limit: int | None = None) -> dict:
+    """D7 with generation; the generator gives prompt and answer together, as the task's does."""
+    items = scoring.limited(body_items(spark, jsonio.require(spark, data_path)), limit)
+    prompts = items.select("pos", scoring.boxed_prompt(F.col("question")).alias("prompt"))
+    answers = hooks.generated(prompts, make).select("pos", F.col("answer_raw").alias("model_output"))
+    answered = items.join(answers, "pos").persist(StorageLevel.MEMORY_AND_DISK)
+    report = evaluate_simple(answered, mode, data_path, output_path)
+    answered.unpersist()
+    return report
+
+
 def main(argv: list[str] | None = None) -> None:
-    """Build --input --out_dir | clean --input --output [--report] | audit --input --report | spot --input | fences --input | analyse --pred_file --out_file [--run_code]."""
+    """Build --input --out_dir | clean --input --output [--report] | audit --input --report | spot --input | fences --input
+    | segments --mode --test_path --output_path --generator [--base_model] [--max_new_tokens]
+    | simple --mode --data_path --output_path --generator [--base_model_path] [--adapter_path] [--limit] [--max_new_tokens]
+    | analyse --pred_file --out_file [--run_code]. A generator is ``module:factory``."""
     parser = argparse.ArgumentParser(prog="quillmill")
     sub = parser.add_subparsers(dest="flow", required=True)
     for name, needed, optional in (
         ("build", ("--input", "--out_dir"), ()), ("clean", ("--input", "--output"), ("--report",)), ("audit", ("--input", "--report"), ()),
         ("spot", ("--input",), ()), ("fences", ("--input",), ()), ("analyse", ("--pred_file", "--out_file"), ()),
+        ("segments", ("--mode", "--test_path", "--output_path", "--generator"), ("--base_model",)),
+        ("simple", ("--mode", "--data_path", "--output_path", "--generator"), ("--base_model_path", "--adapter_path")),
     ):
         p = sub.add_parser(name)
         for n in needed:
@@ -153,6 +190,10 @@ def main(argv: list[str] | None = None) -> None:
             p.add_argument(n)
         if name == "analyse":
             p.add_argument("--run_code", action="store_true")
+        if name in ("segments", "simple"):
+            p.add_argument("--max_new_tokens", type=int, default=512 if name == "segments" else 256)
+        if name == "simple":
+            p.add_argument("--limit", type=int)
     a = parser.parse_args(argv)
     spark = SparkSession.builder.appName("quillmill").getOrCreate()
     if a.flow == "build":
@@ -166,6 +207,11 @@ def main(argv: list[str] | None = None) -> None:
         print(f"outputs with residue: {n}", *(f"{r['pos']}: {r['hits']}\n{r['output_preview']}" for r in shown), sep="\n")
     elif a.flow == "fences":
         print(f"share of outputs with a fence: {fence_ratio(spark, a.input):.2%}")
+    elif a.flow == "segments":
+        print(summary_lines(segments(spark, a.mode, a.test_path, a.output_path, generator(a.generator, base_model=a.base_model, max_new_tokens=a.max_new_tokens))))
+    elif a.flow == "simple":
+        make = generator(a.generator, base_model=a.base_model_path, adapter_path=a.adapter_path, max_new_tokens=a.max_new_tokens)
+        print(summary_lines(simple(spark, a.mode, a.data_path, a.output_path, make, a.limit)))
     else:
         print(summary_lines(analyse(spark, a.pred_file, a.out_file, hooks.subprocess_executor() if a.run_code else None)))
 
