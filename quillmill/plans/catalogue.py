@@ -54,13 +54,21 @@ def _turns(spark, sf_dir):
     return _input(spark, sf_dir, "conversations", X.TURNS)
 
 
+def _conversations(spark, sf_dir):
+    held = conversations.packed(_turns(spark, sf_dir))
+    kind = held.schema["conversations"].dataType
+    none = F.when(F.col("pos") % 2 == 0, F.lit(None)).otherwise(F.array()).cast(kind)
+    empty = _input(spark, sf_dir, "conversations", X.EMPTY).select("pos", none.alias("conversations"))
+    return held.unionByName(empty)
+
+
 def _parsed(spark, sf_dir):
-    return conversations.parsed(conversations.packed(_turns(spark, sf_dir)), F.lit("conversations"))
+    return conversations.parsed(_conversations(spark, sf_dir), F.lit("conversations"))
 
 
 _PARSED = f"""
 t AS ({_duck(X.TURNS)}),
-p AS (SELECT conv_id AS pos, list(struct_pack(r := role, v := text) ORDER BY turn) AS c FROM t GROUP BY 1),
+p AS (SELECT conv_id AS pos, list(struct_pack(r := role, v := text) ORDER BY turn) AS c FROM t GROUP BY 1 UNION ALL SELECT pos, CASE WHEN pos % 2 <> 0 THEN [] END FROM ({X.EMPTY})),
 m AS (SELECT pos, list_filter(list_transform(c, lambda x: struct_pack(role := CASE x.r WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE coalesce(x.r, '') END, content := {D.n1("x.v")})), lambda x: x.role <> '' AND x.content <> '') AS msgs, c FROM p),
 a AS (SELECT *, len(msgs)::INT AS turns, coalesce(msgs[1].role = 'system', false) AS sys FROM m),
 b AS (SELECT *, CASE WHEN sys THEN msgs[2:] ELSE msgs END AS rest FROM a),
@@ -85,7 +93,7 @@ kept AS (SELECT * FROM (SELECT *, min(pos) OVER (PARTITION BY dedup_key) AS firs
 
 @query(f"WITH {_PARSED} SELECT pos, turns, array_to_string(list_transform(msgs, lambda x: x.role), '|') AS roles FROM a")
 def role_map_turn_counts(spark, sf_dir):
-    msgs = conversations.packed(_turns(spark, sf_dir)).withColumn("msgs", conversations.messages(F.col("conversations")))
+    msgs = _conversations(spark, sf_dir).withColumn("msgs", conversations.messages(F.col("conversations")))
     return msgs.select("pos", F.size("msgs").alias("turns"), F.array_join(F.transform("msgs", lambda m: m["role"]), "|").alias("roles"))
 
 
@@ -242,8 +250,7 @@ UNION ALL SELECT 'scalar', 'duplicate_removed', ok - kept FROM c UNION ALL SELEC
 UNION ALL SELECT 'skipped_reasons', reason, count(*) FROM samples WHERE reason IS NOT NULL GROUP BY reason
 UNION ALL SELECT 'style_count_after_dedup', style, count(*) FROM kept GROUP BY style UNION ALL SELECT 'turns_count_after_dedup', turns::VARCHAR, count(*) FROM kept GROUP BY turns""")
 def build_report_long(spark, sf_dir):
-    parsed = _parsed(spark, sf_dir)
-    return reports.build_report(parsed, dedup.keep_best(conversations.valid(parsed)))
+    return reports.build_report(_parsed(spark, sf_dir))
 
 
 @query(f"WITH {_KEPT} SELECT pos, first_pos, dedup_key, style, turns, has_code, quality_score, length(full_output) AS full_chars, length(ablated_output) AS ablated_chars FROM kept")
@@ -255,15 +262,15 @@ def build_flagship(spark, sf_dir):
 # ---- code-bearing rows ----
 
 _CODE = f"""
-r AS (SELECT pos, {D.n2("instruction")} AS i, {D.n2("input")} AS q, {D.n2("output")} AS o FROM {_pos(X.CODE_ROWS)}),
+r AS (SELECT pos, coalesce({D.n2("instruction")}, '') AS i, coalesce({D.n2("input")}, '') AS q, coalesce({D.n2("output")}, '') AS o, is_object FROM {_pos(X.CODE_ROWS)}),
 c AS (SELECT *, CASE WHEN q <> '' THEN {D.strip(D.sub("q", f"^题目[:：][{D.SPACES}]*"))} ELSE {D.strip(D.sub(D.strip(D.sub("i", "(?s)^你是一个数学解题大师.*?(题目[:：])", r"'\1'")), f"^题目[:：][{D.SPACES}]*"))} END AS question, {D.c1("o")} AS code, {D.e1("o")} AS answer, {D.c8("o")} AS rest FROM r),
-d AS (SELECT *, CASE WHEN o = '' THEN 'empty_output' WHEN question = '' THEN 'empty_question' WHEN code IS NULL THEN 'no_python_code' WHEN answer IS NULL OR answer = '' THEN 'no_final_answer' WHEN length(code) > 2500 THEN 'code_too_long' ELSE 'ok' END AS outcome FROM c),
+d AS (SELECT *, CASE WHEN NOT is_object THEN 'not_dict' WHEN o = '' THEN 'empty_output' WHEN question = '' THEN 'empty_question' WHEN code IS NULL THEN 'no_python_code' WHEN answer IS NULL OR answer = '' THEN 'no_final_answer' WHEN length(code) > 2500 THEN 'code_too_long' ELSE 'ok' END AS outcome FROM c),
 e AS (SELECT *, {D.c9("rest")} AS core FROM d),
 done AS (SELECT pos, {D.q(R.STANDARD_INSTRUCTION)} AS instruction, '题目：' || question AS input, CASE WHEN core <> '' THEN core || chr(10) || chr(10) || 'Final Answer: ' || answer ELSE 'Final Answer: ' || answer END AS output, outcome FROM e)"""
 
 
 def _cleaned(spark, sf_dir):
-    return cleaning.cleaned(_input(spark, sf_dir, "documents", X.CODE_ROWS))
+    return cleaning.cleaned(_input(spark, sf_dir, "documents", X.CODE_ROWS), "is_object")
 
 
 @query(f"WITH {_CODE} SELECT pos, instruction, input, output FROM done WHERE outcome = 'ok'")

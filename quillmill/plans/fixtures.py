@@ -26,8 +26,18 @@ VALUE = f"""CASE
   WHEN role = 'assistant' AND conv_id % 4 = 2 THEN concat(text, {NL}, '### Python代码验证：', {NL}, 'print(3)', {NL}, '输出结果为 3', {NL}, '# title', {NL}, '所以 7', chr(9), chr(9), 'end')
   WHEN role = 'assistant' AND conv_id % 19 = 6 THEN concat({F3}, 'python', {NL}, text, {F3})
   ELSE text END"""
-#: conv_id, turn, role, text: every turn of every conversation
-TURNS = f"SELECT conv_id, turn, {ROLE} AS role, {VALUE} AS text FROM conversations"
+#: More conversations, under ids below 0, for reasons that the table's own never meet: their roles by turn.
+SHORT, NO_QUESTION, NO_RESPONSE, NO_ANSWER, ONLY_CODE = -1_000_000, -2_000_000, -3_000_000, -4_000_000, -6_000_000
+MORE = ", ".join(
+    f"({base}, {turn}, '{role}')"
+    for base, roles in ((SHORT, ("user",)), (NO_QUESTION, ("system", "system", "assistant")), (NO_RESPONSE, ("system", "assistant", "user")), (NO_ANSWER, ("system", "user", "user")), (ONLY_CODE, ("system", "user", "assistant")))
+    for turn, role in enumerate(roles)
+)
+#: conv_id, turn, role, text: every turn of every conversation, and those above from the first turn of some
+TURNS = f"""SELECT conv_id, turn, {ROLE} AS role, {VALUE} AS text FROM conversations
+  UNION ALL SELECT m.base - c.conv_id, cast(m.turn AS BIGINT), m.role, CASE WHEN m.base = {ONLY_CODE} AND m.turn = 2 THEN concat({F3}, 'python', {NL}, c.text, {NL}, {F3}) ELSE c.text END FROM conversations c, (VALUES {MORE}) AS m(base, turn, role) WHERE c.turn = 0 AND c.conv_id % 10 = 3"""
+#: pos of conversations that are missing (even) or empty (odd)
+EMPTY = "SELECT DISTINCT -5000000 - conv_id AS pos FROM conversations WHERE conv_id % 10 IN (4, 5)"
 
 #: doc_id, text with one residue snippet for most rows
 RESIDUE = f"""SELECT doc_id, concat(text, CASE doc_id % 16
@@ -41,7 +51,7 @@ RESIDUE = f"""SELECT doc_id, concat(text, CASE doc_id % 16
 QUESTIONS = f"""SELECT doc_id, concat(CASE doc_id % 8 WHEN 0 THEN '题目：一共多少' WHEN 1 THEN 'How many more than ' WHEN 2 THEN '题目: 5 KG ' WHEN 3 THEN '求导数 '
   WHEN 4 THEN concat({BS}, 'frac ') WHEN 5 THEN 'dx' WHEN 6 THEN '圆(' ELSE '' END, text) AS question, text FROM documents"""
 
-#: pos, instruction, input, output of code-bearing rows
+#: pos, instruction, input, output, is_object of code-bearing rows; below 0 records that are no objects and outputs without any number
 CODE_ROWS = f"""SELECT doc_id AS pos,
   CASE WHEN doc_id % 7 = 0 THEN concat('你是一个数学解题大师，请', {NL}, '题目: ', text) WHEN doc_id % 7 = 6 THEN '' ELSE 'solve' END AS instruction,
   CASE WHEN doc_id % 7 = 0 OR doc_id % 14 = 6 THEN '' WHEN doc_id % 7 = 1 THEN concat('题目: ', text) ELSE text END AS input,
@@ -52,7 +62,9 @@ CODE_ROWS = f"""SELECT doc_id AS pos,
       ELSE concat({F3}, 'Python', {NL}, 'print(', cast(doc_id % 9 AS STRING), ')', {NL}, {F3}) END,
     CASE doc_id % 4 WHEN 0 THEN concat({NL}, '代码执行结果: 12', {NL}, '因此 ok') WHEN 1 THEN concat({NL}, '可见 so', {NL}, '所以 done') ELSE '' END,
     CASE doc_id % 6 WHEN 0 THEN concat({NL}, {BS}, 'boxed', '{{1,300}} and ', {BS}, 'boxed', '{{x = 4.0}}') WHEN 1 THEN concat({NL}, 'Final Answer: 7 or 8') WHEN 2 THEN concat({NL}, '最终答案是: -3/4') WHEN 3 THEN concat({NL}, '答案为 none at all')
-      WHEN 4 THEN concat({NL}, 'so 15.0 kg') ELSE '' END) END AS output FROM documents"""
+      WHEN 4 THEN concat({NL}, 'so 15.0 kg') ELSE '' END) END AS output, true AS is_object FROM documents
+  UNION ALL SELECT -1 - doc_id, 'solve', 'a question', concat('We think of ', {F3}, 'python', {NL}, 'print(x)', {NL}, {F3}, ' and so on'), true FROM documents WHERE doc_id % 50 = 1
+  UNION ALL SELECT -1 - doc_id, NULL, NULL, NULL, false FROM documents WHERE doc_id % 50 = 2"""
 
 #: pos, question, answer_raw, gold
 ANSWERS = f"""SELECT doc_id AS pos, text AS question, concat(text, {NL}, CASE doc_id % 12
