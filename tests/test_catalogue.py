@@ -37,12 +37,22 @@ def test_every_turn_is_read(spark):
     given = spark.read.parquet(f"{SF}/conversations.parquet")
     wanted = sorted(map(tuple, given.select("conv_id", "turn").collect()))
     for name in ("exec_result_extract", "code_block_removal", "ablated_output"):
-        assert sorted(map(tuple, catalogue.QUERIES[name](spark, SF).select("conv_id", "turn").collect())) == wanted
+        # ids below 0 are the fixture's own
+        assert sorted(map(tuple, catalogue.QUERIES[name](spark, SF).where("conv_id >= 0").select("conv_id", "turn").collect())) == wanted
     sizes = given.groupBy("conv_id").count()
     kept = catalogue._parsed(spark, SF).join(sizes, sizes["conv_id"] == F.col("pos")).where("reason IS NULL")
     assert {r["count"] - r["turns"] for r in kept.collect()} == {0}
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_every_reason_is_met(spark):
+    reasons = {r["reason"] for r in catalogue.QUERIES["reject_reason_histogram"](spark, "/root/testdata/sf0.01").collect()}
+    assert {"missing_or_empty_conversations", "too_few_valid_messages", "missing_user_question", "missing_response_after_question", "missing_assistant_answer", "full_output_too_short", "ablated_output_too_short", "ablated_code_residue", "ok"} <= reasons
+    assert any(r.startswith("unsupported_turns_") for r in reasons)
+    outcomes = {r["outcome"] for r in catalogue.QUERIES["clean_v2_reasons"](spark, SF).collect()}
+    assert outcomes == {"ok", "not_dict", "empty_output", "empty_question", "no_python_code", "no_final_answer", "code_too_long"}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
 def test_texts_are_whole(spark):
     texts = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.col("text").alias("whole"))

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import json
+import random
+import unicodedata
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
+from quillmill.functions import numbers
 from quillmill.operators import conversations, dedup, hooks, reports, scoring
 from quillmill.plans import flows
 from quillmill.sources import jsonio
@@ -55,11 +59,34 @@ def test_build(spark, tmp_path):
     assert report["valid_count_before_dedup"] == 5
     assert report["duplicate_removed"] == 1  # 'q one' and 'Q, one!' share a key
     assert sum(report["skipped_reasons"].values()) + 5 == len(CASES)
-    rows = spark.read.json(str(tmp_path / "out/datasets"))
-    assert rows.where("subset = 'all' and mode = 'full'").count() == 4
+    names = {p.name for p in (tmp_path / "out").iterdir() if p.suffix == ".jsonl"}
+    assert names == {f"train_{m}_{s}.jsonl" for m in ("full", "ablated") for s in ("clean", "codeonly", "gsm8kstyle", "mathstyle")}
+    rows = spark.read.json(str(tmp_path / "out/train_full_clean.jsonl"))
+    assert rows.count() == 4 and rows.columns == ["input", "instruction", "output"]
+    assert spark.read.json(str(tmp_path / "out/train_ablated_codeonly.jsonl")).count() == report["samples_with_code_after_dedup"]
     assert json.loads((tmp_path / "out/clean_report.json").read_text(encoding="utf-8")) == report
 
 
+def test_missing_input_and_shared_paths(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        flows.build(spark, str(tmp_path / "none.json"), str(tmp_path / "out"))
+    jsonio.write_report(spark, {"a": "é"}, f"file://{tmp_path}/deep/er/r.json")
+    assert json.loads((tmp_path / "deep/er/r.json").read_text(encoding="utf-8")) == {"a": "é"}
+    assert jsonio.exists(spark, f"file://{tmp_path}/deep/er") and not jsonio.exists(spark, str(tmp_path / "other"))
+
+
+def test_lines_are_numbered_over_splits_and_files(spark, tmp_path):
+    texts = [[f"a{k}" for k in range(3000)], ["", "b1", ""], [f"c{k}" * 7 for k in range(500)]]
+    for k, lines in enumerate(texts):
+        (tmp_path / f"part{k}.txt").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        got = [tuple(r) for r in jsonio.numbered_lines(spark, str(tmp_path)).orderBy("line_no").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == list(enumerate((x for lines in texts for x in lines), 1))
+
+
 def test_build_rejects_other_json(spark, tmp_path):
     path = tmp_path / "bad.json"
     path.write_text("{}")
@@ -115,6 +142,11 @@ def test_audit(spark, tmp_path):
     assert (report["total_samples"], report["residue_samples"], report["residue_ratio"]) == (2, 1, 0.5)
     assert report["reason_counter"] == {"print_call": 1, "assign_like_code": 1}
     assert report["examples"][0]["line_no"] == 3
+    none = tmp_path / "none.jsonl"
+    none.write_text('{"output": null, "instruction": null}\n{"output": "x = 5", "instruction": null, "input": null}\n{"input": "i"}\n')
+    told = flows.audit(spark, str(none), str(tmp_path / "n.json"))
+    assert told["total_samples"] == 3 and told["residue_samples"] == 1
+    assert (told["examples"][0]["instruction"], told["examples"][0]["input"]) == (None, "")
     strict = tmp_path / "s.jsonl"
     strict.write_text('{"output": "fine"}\n{"output": "```x"}\n')
     assert flows.spot_check(spark, str(strict))[0] == 1
@@ -136,11 +168,28 @@ def test_evaluations(spark, tmp_path):
     answered = flows.body_items(spark, str(path)).withColumn("model_output", F.when(F.col("pos") == 0, "answer is 1,300 answer is 1300").otherwise("none"))
     assert answered.orderBy("pos").first()["question"] == "b\nq?"
     report = flows.evaluate_simple(answered, "base", "B", str(tmp_path / "b.json"))
+    results = spark.read.json(str(tmp_path / "b.json.results")).orderBy("id").collect()
+    assert results[0]["raw_item"]["Body"] == " b " and results[1]["raw_item"]["Answer"] == "n"
     assert report["type_counter"] == {"correct": 1, "extract_error": 1} and report["accuracy"] == 0.5
     with pytest.raises(Exception, match="no items"):
         scoring.accuracy(spark.createDataFrame([], "is_correct boolean"), empty=None).collect()
 
 
+def echo(base_model=None, adapter_path=None, max_new_tokens=None):
+    return lambda prompts: [f"Final Answer: {max_new_tokens}" if "格式" in p else "the answer is 3" for p in prompts]
+
+
+def test_command_line_evaluations(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(type(spark), "stop", lambda self: None)
+    (tmp_path / "a.json").write_text(json.dumps([{"question": "q", "answer": 7}, {"question": "r", "answer": "8"}]))
+    flows.main(["segments", "--mode", "base", "--test_path", str(tmp_path / "a.json"), "--output_path", str(tmp_path / "a.out"), "--generator", "tests.test_flows:echo", "--max_new_tokens", "7"])
+    assert json.loads((tmp_path / "a.out").read_text())["summary"] == {"total": 2, "correct": 1, "accuracy": 0.5}
+    (tmp_path / "b.json").write_text(json.dumps([{"Body": "b", "Question": "q", "Answer": 3.0}, {"Body": "b", "Question": "q", "Answer": 4}, {"Answer": 5}]))
+    flows.main(["simple", "--mode", "full_v2", "--data_path", str(tmp_path / "b.json"), "--output_path", str(tmp_path / "b.out"), "--generator", "tests.test_flows:echo", "--limit", "2"])
+    told = json.loads((tmp_path / "b.out").read_text())
+    assert (told["total"], told["correct"], told["type_counter"]) == (2, 1, {"correct": 1, "reasoning_error": 1})
+
+
 def test_analyse_runs_code_only_when_told(spark, tmp_path):
     path = tmp_path / "p.json"
     path.write_text(json.dumps([{"prediction": "```python\nprint(7)\n``` 7", "label": 7}, {"output": "```\n1/0\n``` 3", "answer": "4"}, {"response": "5", "answer": "5"}]))
@@ -148,7 +197,35 @@ def test_analyse_runs_code_only_when_told(spark, tmp_path):
     assert quiet["executable_code_count"] == 0 and quiet["code_count"] == 2
     told = flows.analyse(spark, str(path), str(tmp_path / "o.json"), hooks.subprocess_executor())
     assert told == {"pred_file": str(path), "total": 3, "correct": 2, "code_count": 2, "executable_code_count": 1, "accuracy": 0.6667, "code_generation_rate": 0.6667, "code_executability_rate": 0.5}
+    run = hooks.subprocess_executor(3)
     assert hooks.subprocess_executor(0.5)("while True: pass") == (False, "", "timeout")
+    assert run(" \n") == (False, "", "empty_code")
+    ok, out, err = run("import sys\nprint('é')\nsys.exit(3)")
+    assert (ok, out, err) == (False, "é", "")
+    assert run("1/0")[0] is False and "ZeroDivisionError" in run("1/0")[2]
+
+
+def test_numbers_of_other_scripts(spark):
+    texts = ["１２", "٣", "٣/٤", "1_000", "1__0", "_1", "1_", "1_0/4", "-२.५", "1_0e0_1", "x", "٣x"]
+
+    def plain(t):
+        t = unicodedata.normalize("NFKC", t)
+        try:
+            return float(Fraction(t)) if "/" in t else float(t)
+        except ValueError:
+            return None
+
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", numbers.parse_number(F.col("t")).alias("v"))
+    assert {r["k"]: r["v"] for r in df.collect()} == {k: plain(t) for k, t in enumerate(texts)}
+
+
+def test_rounding_is_pythons(spark):
+    rng = random.Random(2)
+    values = [0.125, 13 / 160, 0.5, 1.5, 2.5, 2.675, 1e-9, 0.0, -0.125, 1e300, 5e15, 0.00005, 0.00015, 1 / 3, None] + [rng.randint(0, 40_000) / 32_768 for _ in range(2000)] + [rng.random() for _ in range(2000)]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double")
+    for digits in (0, 2, 4, 6):
+        got = {r["k"]: r["r"] for r in df.select("k", numbers.rounded(F.col("v"), digits).alias("r")).collect()}
+        assert got == {k: None if v is None else round(v, digits) for k, v in enumerate(values)}
 
 
 def test_limits(spark):
