@@ -21,24 +21,18 @@ def rank(score: Column, pos: Column) -> Column:
 def keep_best(samples: DataFrame, key: Column | None = None, score: str = "quality_score", pos: str = "pos") -> DataFrame:
     """Of each key the row with the highest score, the earliest of equals; ``first_pos`` is the key's first place.
 
-    Keys are reduced to (hash, rank, place) first, combined on the map side, so a
-    hot key arrives as one small row for each task; the winners' rows are then
-    looked up by hash and rank. ``pos`` tells rows apart.
+    One shuffle under the key's hash, combined on the map side: a hot key
+    arrives as one row for each task. Keys are made once; looking the winners up
+    afterwards would make them twice and send as many rows.
     """
     key = T.question_key(F.col("input")) if key is None else key
     rows = samples.withColumn("dedup_key", key)
-    rows = rows.withColumns({"__h": F.unhex(F.md5("dedup_key")), "__r": rank(F.col(score), F.col(pos))})
-    best = rows.groupBy("__h").agg(F.min("__r").alias("__r"), F.min(pos).alias("first_pos"))
-    return rows.join(best, ["__h", "__r"]).drop("__h", "__r")
+    best = rows.groupBy(F.unhex(F.md5("dedup_key")).alias("__h")).agg(F.min_by(F.struct(*rows.columns), rank(F.col(score), F.col(pos))).alias("row"), F.min(pos).alias("first_pos"))
+    return best.select("row.*", "first_pos")
 
 
 def keep_first(rows: DataFrame, question: str = "input", output: str = "output", pos: str = "pos") -> DataFrame:
-    """The first row of each normalized (question, output); ``pos`` tells rows apart.
-
-    The texts are reduced to a hash before the shuffle, and only hash and place
-    are reduced to find the first.
-    """
+    """The first row of each normalized (question, output), combined on the map side under the texts' hash."""
     key = F.concat_ws("\x00", T.dedup_text(F.col(question)), T.dedup_text(F.col(output)))
-    keyed = rows.withColumn("__h", F.unhex(F.sha2(key, 256)))
-    first = keyed.groupBy("__h").agg(F.min(pos).alias(pos))
-    return keyed.join(first, ["__h", pos], "left_semi").select(*rows.columns)
+    first = rows.groupBy(F.unhex(F.sha2(key, 256)).alias("__h")).agg(F.min_by(F.struct(*rows.columns), pos).alias("row"))
+    return first.select("row.*")
