@@ -95,11 +95,17 @@ def discard(*held: DataFrame) -> None:
 
 def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """A stored table for a join: broadcast if its measured bytes are few, else shuffled."""
+    return measured(df, most=most)[0]
+
+
+def measured(df: DataFrame, *also: Column, most: int = BROADCAST_BYTES) -> tuple:
+    """The same, and the values of the aggregates ``also``, measured in one job."""
     sizes = [F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) if t in ("string", "binary") else F.octet_length(F.to_json(F.struct(f"`{c}`"))) if t[:5] in ("array", "struc") else F.lit(8) for c, t in df.dtypes]
     total = sizes[0]
     for x in sizes[1:]:
         total = total + x
-    return F.broadcast(df) if (df.agg(F.sum(total)).first()[0] or 0) <= most else df
+    size, *found = df.agg(F.sum(total), *also).first()
+    return F.broadcast(df) if (size or 0) <= most else df, *found
 
 
 def partitions(spark: SparkSession) -> int:

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import WORD, let, materialize, small, table
+from quillmill.llm.common import WORD, let, materialize, measured, small, table
 
 CYCLE, CEILING = (1, 2, 3), 3.0
 #: Blocks of a source, at most (a unit of the tree each); words of a block, about; output shards (a power of two).
@@ -102,9 +102,9 @@ def _edges(sizes: DataFrame, told: DataFrame) -> tuple[DataFrame, int]:
         upto = F.sum("words").over(Window.partitionBy("source").orderBy(f"__e{k}"))
         found = cells.withColumn("upto", upto).withColumn("start", F.col("upto") - F.col("words")).where("start < rest and upto >= rest")
         held = materialize(found.select(F.col("source").alias("__source"), *before, f"__e{k}", (F.col("rest") - F.col("start")).alias("__left"), "rows"), "edges")
-        most = held.agg(F.max("rows")).first()[0] or 0
-        edges = small(held.drop("rows"))
-        if most <= EDGE_ROWS or k == FINEST:
+        edges, most = measured(held, F.max("rows"))
+        edges = edges.drop("rows")
+        if (most or 0) <= EDGE_ROWS or k == FINEST:
             return edges, k
         k += 1
 
@@ -143,10 +143,11 @@ def taken(docs: DataFrame, sizes: DataFrame) -> DataFrame:
     best = (F.row_number().over(group.orderBy("__off", "__key")) == 1) & (F.col("__off") < F.abs("__still"))
     inside = inside.withColumn("__more", F.when(best, 1 - F.col("__more")).otherwise(F.col("__more")))
     settled = materialize(inside.groupBy(F.col("__key").alias("__k")).agg(F.count("*").alias("__n"), F.sum("__more").alias("__m")), "settled")
-    held = placed(docs).join(small(settled), F.col("__key") == F.col("__k"), "left")
+    settled, parted = measured(settled, F.count_if(F.expr("__m > 0 and __m < __n")))
+    held = placed(docs).join(settled, F.col("__key") == F.col("__k"), "left")
     some = F.col("__more").isNull() & (F.col("__m") > 0) & (F.col("__m") < F.col("__n"))
     all_or_none = F.when(F.col("__more").isNull(), (F.col("__m") > 0).cast("int")).otherwise(F.col("__more"))
-    if settled.where("__m > 0 and __m < __n").isEmpty():
+    if not parted:
         out = held.withColumn("__more", all_or_none)
     else:
         nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
