@@ -300,6 +300,49 @@ def test_toxicity(spark):
     assert toxicity.score(d.limit(0), model).count() == 0
 
 
+def plain_grams(text):
+    words = " " + " ".join((text or "").lower().split()) + " "
+    return {words[k : k + n] for n in toxicity.ORDERS for k in range(len(words) - n + 1)}
+
+
+def test_features_are_the_distinct_grams():
+    rng = random.Random(12)
+    space = toxicity.scratch()
+    for text in (prose(rng, 300), "Ünï  cødé\n" * 3, "", None, "a", "xx " * 5000):
+        got, wanted = toxicity.features(text, space), plain_grams(text)
+        assert len(set(got.tolist())) == len(got)
+        assert len(wanted) * 0.98 - 2 <= len(got) <= len(wanted)  # some share a bucket
+
+
+def test_model_against_a_plain_one(spark):
+    """Ratios from plain counts; the weights are an optimum of the plain loss; scores are the plain sums."""
+    rng = random.Random(4)
+    space, texts, labels = toxicity.scratch(), [], []
+    for k in range(120):
+        words = prose(rng, 40).split()
+        if k % 3 == 0:
+            words[5:5] = [rng.choice(["zwonk", "grubbly"])]
+        texts.append(" ".join(words))
+        labels.append(int(k % 3 == 0 and k % 7 > 0))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    buckets, weights, intercept = toxicity.train(docs, spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int"))
+    rows, y = [set(toxicity.features(t, space).tolist()) for t in texts], np.array(labels, dtype=float)
+    p, q = Counter(b for r, t in zip(rows, labels) for b in r if t), Counter(b for r, t in zip(rows, labels) for b in r if not t)
+    n1, n0 = sum(labels), len(labels) - sum(labels)
+    ratio = {b: np.log((p[b] + 1) / (n1 + 2)) - np.log((q[b] + 1) / (n0 + 2)) for b in p.keys() | q.keys()}
+    told = {b: r for b, r in ratio.items() if p[b] + q[b] >= toxicity.MIN_TEXTS and abs(r) >= toxicity.LEAST_RATIO}
+    assert set(buckets.tolist()) == set(told)
+    x = np.array([[told[b] if b in r else 0.0 for b in buckets.tolist()] for r in rows])
+    x /= np.sqrt((x**2).sum(axis=1).mean())
+    w = weights / np.array([told[b] for b in buckets.tolist()]) * np.sqrt(np.mean([sum(told[b] ** 2 for b in r if b in told) for r in rows]))
+    loss_gradient = lambda w, b: np.append(x.T @ ((1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)) + toxicity.RIDGE * w, ((1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)).sum())
+    assert np.linalg.norm(loss_gradient(w, intercept)) < 1e-3 * np.linalg.norm(loss_gradient(0 * w, 0.0))
+    weight = dict(zip(buckets.tolist(), weights.tolist(), strict=True))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, (buckets, weights, intercept)).collect()}
+    for k, r in enumerate(rows):
+        assert got[k] == pytest.approx(1 / (1 + np.exp(-(sum(weight.get(b, 0.0) for b in r) + intercept))), abs=1e-4)
+
+
 def test_features_do_not_depend_on_slices(monkeypatch):
     text = prose(random.Random(2), 300)
     space = toxicity.scratch()
