@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillmill.functions import rules as R
-from quillmill.functions.dialect import findall, has, java, last, lines_of, replaced, strip
+from quillmill.functions.dialect import findall, group_of, has, java, last, let, lines_of, replaced, strip
 from quillmill.functions.numbers import as_double, canonical, is_close, last_plain_number, parse_last_number
 from quillmill.functions.text import answer_key, normalize_answer, normalize_row, strip_answer
 
@@ -22,16 +22,12 @@ def _numbers(c: Column) -> Column:
 def clean_answer(c: Column, normalized: bool = False) -> Column:
     """All boxed numbers, else a final phrase's numbers or text, else the last of five lines with numbers; null without."""
     c = c if normalized else normalize_row(c)
-    boxed = F.array_compact(F.transform(findall(c, R.BOXED, 1), lambda x: last(_numbers(x))))
-    found = F.when(F.size(boxed) > 0, F.array_join(boxed, ", "))
-    for p, flags in R.CLEAN_FINAL:
-        part = strip(F.regexp_extract(c, java(p, flags), 1))
-        numbers = _numbers(part)
-        found = found.when(has(c, p, flags), F.when(F.size(numbers) > 0, F.array_join(numbers, ", ")).otherwise(part))
-    lines = _lines(c)
-    tail = F.slice(lines, F.greatest(F.size(lines) - 4, F.lit(1)), 5)
+    joined = lambda items, other: let(items, lambda x: F.when(F.size(x) > 0, F.array_join(x, ", ")).otherwise(other))
+    boxed = joined(F.array_compact(F.transform(findall(c, R.BOXED, 1), lambda x: last(_numbers(x)))), F.lit(None))
+    phrases = [let(strip(group_of(c, p, 1, flags)), lambda part: F.when(part.isNotNull(), joined(_numbers(part), part))) for p, flags in R.CLEAN_FINAL]
+    tail = let(_lines(c), lambda x: F.slice(x, F.greatest(F.size(x) - 4, F.lit(1)), 5))
     told = F.filter(F.transform(tail, lambda x: F.array_join(_numbers(x), ", ")), lambda x: x != "")
-    return found.otherwise(last(told))
+    return F.coalesce(boxed, *phrases, last(told))
 
 
 def final_segment(c: Column, normalized: bool = False) -> Column:

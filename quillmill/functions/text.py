@@ -192,15 +192,22 @@ def without_execution(c: Column) -> Column:
 
 
 def reasoning(c: Column) -> Column:
-    """C9 of a normalized, NFKC-stable text: the text before the first python block, and that block fenced anew."""
-    c = without_execution(c)
-    code = first_code(c)
-    before = strip(replaced(F.regexp_extract(c, java(r"^(.*?)```python\s*.*?```", "si"), 1), ("−", "-"), *NEWLINES))
-    for p, flags in R.TEMPLATE_PHRASES:
-        before = sub(before, p, "", flags)
-    before = strip(before)
-    block = F.concat(F.lit("```python\n"), code, F.lit("\n```"))
-    return F.when(code.isNull(), c).when(before != "", F.concat(before, F.lit("\n\n"), block)).otherwise(block)
+    """C9 of a normalized, NFKC-stable text: the text before the first python block, and that block fenced anew.
+
+    The trimmed text, its code and what stands before are each made once.
+    """
+
+    def before(c: Column) -> Column:
+        held = strip(replaced(F.regexp_extract(c, java(r"^(.*?)```python\s*.*?```", "si"), 1), ("−", "-"), *NEWLINES))
+        for p, flags in R.TEMPLATE_PHRASES:
+            held = sub(held, p, "", flags)
+        return strip(held)
+
+    def joined(c: Column, code: Column) -> Column:
+        block = F.concat(F.lit("```python\n"), code, F.lit("\n```"))
+        return F.when(code.isNull(), c).otherwise(let(before(c), lambda b: F.when(b != "", F.concat(b, F.lit("\n\n"), block)).otherwise(block)))
+
+    return let(without_execution(c), lambda x: let(first_code(x), lambda code: joined(x, code)))
 
 
 def clean_output(core: Column, answer: Column) -> Column:
