@@ -18,7 +18,8 @@ not yet reached, so the links found join the key's components without listing
 all pairs of a group. A key with over ``MEMBERS`` members is refined first: the
 bits outside it are cut into 4 parts, of which one must be equal, and so on up to
 ``LEVELS`` times, after which a key leaves under 20 bits open, so it has a bounded
-number of members; no link is lost.
+number of members; no link is lost. Where few bits vary among many members, each
+looks its neighbours up under the flips of up to three of those bits instead.
 
 Components join by minimum-label hooking over tables in the shared folder. Null
 text counts as empty. A null doc_id takes no part in choosing component_id; a
@@ -28,6 +29,8 @@ group of null ids alone has a null component_id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -42,6 +45,8 @@ BUDGET, SEGMENTS, WIDTH, SHINGLE, SEED = 3, 4, 16, 3, 42
 MEMBERS = 8192
 PARTS, LEVELS = 4, 3
 HUB = 100_000
+#: A lookup costs about as much as this many comparisons.
+LOOKUP = 16
 
 
 def fingerprint(text: str | None) -> int:
@@ -122,6 +127,12 @@ def _search(kind: int, fps: np.ndarray) -> list[tuple[int, int]]:
     """Links that join the members of one key into their components."""
     two, three = _chain_masks(kind)
     left, links = np.unique(fps), []
+    varied = int(np.bitwise_or.reduce(left ^ left[0]))
+    bits = [b for b in range(64) if varied >> b & 1]
+    if LOOKUP * sum(comb(len(bits), k) for k in range(1, BUDGET + 1)) < len(left):
+        flips = np.array([sum(1 << b for b in some) for k in range(1, BUDGET + 1) for some in combinations(bits, k)], dtype=np.uint64)
+        chained = (np.bitwise_count(flips & two) <= 2 * BUDGET // SEGMENTS) & (np.bitwise_count(flips & three) <= 3 * BUDGET // SEGMENTS)
+        return _walk(left, flips[chained])
     while len(left) > 1:
         reached, left = [left[0]], left[1:]
         while reached and len(left):
@@ -133,12 +144,28 @@ def _search(kind: int, fps: np.ndarray) -> list[tuple[int, int]]:
             if near.any():
                 found = left[near]
                 links += [(int(x), int(y)) for y in found]
-                reached += found.tolist()
-                reached = [np.uint64(y) for y in reached]
+                reached += list(found)
                 left = left[~near]
     return links
 
 
+def _walk(members: np.ndarray, flips: np.ndarray) -> list[tuple[int, int]]:
+    """The same for many members in which few bits vary: each looks up its neighbours under all flips of those bits."""
+    seen, links = np.zeros(len(members), dtype=bool), []
+    for start in range(len(members)):
+        reached = [] if seen[start] else [start]
+        seen[start] = True
+        while reached:
+            x = members[reached.pop()]
+            wanted = x ^ flips
+            at = np.minimum(np.searchsorted(members, wanted), len(members) - 1)
+            found = at[(members[at] == wanted) & ~seen[at]]
+            seen[found] = True
+            links += [(int(x), int(y)) for y in members[found]]
+            reached += found.tolist()
+    return links
+
+
 def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows come sorted by (kind, key); a key may run on into the next batch."""
     rest = None

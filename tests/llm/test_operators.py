@@ -575,6 +575,29 @@ def test_links_join_all_within_the_budget(spark, members):
     assert sorted(mine.values()) == sorted(Counter(plain_groups(prints)).values())
 
 
+@pytest.mark.parametrize("lookup", [0, 1 << 40])
+def test_both_ways_to_search_a_key_join_the_same(monkeypatch, lookup):
+    monkeypatch.setattr(simhash, "LOOKUP", lookup)
+    rng = random.Random(2)
+    for kind in (0, 5):
+        bits = simhash.free_bits(kind)[5:17]
+        prints = sorted({sum(1 << b for b in bits if rng.random() < 0.3) for _ in range(60)})
+        two, three = map(int, simhash._chain_masks(kind))
+        wanted = list(range(len(prints)))
+        for _ in prints:  # labels spread until nothing changes
+            for i, a in enumerate(prints):
+                for j, b in enumerate(prints):
+                    d = a ^ b
+                    if d.bit_count() <= 3 and (d & two).bit_count() <= 1 and (d & three).bit_count() <= 2:
+                        wanted[i] = wanted[j] = min(wanted[i], wanted[j])
+        root = {p: p for p in prints}
+        for a, b in simhash._search(kind, np.array(prints, dtype=np.uint64)):
+            old, new = root[b], root[a]
+            root = {p: new if r == old else r for p, r in root.items()}
+        groups = lambda labels: sorted(sorted(p for p, x in zip(prints, labels) if x == y) for y in set(labels))
+        assert groups([root[p] for p in prints]) == groups(wanted)
+
+
 # ---- 6: urls ----
 
 
