@@ -14,6 +14,7 @@ import subprocess
 import sys
 import zlib
 from collections import Counter
+from math import comb
 from pathlib import Path
 
 import duckdb
@@ -471,6 +472,76 @@ def test_cells_are_cut_until_they_are_small(spark, docs, monkeypatch, rows):
     assert +told == copies
 
 
+def keyed(*values):
+    """Spark's xxhash64 of the seed and values: (int, bytes of it), strings, or nulls, which leave the hash as it is."""
+    h = 42
+    for v in ((mixing.SEED, 4), *values):
+        if v is not None:
+            raw = v.encode() if isinstance(v, str) else v[0].to_bytes(v[1], "little", signed=True)
+            h = xxhash.xxh64(raw, seed=h).intdigest()
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_draw(u, own, units, draws):
+    low, high = max(0, draws - (units - own)), min(own, draws)
+    mode = min(high, max(low, (draws + 1) * (own + 1) // (units + 2)))
+    order = [mode, *range(mode + 1, high + 1), *range(mode - 1, low - 1, -1)]
+    weight = {k: comb(own, k) * comb(units - own, draws - k) for k in order}
+    goal, total = u * sum(weight.values()), 0
+    for k in order:
+        total += weight[k]
+        if total >= goal:
+            return k
+
+
+def plain_tree(units, shards):
+    """{source: [units of each shard]} by a recursion over the shards."""
+    order = sorted(units, key=lambda s: (s is None, s or ""))
+
+    def split(node, level, own, width):
+        if width == 1:
+            return [own]
+        total = sum(own.values())
+        half = (total + keyed((node, 8)) % 2) // 2
+        used = drawn = 0
+        left = {}
+        for s in order:
+            u = (keyed("draw", (node, 8), str(level), s or "") % (1 << 40) + 0.5) / (1 << 40)
+            left[s] = plain_draw(u, own[s], total - used, half - drawn)
+            used, drawn = used + own[s], drawn + left[s]
+        return split(2 * node, level + 1, left, width // 2) + split(2 * node + 1, level + 1, {s: own[s] - left[s] for s in order}, width // 2)
+
+    leaves = split(0, 0, units, shards)
+    return {s: [leaf[s] for leaf in leaves] for s in order}
+
+
+def test_shards_against_a_plain_tree(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 100)
+    got = mixing.mixture(docs, 8).collect()
+    sizes = Counter()
+    for r in ROWS:
+        sizes[r[3]] += len((r[1] or "").split())
+    text = {(r[0], len((r[1] or "").split())): r for r in ROWS}
+    rows, copies = [], Counter()
+    for r in got:
+        given = text[r["doc_id"], r["size"]]
+        blocks = max(1, min(mixing.BLOCKS, -(-sizes[given[3]] // 100)))
+        block = (given[3], keyed(given[3], (given[0], 8) if given[0] is not None else None, given[1]) % blocks)
+        mine = [int(x) for x in r["shards"].split("|")] if r["shards"] else []
+        copies[block] = max(copies[block], len(mine))
+        rows.append((block, mine))
+    units = {s: sum(n for (t, _), n in copies.items() if t == s) for s in sizes}
+    units = {s: n for s, n in units.items() if n}
+    shard_of = {}
+    for s, quota in plain_tree(units, 8).items():
+        mine = sorted(((at, c) for (t, at), n in copies.items() if t == s for c in range(1, n + 1)), key=lambda x: (keyed("unit", (x[0], 4), (x[1], 4)), x))
+        each = [k for k, n in enumerate(quota) for _ in range(n)]
+        shard_of |= {(s, *x): k for x, k in zip(mine, each, strict=True)}
+    assert sum(units.values()) > 40
+    for (s, at), mine in rows:
+        assert mine == [shard_of[s, at, c] for c in range(1, len(mine) + 1)]
+
+
 def test_rows_that_repeat_are_taken_in_part(spark):
     """Equal rows differ in nothing, so some of them are taken."""
     rows = [(None, "same words here and there", "a")] * 60 + [(k, "one two three", "b") for k in range(10)]
@@ -515,8 +586,6 @@ def test_tree_splits_exactly(spark):
 def test_draws_are_hypergeometric(spark):
     u = (F.col("id") + 0.5) / 20000
     got = spark.range(20000).select(mixing._draw(u, F.lit(6), F.lit(20), F.lit(8)).alias("k")).groupBy("k").count().collect()
-    from math import comb
-
     for r in got:
         assert r["count"] / 20000 == pytest.approx(comb(6, r["k"]) * comb(14, 8 - r["k"]) / comb(20, 8), abs=2e-3)
 
