@@ -72,29 +72,47 @@ def log_count_ratio(p, q, n_toxic: float, n_other: float):
 
 
 class Rows:
-    """Sparse binary rows: the features of all texts, end to end."""
+    """Sparse binary rows: the features of all texts, end to end, and the texts of all features, end to end."""
 
-    def __init__(self, rows: list[np.ndarray]):
-        self.n = len(rows)
+    def __init__(self, rows: list[np.ndarray], size: int):
+        self.n, self.size = len(rows), size
         self.ids = np.concatenate(rows) if rows else np.array([], dtype=np.int32)
-        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+        self.full, self.starts = self._runs(np.array([len(r) for r in rows], dtype=np.int64))
+        order = np.argsort(self.ids, kind="stable")
+        self.rows = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])[order]
+        self.present, self.begins = self._runs(np.bincount(self.ids, minlength=size))
+
+    @staticmethod
+    def _runs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which runs have members, and where those begin."""
+        full = np.flatnonzero(sizes)
+        return full, (np.cumsum(sizes) - sizes)[full]
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=w[self.ids], minlength=self.n)
+        """For each text the sum of its features' values."""
+        out = np.zeros(self.n)
+        if len(self.full):
+            out[self.full] = np.add.reduceat(w[self.ids], self.starts)
+        return out
 
-    def gathered(self, v: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(self.ids, weights=v[self.row], minlength=size)
+    def gathered(self, v: np.ndarray) -> np.ndarray:
+        """For each feature the sum of its texts' values."""
+        out = np.zeros(self.size)
+        if len(self.present):
+            out[self.present] = np.add.reduceat(v[self.rows], self.begins)
+        return out
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, share: float) -> tuple[np.ndarray, float]:
     """Weight of each feature (its ratio included) and the intercept, by L2-regularized
     logistic regression: Newton steps, each solved by conjugate gradients."""
-    x, y, m = Rows(rows), labels.astype(float), len(ratios)
+    m = len(ratios)
+    x, y = Rows(rows, m), labels.astype(float)
     scale = ratios / np.sqrt(max(1e-9, float(np.mean(x.times(ratios**2)))))
     w, b, n, start = np.zeros(m), 0.0, len(y), None
     for _ in range(12):
         p = 1 / (1 + np.exp(-np.clip(x.times(scale * w) + b, -40, 40)))
-        gw, gb = scale * x.gathered((p - y) / n, m) + RIDGE * w, float((p - y).sum() / n)
+        gw, gb = scale * x.gathered((p - y) / n) + RIDGE * w, float((p - y).sum() / n)
         h = np.maximum(p * (1 - p), 1e-6) / n
         dw, db, rw, rb = np.zeros(m), 0.0, -gw, -gb
         sw, sb, rr = rw.copy(), rb, float(rw @ rw + rb * rb)
@@ -104,7 +122,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, share: f
             break
         for _ in range(20):
             v = h * (x.times(scale * sw) + sb)
-            aw, ab = scale * x.gathered(v, m) + RIDGE * sw, float(v.sum())
+            aw, ab = scale * x.gathered(v) + RIDGE * sw, float(v.sum())
             step = rr / max(float(sw @ aw + sb * ab), 1e-30)
             dw, db, rw, rb = dw + step * sw, db + step * sb, rw - step * aw, rb - step * ab
             new = float(rw @ rw + rb * rb)
