@@ -45,8 +45,8 @@ CLASS = np.zeros(256, dtype=np.uint8)
 CLASS[[0x20, 0x09]] = BLANK
 CLASS[[*b".,;:!?", 10, 11, 12, 13]] = CUT
 U = np.uint64
-SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("hash", pa.int64()), ("n", pa.int64()), ("segment", pa.int32()), ("counts", pa.binary())])
-ROWS = "lang string, phrase string, hash long, n long, segment int, counts binary"
+SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64()), ("segment", pa.int32()), ("counts", pa.binary())])
+ROWS = "lang string, phrase string, n long, segment int, counts binary"
 
 
 def bucket(h: np.ndarray) -> np.ndarray:
@@ -91,6 +91,29 @@ def pieces(texts: list[bytes]) -> Iterator[list[tuple[int, bytes]]]:
         yield parts[a:b]
 
 
+class Words:
+    """Words of some texts in place, and hashes of the phrases that begin at each; a phrase's hash begins with its language."""
+
+    def __init__(self, langs: list[str], texts: list[bytes]):
+        self.raw, begins = joined(texts)
+        kind = CLASS[self.raw]
+        self.start, self.end = runs(kind == WORD)
+        self.piece = np.searchsorted(np.flatnonzero(kind == CUT), self.start)
+        self.names = sorted(set(langs))
+        number = {x: k for k, x in enumerate(self.names)}
+        self.code = np.array([number[x] for x in langs], dtype=np.int64)[np.searchsorted(begins, self.start, side="right") - 1]
+
+    def chain(self, most: int, which: int = 0) -> list[np.ndarray]:
+        """Hashes of the phrases of 1 to ``most`` words, from place 1 on."""
+        named = [np.frombuffer(x.encode() + b"\0", dtype=np.uint8) for x in self.names]
+        seed = np.array([hashes(x, np.array([0]), np.array([len(x)]), which)[0] for x in named], dtype=np.uint64)
+        words = hashes(self.raw, self.start, self.end, which)
+        out = [words, mixed(words ^ seed[self.code])]
+        for k in range(2, most + 1):
+            out.append(longer(out[-1], words, k) if len(words) >= k else words[:0])
+        return out
+
+
 class Level:
     """One pass: counts phrases of ``k`` words exactly and buckets of phrases of ``k + 1`` words."""
 
@@ -113,35 +136,22 @@ class Level:
             yield from self.slice([langs[k] for k, _ in group], [t for _, t in group])
 
     def slice(self, langs: list[str], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        raw, begins = joined(texts)
-        kind = CLASS[raw]
-        start, end = runs(kind == WORD)
-        piece = np.searchsorted(np.flatnonzero(kind == CUT), start)
-        names = sorted(set(langs))
-        code = np.array([names.index(x) for x in langs])[np.searchsorted(begins, start, side="right") - 1]
-        named = [np.frombuffer(x.encode() + b"\0", dtype=np.uint8) for x in names]
-        chains = []
-        for which in (0, 1):
-            seed = np.array([hashes(x, np.array([0]), np.array([len(x)]), which)[0] for x in named])
-            words = hashes(raw, start, end, which)
-            chain = [words, mixed(words ^ seed[code])]  # a phrase's hash begins with its language
-            for k in range(2, min(self.k + 1, LONGEST) + 1):
-                chain.append(longer(chain[-1], words, k) if len(words) >= k else words[:0])
-            chains.append(chain)
-        if len(start) < self.k:
+        words, k = Words(langs, texts), self.k
+        start, end, piece = words.start, words.end, words.piece
+        if len(start) < k:
             return
-        kept = self.kept(chains[0], piece)
+        chain = words.chain(min(k + 1, LONGEST))
+        kept = self.kept(chain, piece)
         at = np.flatnonzero(kept)
-        first, n = distinct(*(c[self.k][at] for c in chains))
+        first, n = distinct(chain[k][at], words.chain(k, 1)[k][at])
         first = at[first]
-        data = raw.tobytes()
-        told = [b" ".join(data[start[j] : end[j]] for j in range(i, i + self.k)).decode(errors="replace") for i in first.tolist()]
-        lang = pa.array([names[c] for c in code[first].tolist()], pa.string())
-        none = pa.nulls(len(told), pa.int32())
-        yield pa.RecordBatch.from_arrays([lang, pa.array(told, pa.string()), pa.array(chains[0][self.k][first].view(np.int64)), pa.array(n.astype(np.int64)), none, pa.nulls(len(told), pa.binary())], schema=SCHEMA)
-        if self.counts is not None and len(start) > self.k:
-            both = kept[:-1] & kept[1:] & (piece[: len(start) - self.k] == piece[self.k :])
-            own, n = np.unique(bucket(chains[0][self.k + 1][both]), return_counts=True)
+        data = words.raw.tobytes()
+        told = [b" ".join(data[start[j] : end[j]] for j in range(i, i + k)).decode(errors="replace") for i in first.tolist()]
+        lang = pa.array([words.names[c] for c in words.code[first].tolist()], pa.string())
+        yield pa.RecordBatch.from_arrays([lang, pa.array(told, pa.string()), pa.array(n.astype(np.int64)), pa.nulls(len(told), pa.int32()), pa.nulls(len(told), pa.binary())], schema=SCHEMA)
+        if self.counts is not None and len(start) > k:
+            both = kept[:-1] & kept[1:] & (piece[: len(start) - k] == piece[k:])
+            own, n = np.unique(bucket(chain[k + 1][both]), return_counts=True)
             self.counts[own] = np.minimum(self.counts[own] + np.minimum(n, LEAST), LEAST)
 
     def close(self) -> Iterator[pa.RecordBatch]:
@@ -153,7 +163,7 @@ class Level:
             at = np.flatnonzero(part)
             if len(at):
                 packed = (at.astype(np.uint32) << 8 | part[at]).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([segment], pa.int32()), pa.array([packed], pa.binary())], schema=SCHEMA)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([segment], pa.int32()), pa.array([packed], pa.binary())], schema=SCHEMA)
 
 
 def _counted(batches: Iterator[pa.RecordBatch], k: int, frequent, buckets) -> Iterator[pa.RecordBatch]:
@@ -185,11 +195,13 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield bits(counts)
 
 
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of frequent phrases as segments in which each counts enough."""
+def _marked(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Hashes of frequent phrases of k words as segments in which each counts enough."""
     level = Level(1, None, None)
     for batch in batches:
-        level.counts[bucket(batch.column("hash").to_numpy().view(np.uint64))] = LEAST
+        if len(batch):
+            words = Words(batch.column("lang").to_pylist(), batch.column("phrase").cast(pa.binary()).to_pylist())
+            level.counts[bucket(words.chain(k)[k][::k])] = LEAST
     for rows in level.close():
         yield rows.select(["segment", "counts"])
 
@@ -209,20 +221,18 @@ def counted(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """lang, phrase, k, n of all phrases of 1 to ``LONGEST`` words that occur ``LEAST`` times; n of all words by language; stored tables beneath."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     frequent = buckets = sizes = None
-    found, stored, sent = [], [], []
+    stored = []
     for k in range(1, LONGEST + 1):
         rows = materialize(texts.mapInArrow(partial(_counted, k=k, frequent=frequent, buckets=buckets), ROWS), f"phrases{k}")
-        own = rows.where("segment IS NULL").groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.first("hash").alias("hash")).where(F.col("n") >= LEAST)
+        own = rows.where("segment IS NULL").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+        stored.append(materialize(own.where(F.col("n") >= LEAST).select("lang", "phrase", F.lit(k).alias("k"), "n"), f"frequent{k}"))
         if k == 1:
-            sizes = rows.where("segment IS NULL").groupBy("lang").agg(F.sum("n").alias("total"))
-        own = materialize(own, f"frequent{k}")
-        stored += [rows, own]
-        found.append(own.select("lang", "phrase", F.lit(k).alias("k"), "n"))
+            sizes = materialize(rows.where("segment IS NULL").groupBy("lang").agg(F.sum("n").alias("total")), "sizes")
         if k < LONGEST:
-            frequent = bitmap(own.select("hash").mapInArrow(_marked, "segment int, counts binary"))
+            frequent = bitmap(stored[-1].select("lang", "phrase").mapInArrow(partial(_marked, k=k), "segment int, counts binary"))
             buckets = bitmap(rows.where("segment IS NOT NULL").select("segment", "counts"))
-            sent += [frequent, buckets]
-    return reduce(DataFrame.unionByName, found), sizes, stored
+        discard(rows)
+    return reduce(DataFrame.unionByName, stored), sizes, [*stored, sizes]
 
 
 def exact(c: Column, times: int) -> Column:
