@@ -16,14 +16,14 @@ from quillmill.operators import cleaning, conversations, dedup, hooks, reports,
 from quillmill.sources import jsonio
 
 
-def build(spark: SparkSession, input_path: str, out_dir: str) -> dict:
-    """Conversations to eight instruction datasets and clean_report.json; returns the report."""
+def build(spark: SparkSession, input_path: str, out_dir: str, single: bool = True) -> dict:
+    """Conversations to eight instruction datasets (files, or folders of parts) and clean_report.json; returns the report."""
     df = jsonio.conversations(spark, jsonio.require(spark, input_path))
     jsonio.make_folder(spark, out_dir)
     parsed = conversations.parsed(df, F.col("source")).persist(StorageLevel.MEMORY_AND_DISK)
     kept = dedup.keep_best(conversations.valid(parsed)).persist(StorageLevel.MEMORY_AND_DISK)
     rows = conversations.fan_out(kept.withColumn("pos", F.col("first_pos")))
-    jsonio.write_fan_out(rows, out_dir)
+    jsonio.write_fan_out(rows, out_dir, single)
     conversations.validate_ablated(rows.where("mode = 'ablated'"))
     report = {}
     for r in reports.build_report(parsed).collect():
@@ -37,12 +37,12 @@ def build(spark: SparkSession, input_path: str, out_dir: str) -> dict:
     return report
 
 
-def clean(spark: SparkSession, input_path: str, output_path: str, report_path: str | None = None) -> dict:
+def clean(spark: SparkSession, input_path: str, output_path: str, report_path: str | None = None, single: bool = True) -> dict:
     """Code-bearing rows to cleaned ones and a report; returns the report."""
     done = cleaning.cleaned(jsonio.instruction_rows(spark, input_path), "is_object").persist(StorageLevel.MEMORY_AND_DISK)
     ok = done.where("outcome = 'ok'")
     first = dedup.keep_first(ok).persist(StorageLevel.MEMORY_AND_DISK)
-    jsonio.write_jsonl(first, output_path)
+    jsonio.write_jsonl(first, output_path, single=single)
     outcomes = reports.as_map(reports.counted(done, "outcome"), "outcome", "n")
     kept, example = first.count(), reports.first_example(first).first()[0]
     report = {
@@ -87,14 +87,14 @@ def fence_ratio(spark: SparkSession, input_path: str) -> float:
 
 def qa_items(spark: SparkSession, path: str) -> DataFrame:
     """Pos, question, gold_raw."""
-    items = jsonio.read_json_array(spark, path, require_list=False)
+    items = jsonio.read_json_array(spark, path)
     return items.select("pos", jsonio.truthy("item", "instruction", "question", "input").alias("question"), jsonio.truthy("item", "gold_answer", "answer", "label").alias("gold_raw"))
 
 
 def body_items(spark: SparkSession, path: str) -> DataFrame:
-    """Pos, question, answer, raw_item (the item as it is)."""
-    items = jsonio.read_json_array(spark, path, require_list=False)
-    texts = items.select("pos", F.col("item").alias("raw_item"), jsonio.field("item", "Body").alias("Body"), jsonio.field("item", "Question").alias("Question"), F.coalesce(jsonio.field_or_none("item", "Answer"), F.lit("")).alias("answer"))
+    """Pos, question, answer, raw_item (the item's JSON text)."""
+    items = jsonio.read_json_array(spark, path)
+    texts = items.select("pos", F.col("text").alias("raw_item"), jsonio.field("item", "Body").alias("Body"), jsonio.field("item", "Question").alias("Question"), F.coalesce(jsonio.field_or_none("item", "Answer"), F.lit("")).alias("answer"))
     return texts.select("pos", scoring.body_question("Body", "Question").alias("question"), "answer", "raw_item")
 
 
@@ -104,8 +104,7 @@ def evaluate_segments(answered: DataFrame, mode: str, test_path: str, output_pat
     details = scoring.scored_segments(answered)
     s = scoring.accuracy(details).withColumn("accuracy", rounded(F.col("accuracy"), 6)).first()
     report = {"mode": mode, "test_path": test_path, "summary": {"total": s["total"], "correct": s["correct"], "accuracy": s["accuracy"]}}
-    details.orderBy("idx").write.mode("overwrite").option("ignoreNullFields", "false").json(f"{output_path}.details")
-    jsonio.write_report(details.sparkSession, report, output_path)
+    jsonio.write_report(details.sparkSession, report, output_path, details=(details, "idx", {}))
     return report
 
 
@@ -113,28 +112,32 @@ def evaluate_simple(answered: DataFrame, mode: str, dataset: str, output_path: s
     """D7 after generation."""
     results = scoring.scored_simple(answered)
     s = scoring.accuracy(results, "correct", empty=None).withColumn("accuracy", rounded(F.col("accuracy"), 4)).first()
-    kinds = reports.as_map(reports.counted(results, "type"), "type", "n")
+    kinds = reports.as_map(results.groupBy("type").agg(F.count("*").alias("n"), F.min("id").alias("first")).orderBy("first"), "type", "n")
     report = {"mode": mode, "dataset": dataset, "total": s["total"], "correct": s["correct"], "accuracy": s["accuracy"], "type_counter": kinds}
-    results.orderBy("id").write.mode("overwrite").option("ignoreNullFields", "false").json(f"{output_path}.results")
-    jsonio.write_report(results.sparkSession, report, output_path)
+    raw = {"raw_item": jsonio.indented(F.col("raw_item"))} if "raw_item" in results.columns else {}
+    jsonio.write_report(results.sparkSession, report, output_path, results=(results, "id", raw))
     return report
 
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Pos, question, gold_answer, answer_raw."""
-    items = jsonio.read_json_array(spark, path)
+    """Pos, question, gold_answer, answer_raw; of a list, or of the ``details`` that ``segments`` and ``analyse`` write."""
+    items = jsonio.read_json_array(spark, path, "details")
     return items.select("pos", jsonio.truthy("item", "instruction", "question").alias("question"), jsonio.truthy("item", "gold_answer", "answer", "label").alias("gold_answer"), jsonio.truthy("item", "answer_raw", "prediction", "pred", "output", "response").alias("answer_raw"))
 
 
 def analyse(spark: SparkSession, pred_file: str, out_file: str, executor: hooks.Executor | None = None) -> dict:
-    """Rescoring of saved predictions; code runs only with an executor."""
+    """Rescoring of saved predictions, as a list or as the object that ``segments`` wrote; code runs only with an executor.
+
+    Returns the summary and, as told on the console, the first wrong ids.
+    """
     details = hooks.executed(scoring.analysed(predictions(spark, pred_file)), executor).persist(StorageLevel.MEMORY_AND_DISK)
     rates = {k: rounded(F.col(k), 4) for k in ("accuracy", "code_generation_rate", "code_executability_rate")}
     s = {"pred_file": pred_file, **scoring.analysis_summary(details).withColumns(rates).first().asDict()}
-    details.orderBy("idx").write.mode("overwrite").option("ignoreNullFields", "false").json(f"{out_file}.details")
-    jsonio.write_report(spark, {"summary": s, "wrong": [r[0] for r in scoring.wrong_ids(details).collect()]}, out_file)
+    told = details.select("idx", "question", "gold_answer", "pred_answer", "is_correct", "has_code", "code_executable", "exec_stdout", "exec_stderr", "answer_raw")
+    jsonio.write_report(spark, {"summary": s}, out_file, details=(told, "idx", {}))
+    wrong = [r[0] for r in scoring.wrong_ids(details).collect()]
     details.unpersist()
-    return s
+    return s | {"wrong": wrong}
 
 
 def summary_lines(report: dict) -> str:
@@ -171,7 +174,7 @@ def simple(spark: SparkSession, mode: str, data_path: str, output_path: str, mak
 
 
 def main(argv: list[str] | None = None) -> None:
-    """Build --input --out_dir | clean --input --output [--report] | audit --input --report | spot --input | fences --input
+    """Build --input --out_dir [--parts] | clean --input --output [--report] [--parts] | audit --input --report | spot --input | fences --input
     | segments --mode --test_path --output_path --generator [--base_model] [--max_new_tokens]
     | simple --mode --data_path --output_path --generator [--base_model_path] [--adapter_path] [--limit] [--max_new_tokens]
     | analyse --pred_file --out_file [--run_code]. A generator is ``module:factory``."""
@@ -190,6 +193,8 @@ def main(argv: list[str] | None = None) -> None:
             p.add_argument(n)
         if name == "analyse":
             p.add_argument("--run_code", action="store_true")
+        if name in ("build", "clean"):
+            p.add_argument("--parts", action="store_true")
         if name in ("segments", "simple"):
             p.add_argument("--max_new_tokens", type=int, default=512 if name == "segments" else 256)
         if name == "simple":
@@ -197,9 +202,9 @@ def main(argv: list[str] | None = None) -> None:
     a = parser.parse_args(argv)
     spark = SparkSession.builder.appName("quillmill").getOrCreate()
     if a.flow == "build":
-        print(summary_lines(build(spark, a.input, a.out_dir)))
+        print(summary_lines(build(spark, a.input, a.out_dir, not a.parts)))
     elif a.flow == "clean":
-        print(summary_lines(clean(spark, a.input, a.output, a.report)))
+        print(summary_lines(clean(spark, a.input, a.output, a.report, not a.parts)))
     elif a.flow == "audit":
         print(summary_lines(audit(spark, a.input, a.report)))
     elif a.flow == "spot":
@@ -213,7 +218,8 @@ def main(argv: list[str] | None = None) -> None:
         make = generator(a.generator, base_model=a.base_model_path, adapter_path=a.adapter_path, max_new_tokens=a.max_new_tokens)
         print(summary_lines(simple(spark, a.mode, a.data_path, a.output_path, make, a.limit)))
     else:
-        print(summary_lines(analyse(spark, a.pred_file, a.out_file, hooks.subprocess_executor() if a.run_code else None)))
+        told = analyse(spark, a.pred_file, a.out_file, hooks.subprocess_executor() if a.run_code else None)
+        print(summary_lines(told), f"wrong sample idx: {told['wrong']}", sep="\n")
 
 
 if __name__ == "__main__":

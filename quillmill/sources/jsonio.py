@@ -1,31 +1,34 @@
 """JSON-array and JSONL sources with exact positions; JSONL and report sinks.
 
-A JSON array is one value, so one file is read by one task; everything after
-the explode is distributed again. JSONL is split as usual. ``pos`` is the place
-in the array or file order; it decides all ties later.
+JSON arrays are read by byte ranges (``jsonarray``), JSONL is split as usual.
+``pos`` is the place in the array or file order; it decides all ties later.
 """
 
 from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.types import StringType
 
+from quillmill.sources import commit
+from quillmill.sources.jsonarray import elements
 
 #: The eight datasets are train_{full,ablated}_{one of these}.jsonl.
 DATASETS = ("clean", "codeonly", "gsm8kstyle", "mathstyle")
+SFT = ("instruction", "input", "output")
 
 
-def read_json_array(spark: SparkSession, path: str, require_list: bool = True) -> DataFrame:
-    """Pos, item (variant), file for each element; raises if the top level is no list and that is asked for."""
-    raw = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("doc"), F.col("_metadata.file_name").alias("file"))
-    is_list = F.schema_of_variant("doc").startswith("ARRAY")
-    if require_list:
-        raw = raw.withColumn("doc", F.when(is_list, F.col("doc")).otherwise(F.raise_error(F.lit("the top level of the JSON file must be a list")).cast("variant")))
-    raw.createOrReplaceTempView("__quillmill_json")
-    return spark.sql("SELECT e.pos AS pos, e.value AS item, r.file AS file FROM __quillmill_json r, LATERAL variant_explode(r.doc) AS e")
+def read_json_array(spark: SparkSession, path: str, member: str | None = None) -> DataFrame:
+    """Pos, item (variant), text and file of each element of the arrays in ``path``, read by byte ranges.
+
+    A top level that is no list raises; with ``member`` it may be an object that
+    holds the list under that name (Q16). Raises where an element isn't JSON.
+    """
+    found = elements(spark, settled(spark, path), member)
+    return found.select("pos", F.parse_json("text").alias("item"), "text", F.element_at(F.split("file", "/"), -1).alias("file"))
 
 
 def field(item: str, name: str) -> Column:
@@ -51,6 +54,16 @@ def truthy(item: str, *names: str) -> Column:
     return F.coalesce(*found, F.lit(""))
 
 
+def indented(c: Column) -> Column:
+    """JSON text as ``indent=2`` has it for a member of a list's element; any value, so by Python."""
+
+    @F.pandas_udf(StringType())
+    def told(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else json.dumps(json.loads(t, strict=False), ensure_ascii=False, indent=2).replace("\n", "\n      "))
+
+    return told(c)
+
+
 def conversations(spark: SparkSession, path: str) -> DataFrame:
     """Pos, conversations, source (the file's name, P11)."""
     kind = "array<struct<`from`:string,`value`:string>>"
@@ -66,7 +79,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     files and offsets, are added. The table of splits is small: one row for each
     128 MB or so.
     """
-    raw = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("id"))
+    raw = spark.read.text(settled(spark, path)).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("id"))
     splits = raw.groupBy("f", "b").agg(F.count("line").alias("n"), F.min("id").alias("first"))
     before = F.sum("n").over(Window.orderBy("f", "b")) - F.col("n")
     starts = splits.select("f", "b", (before - F.col("first") + 1).alias("shift"))
@@ -97,43 +110,50 @@ def strict_rows(spark: SparkSession, path: str) -> DataFrame:
     return held.select((F.col("line_no") - 1).alias("pos"), F.when(output.isNotNull(), output).otherwise(missing.cast("string")).alias("output"))
 
 
-def write_jsonl(rows: DataFrame, path: str, columns: tuple[str, ...] = ("instruction", "input", "output"), order: str = "pos") -> None:
-    """JSON lines in the order of ``order``; a folder of part files whose names sort in that order."""
-    rows.orderBy(order).select(*columns).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+def write_jsonl(rows: DataFrame, path: str, columns: tuple[str, ...] = SFT, order: str = "pos", single: bool = True) -> None:
+    """JSON lines in the order of ``order`` as Python writes them; one file, or a folder of parts whose names sort in that order."""
+    spark = rows.sparkSession
+    folder = commit.folder_of(spark, path)
+    staged, name = commit.stage(spark, folder), path.rstrip("/").rsplit("/", 1)[-1]
+    lines = rows.select(order, commit.line(rows, *columns).alias("value"))
+    lines.repartitionByRange(order).sortWithinPartitions(order).select("value").write.text(f"{staged}/parts")
+    if single:
+        commit.join_parts(spark, f"{staged}/parts", f"{staged}/whole")
+    commit.publish(spark, folder, staged, {name: "whole" if single else "parts"})
 
 
-def write_fan_out(rows: DataFrame, path: str) -> None:
-    """The eight datasets, written in one job as folders of JSON lines under their own names.
+def write_fan_out(rows: DataFrame, path: str, single: bool = True) -> None:
+    """The eight datasets as JSON lines under their own names, written in one job and published together.
 
-    A dataset without rows is an empty folder.
+    A dataset without rows is an empty file or folder.
     """
-    spark, at = rows.sparkSession, f"{path}/_writing"
+    spark = rows.sparkSession
+    make_folder(spark, path)
+    staged = commit.stage(spark, path)
     name = F.concat(F.lit("train_"), F.col("mode"), F.lit("_"), F.when(F.col("subset") == "all", "clean").otherwise(F.col("subset")))
-    named = rows.select(name.alias("dataset"), "pos", "instruction", "input", "output")
-    named.repartitionByRange("dataset", "pos").sortWithinPartitions("dataset", "pos").drop("pos").write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("dataset").json(at)
-    fs, _ = file_system(spark, path)
-    place = spark._jvm.org.apache.hadoop.fs.Path
+    named = rows.select(name.alias("dataset"), "pos", commit.line(rows, *SFT).alias("value"))
+    named.repartitionByRange("dataset", "pos").sortWithinPartitions("dataset", "pos").select("dataset", "value").write.partitionBy("dataset").text(f"{staged}/sets")
+    names = {}
     for mode in ("full", "ablated"):
         for subset in DATASETS:
-            to = place(f"{path}/train_{mode}_{subset}.jsonl")
-            fs.delete(to, True)
-            written = place(f"{at}/dataset=train_{mode}_{subset}")
-            if fs.exists(written):
-                fs.rename(written, to)
+            own = f"train_{mode}_{subset}"
+            names[f"{own}.jsonl"] = own if single else f"sets/dataset={own}"
+            if single:
+                commit.join_parts(spark, f"{staged}/sets/dataset={own}", f"{staged}/{own}")
             else:
-                fs.mkdirs(to)
-    fs.delete(place(at), True)
+                make_folder(spark, f"{staged}/sets/dataset={own}")
+    commit.publish(spark, path, staged, names)
 
 
-def file_system(spark: SparkSession, path: str):
-    """The Hadoop file system of a path, and the path for it: local or shared alike."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+def settled(spark: SparkSession, path: str) -> str:
+    """The path, after a publication in its folder that was broken off is made whole."""
+    commit.settle(spark, commit.parent_of(spark, path))
+    return path
 
 
 def exists(spark: SparkSession, path: str) -> bool:
     """S9."""
-    fs, at = file_system(spark, path)
+    fs, at = commit.file_system(spark, path)
     return fs.exists(at)
 
 
@@ -146,20 +166,26 @@ def require(spark: SparkSession, path: str) -> str:
 
 def make_folder(spark: SparkSession, path: str) -> None:
     """The folder and those above it, where they are missing."""
-    fs, at = file_system(spark, path)
+    fs, at = commit.file_system(spark, path)
     fs.mkdirs(at)
 
 
-def write_report(spark: SparkSession, report: dict, path: str) -> None:
-    """Pretty JSON, by the driver, wherever Spark can write; reports are small by nature."""
-    fs, at = file_system(spark, path)
-    if at.getParent() is not None:
-        fs.mkdirs(at.getParent())
-    out = fs.create(at, True)
-    try:
-        out.write(bytearray(json.dumps(report, ensure_ascii=False, indent=2, default=str), "utf-8"))
-    finally:
-        out.close()
+def write_report(spark: SparkSession, report: dict, path: str, **listed: tuple[DataFrame, str, dict]) -> None:
+    """Pretty JSON wherever Spark can write, the old report whole until the new one is.
 
-
-SFT = T.StructType([T.StructField(c, T.StringType()) for c in ("instruction", "input", "output")])
+    ``listed``: one more member, a list of rows: name to (rows, the column that
+    orders them, columns that are JSON text already). Its elements are written by
+    the tasks and streamed together; the report itself is small by nature.
+    """
+    folder = commit.folder_of(spark, path)
+    staged, name = commit.stage(spark, folder), path.rstrip("/").rsplit("/", 1)[-1]
+    text = json.dumps(report, ensure_ascii=False, indent=2, default=str)
+    for member, (rows, order, given) in listed.items():
+        values = rows.select(F.col(order).alias("__order"), commit.block(rows, 4, **given).alias("value"))
+        values.repartitionByRange("__order").sortWithinPartitions("__order").select("value").write.option("lineSep", ",\n").text(f"{staged}/parts")
+        head = f'{text.removesuffix("}").rstrip()}{"," if report else ""}\n  "{member}": ['
+        some = bool(commit.parts_of(spark, f"{staged}/parts"))
+        commit.join_parts(spark, f"{staged}/parts", f"{staged}/whole", head + "\n" * some, "\n  " * some + "]\n}", 2 if some else 0)
+    if not listed:
+        commit.write_text(spark, f"{staged}/whole", text)
+    commit.publish(spark, folder, staged, {name: "whole"})

@@ -168,8 +168,12 @@ def test_evaluations(spark, tmp_path):
     answered = flows.body_items(spark, str(path)).withColumn("model_output", F.when(F.col("pos") == 0, "answer is 1,300 answer is 1300").otherwise("none"))
     assert answered.orderBy("pos").first()["question"] == "b\nq?"
     report = flows.evaluate_simple(answered, "base", "B", str(tmp_path / "b.json"))
-    results = spark.read.json(str(tmp_path / "b.json.results")).orderBy("id").collect()
-    assert results[0]["raw_item"]["Body"] == " b " and results[1]["raw_item"]["Answer"] == "n"
+    written = (tmp_path / "b.json").read_text(encoding="utf-8")
+    told = json.loads(written)
+    assert list(told) == ["mode", "dataset", "total", "correct", "accuracy", "type_counter", "results"] and {k: v for k, v in told.items() if k != "results"} == report
+    assert [list(r) for r in told["results"]] == [["id", "question", "gold", "pred", "correct", "type", "model_output", "raw_item"]] * 2
+    assert [r["raw_item"] for r in told["results"]] == [{"Body": " b ", "Question": "q? ", "Answer": 1300.0}, {"Answer": "n"}]
+    assert written == json.dumps(told, ensure_ascii=False, indent=2)
     assert report["type_counter"] == {"correct": 1, "extract_error": 1} and report["accuracy"] == 0.5
     with pytest.raises(Exception, match="no items"):
         scoring.accuracy(spark.createDataFrame([], "is_correct boolean"), empty=None).collect()
@@ -196,6 +200,9 @@ def test_analyse_runs_code_only_when_told(spark, tmp_path):
     quiet = flows.analyse(spark, str(path), str(tmp_path / "o.json"))
     assert quiet["executable_code_count"] == 0 and quiet["code_count"] == 2
     told = flows.analyse(spark, str(path), str(tmp_path / "o.json"), hooks.subprocess_executor())
+    assert told.pop("wrong") == [1]
+    written = json.loads((tmp_path / "o.json").read_text(encoding="utf-8"))
+    assert written["summary"] == told and [d["code_executable"] for d in written["details"]] == [True, False, None]
     assert told == {"pred_file": str(path), "total": 3, "correct": 2, "code_count": 2, "executable_code_count": 1, "accuracy": 0.6667, "code_generation_rate": 0.6667, "code_executability_rate": 0.5}
     run = hooks.subprocess_executor(3)
     assert hooks.subprocess_executor(0.5)("while True: pass") == (False, "", "timeout")
@@ -205,6 +212,22 @@ def test_analyse_runs_code_only_when_told(spark, tmp_path):
     assert run("1/0")[0] is False and "ZeroDivisionError" in run("1/0")[2]
 
 
+def test_segments_feed_the_analysis(spark, tmp_path):
+    """What D6 writes, details under their name, is what D8 reads."""
+    items = [{"question": f"q {k}, [\"x\"]", "answer": k} for k in range(40)]
+    (tmp_path / "qa.json").write_text(json.dumps(items), encoding="utf-8")
+    report = flows.segments(spark, "base", str(tmp_path / "qa.json"), str(tmp_path / "d6.json"), lambda: lambda prompts: [f"```python\nprint(1)\n```\n\\\\boxed{{{k % 7}}}" for k, _ in enumerate(prompts)])
+    written = (tmp_path / "d6.json").read_text(encoding="utf-8")
+    told = json.loads(written)
+    assert written == json.dumps(told, ensure_ascii=False, indent=2) and [d["idx"] for d in told["details"]] == list(range(1, 41))
+    assert list(told["details"][0]) == ["idx", "question", "gold_raw", "gold_answer", "answer_raw", "pred_answer", "is_correct"]
+    rescored = flows.analyse(spark, str(tmp_path / "d6.json"), str(tmp_path / "d8.json"))
+    assert (rescored["total"], rescored["code_count"], rescored["correct"]) == (40, 40, report["summary"]["correct"])
+    again = json.loads((tmp_path / "d8.json").read_text(encoding="utf-8"))
+    assert [d["question"] for d in again["details"]] == [x["question"] for x in items]
+    assert flows.analyse(spark, str(tmp_path / "d8.json"), str(tmp_path / "again.json"))["total"] == 40
+
+
 def test_numbers_of_other_scripts(spark):
     texts = ["１２", "٣", "٣/٤", "1_000", "1__0", "_1", "1_", "1_0/4", "-२.५", "1_0e0_1", "x", "٣x"]
 
