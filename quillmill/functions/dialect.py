@@ -6,12 +6,12 @@ as the set that str.isspace knows, so both engines agree with Python on it.
 
 from __future__ import annotations
 
+import functools
+import sys
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: str.isspace as a class body; the syntax suits Java and RE2.
 SPACES = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -88,7 +88,46 @@ def lines_of(c: Column) -> Column:
     return F.split(c, rf"\r\n|[{LINE_ENDS}]")
 
 
-@F.pandas_udf(StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    """Unicode NFKC, which Spark lacks; ASCII texts pass at once."""
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+def _ranges(wanted, least: int = 1, end: int = sys.maxunicode + 1) -> str:
+    """A class body of the runs of ``least`` and more code points that are ``wanted``."""
+    out, begin = [], None
+    for cp in range(end + 1):
+        own = cp < end and not 0xD800 <= cp <= 0xDFFF and wanted(chr(cp))
+        if own and begin is None:
+            begin = cp
+        elif not own and begin is not None:
+            if cp - begin >= least or begin < 256:
+                out.append(f"\\x{{{begin:x}}}-\\x{{{cp - 1:x}}}")
+            begin = None
+    return "".join(out)
+
+
+@functools.cache
+def _settled() -> str:
+    """Long runs of characters of the plane in common use that NFKC leaves alone and never joins to the one before."""
+    joins = {unicodedata.normalize("NFD", chr(c))[-1:] for c in range(0x3400) if len(unicodedata.normalize("NFD", chr(c))) > 1}
+    hangul = range(0x1100, 0x1200)
+    plain = lambda c: unicodedata.category(c) != "Cn" and unicodedata.combining(c) == 0 and unicodedata.normalize("NFKC", c) == c and c not in joins and ord(c) not in hangul
+    return _ranges(plain, 200, 0x10000)
+
+
+@functools.cache
+def _unassigned() -> str:
+    return _ranges(lambda c: unicodedata.category(c) == "Cn")
+
+
+def nfkc(c: Column) -> Column:
+    """Unicode NFKC by the library that Spark's collations use.
+
+    Texts in common characters pass at once. Characters that Python's tables don't
+    know yet stay as they are and bound what is normalized, as they do there.
+    """
+
+    def composed(x: Column) -> Column:
+        return F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), x, F.lit(True))
+
+    known = rf"[^{_unassigned()}]+"
+    parts = F.regexp_extract_all(c, F.lit(rf"{known}|[{_unassigned()}]+"), F.lit(0))
+    by_part = F.array_join(F.transform(parts, lambda x: F.when(x.rlike(f"^{known}"), composed(x)).otherwise(x)), "")
+    odd = F.regexp_replace(c, f"[{_settled()}]+", "")
+    return F.when(c.isNull() | (odd == ""), c).when(odd.rlike(f"[{_unassigned()}]"), by_part).otherwise(composed(c))

@@ -1,8 +1,7 @@
 """Text columns: normalizers, question keys, residue detectors, style, score, code.
 
 The four normalizers differ on purpose and must stay apart. All functions map
-a Column to a Column of built-in expressions; only those that need NFKC hold an
-Arrow function (``dialect.nfkc``).
+a Column to a Column of built-in expressions.
 """
 
 from __future__ import annotations

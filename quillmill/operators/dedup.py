@@ -34,5 +34,6 @@ def keep_best(samples: DataFrame, key: Column | None = None, score: str = "quali
 def keep_first(rows: DataFrame, question: str = "input", output: str = "output", pos: str = "pos") -> DataFrame:
     """The first row of each normalized (question, output), combined on the map side under the texts' hash."""
     key = F.concat_ws("\x00", T.dedup_text(F.col(question)), T.dedup_text(F.col(output)))
-    first = rows.groupBy(F.unhex(F.sha2(key, 256)).alias("__h")).agg(F.min_by(F.struct(*rows.columns), pos).alias("row"))
+    # a column of its own, as calls that count as not deterministic can't be grouped by directly
+    first = rows.withColumn("__h", F.unhex(F.sha2(key, 256))).groupBy("__h").agg(F.min_by(F.struct(*rows.columns), pos).alias("row"))
     return first.select("row.*")
