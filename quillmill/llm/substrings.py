@@ -30,8 +30,10 @@ rows shows to be hot aren't brought together to be counted either. The texts are
 shuffled once, into a table bucketed by row; all later steps read it beside small
 tables dealt the same way. That table and those between are deleted at the end.
 
-Null text counts as empty. A null doc_id comes after all others; rows that
-repeat a doc_id are separate documents, in an order fixed once a run.
+Null text counts as empty. A null doc_id comes after all others. Rows that
+repeat a doc_id, or have none, are separate documents in the order of two 64-bit
+hashes of their texts; between rows that are equal in both nothing tells, so as
+a whole the result does not depend on the order or partitions of the input.
 """
 
 from __future__ import annotations
@@ -159,26 +161,28 @@ def first_of(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return new
 
 
-PARSED = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc", pa.int64()), ("rid", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("known", pa.bool_())])
+#: What orders documents in the corpus; the last names a row.
+CORPUS = ("doc", "tie", "tie2", "rid")
+PARSED = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("tie2", pa.int64()), ("rid", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("known", pa.bool_())])
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Phrases of each document; ``known`` ones repeat an earlier one of the batch."""
     for batch in batches:
-        docs, rids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "rid"))
+        names = (batch.column(c).to_numpy(zero_copy_only=False) for c in CORPUS)
         rows, digests = [], []
-        for d, r, raw in zip(docs, rids, _texts(batch), strict=True):
+        for *name, raw in zip(*names, _texts(batch), strict=True):
             start, n, own = phrases(raw)
-            rows.append(np.stack([np.full(len(start), d), np.full(len(start), r), start, n]))
+            rows.append(np.stack([*(np.full(len(start), x) for x in name), start, n]))
             digests += own
         if not digests:
             continue
-        doc, rid, start, n = np.concatenate(rows, axis=1).astype(np.int64)
+        *name, start, n = np.concatenate(rows, axis=1).astype(np.int64)
         k1, k2 = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2).T
-        order = np.lexsort((start, rid, doc, k2, k1))
+        order = np.lexsort((start, *name[::-1], k2, k1))
         known = np.empty(len(order), dtype=bool)
         known[order] = ~first_of(order, k1, k2)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.ascontiguousarray(k1), np.ascontiguousarray(k2), doc, rid, start, n, known)], schema=PARSED)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.ascontiguousarray(k1), np.ascontiguousarray(k2), *name, start, n, known)], schema=PARSED)
 
 
 def _inside(first: np.ndarray, last: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,7 +222,7 @@ def _anchored(batches: Iterator[pa.RecordBatch], heavy: np.ndarray) -> Iterator[
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.concatenate(rids).astype(np.int64)), pa.array(np.concatenate(places).astype(np.int64)), pa.array(np.isin(found, heavy))], schema=ANCHORED)
 
 
-SENT = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc", pa.int64()), ("rid", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())])
+SENT = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("tie2", pa.int64()), ("rid", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())])
 MARKS = pa.schema([("rid", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
 
 
@@ -228,7 +232,7 @@ def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     anchors that repeat an earlier one of the batch come as marks (n below 0)."""
     for batch in batches:
         cold, hot = [], []
-        for d, r, raw, runs, again in zip(batch.column("doc").to_pylist(), batch.column("rid").to_pylist(), _texts(batch), _lists(batch, "runs"), _lists(batch, "again"), strict=True):
+        for *name, raw, runs, again in zip(*(batch.column(c).to_pylist() for c in CORPUS), _texts(batch), _lists(batch, "runs"), _lists(batch, "again"), strict=True):
             if not len(again) or not len(runs):
                 continue
             place, h, first, last = anchors(raw)
@@ -241,18 +245,18 @@ def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for w, a, b in zip(which.tolist(), lo.tolist(), hi.tolist(), strict=True):
                 part = raw[a : b + LENGTH]
                 if is_hot[w]:
-                    hot.append((whole(part, 0).view(np.int64), whole(part, 1).view(np.int64), np.full(b - a + 1, d), np.full(b - a + 1, r), np.arange(a, b + 1)))
+                    hot.append((whole(part, 0).view(np.int64), whole(part, 1).view(np.int64), *(np.full(b - a + 1, x) for x in name), np.arange(a, b + 1)))
                 else:
-                    cold.append((int(h[w].view(np.int64)), 0, d, r, a, b - a + 1, part.tobytes()))
+                    cold.append((int(h[w].view(np.int64)), 0, *name, a, b - a + 1, part.tobytes()))
         if cold:
             yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*cold, strict=True), SENT, strict=True)], schema=SENT)
         if hot:
-            k1, k2, doc, rid, start = (np.concatenate(x).astype(np.int64) for x in zip(*hot, strict=True))
-            order = np.lexsort((start, rid, doc, k2, k1))
+            k1, k2, *name, start = (np.concatenate(x).astype(np.int64) for x in zip(*hot, strict=True))
+            order = np.lexsort((start, *name[::-1], k2, k1))
             n = np.empty(len(order), dtype=np.int64)
             n[order] = np.where(first_of(order, k1, k2), 1, -1)
-            key = np.where(n > 0, k1, rid)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (key, k2, doc, rid, start, n)), pa.nulls(len(n), pa.binary())], schema=SENT)
+            key = np.where(n > 0, k1, name[-1])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (key, k2, *name, start, n)), pa.nulls(len(n), pa.binary())], schema=SENT)
 
 
 def _marks_of(rid: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
@@ -281,7 +285,8 @@ def suffix_array(flat: np.ndarray, at: np.ndarray, *corpus: np.ndarray) -> tuple
 def _settled(rows: pa.Table) -> pa.RecordBatch | None:
     """Marks of all strings in the rows but the first of equal ones; a key's rows are here all."""
     n = rows["n"].to_numpy()
-    doc, rid, start, k1, k2 = (rows[c].to_numpy() for c in ("doc", "rid", "start", "k1", "k2"))
+    *name, start, k1, k2 = (rows[c].to_numpy() for c in (*CORPUS, "start", "k1", "k2"))
+    rid = name[-1]
     done = n < 0
     own = np.flatnonzero(n > 0)
     raw = [b if b is not None else b"" for b in rows["bytes"].take(pa.array(own)).to_pylist()]
@@ -301,13 +306,13 @@ def _settled(rows: pa.Table) -> pa.RecordBatch | None:
         base = np.cumsum(count + LENGTH - 1) - (count + LENGTH - 1)
         step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
         of, s = np.repeat(part, count), np.repeat(start[part], count) + step
-        sa, shares = suffix_array(flat, np.repeat(base, count) + step, doc[of], rid[of], s)
+        sa, shares = suffix_array(flat, np.repeat(base, count) + step, *(x[of] for x in name), s)
         found_r.append(rid[of][sa[shares]])
         found_s.append(s[sa[shares]])
         begin = end
     # suffixes of hot anchors, by their hashes
     one = own[direct]
-    order = one[np.lexsort((start[one], rid[one], doc[one], k2[one], k1[one]))]
+    order = one[np.lexsort((start[one], *(x[one] for x in name[::-1]), k2[one], k1[one]))]
     again = order[~first_of(order, k1, k2)]
     rr, ss = np.concatenate([*found_r, rid[again]]), np.concatenate([*found_s, start[again]])
     return _marks_of(rr, ss) if len(rr) else None
@@ -356,7 +361,8 @@ def _cut(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordB
 def _bucketed(docs: DataFrame, n: int) -> tuple[str, str]:
     """Name and folder of a table of n buckets that holds the rows with a row number and is dealt by it."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumns({"rid": F.monotonically_increasing_id(), "doc": F.coalesce("doc_id", F.lit((1 << 63) - 1))})
+    ties = {"tie": F.xxhash64("text"), "tie2": F.xxhash64(F.lit(7), "text")}
+    rows = rows.withColumns({"rid": F.monotonically_increasing_id(), "doc": F.coalesce("doc_id", F.lit((1 << 63) - 1)), **ties})
     name = f"quillmill_texts_{uuid.uuid4().hex}"
     path = f"{run_dir(docs.sparkSession)}/{name}"
     rows.repartition(n, "rid").write.bucketBy(n, "rid").option("path", path).format("parquet").saveAsTable(name)
@@ -368,16 +374,24 @@ def removed(docs: DataFrame, digest: bool = False) -> DataFrame:
     spark = docs.sparkSession
     n = partitions(spark)
     name, path = _bucketed(docs, n)
-    texts = spark.table(name)
+    try:
+        return _removed(spark.table(name), n, digest)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+        delete(spark, path)
+
+
+def _removed(texts: DataFrame, n: int, digest: bool) -> DataFrame:
+    spark = texts.sparkSession
     long = texts.where(F.octet_length("text") >= LENGTH)
 
     def beside(small: DataFrame, rows: DataFrame = long, how: str = "inner") -> DataFrame:
         return rows.join(small.hint("shuffle_hash"), "rid", how)
 
-    parsed = long.select("doc", "rid", "text").mapInArrow(_parse, "k1 long, k2 long, doc long, rid long, start long, n long, known boolean")
+    parsed = long.select(*CORPUS, "text").mapInArrow(_parse, "k1 long, k2 long, doc long, tie long, tie2 long, rid long, start long, n long, known boolean")
     parsed = materialize(parsed, "phrases")
     # combined before the shuffle, so a phrase of all documents comes as one row for each task
-    first = parsed.where("not known").groupBy("k1", "k2").agg(F.min(F.struct("doc", "rid", "start", "n")).alias("first"))
+    first = parsed.where("not known").groupBy("k1", "k2").agg(F.min(F.struct(*CORPUS, "start", "n")).alias("first"))
     dictionary = materialize(first.select("first.rid", "first.start", "first.n"), "dictionary")
     later = parsed.where("not known").join(dictionary.select("rid", "start"), ["rid", "start"], "left_anti")
     runs = dictionary.groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
@@ -392,14 +406,12 @@ def removed(docs: DataFrame, digest: bool = False) -> DataFrame:
     places = F.count("*").over(Window.partitionBy("hash", F.when(F.col("heavy"), F.col("rid")).otherwise(0)))
     again = found.withColumn("places", places).where("heavy or places > 1").select("rid", "place", (F.col("heavy") | (F.col("places") > HOT)).cast("bigint").alias("hot"))
     again = materialize(again.groupBy("rid").agg(F.collect_list(F.struct("place", "hot")).alias("again")), "anchors")
-    sent = beside(again.join(runs, "rid")).select("doc", "rid", "text", "runs", "again").mapInArrow(_sent, "k1 long, k2 long, doc long, rid long, start long, n long, bytes binary")
+    sent = beside(again.join(runs, "rid")).select(*CORPUS, "text", "runs", "again").mapInArrow(_sent, "k1 long, k2 long, doc long, tie long, tie2 long, rid long, start long, n long, bytes binary")
     settled = sent.repartition(n, "k1").sortWithinPartitions("k1").mapInArrow(_settle, "rid long, start long, n long")
     marks = parsed.where("known").select("rid", "start", "n").unionByName(later.select("rid", "start", "n")).unionByName(settled)
     marks = marks.groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
     held = beside(marks, texts, "left").select("doc_id", "text", "marks")
     out = materialize(held.mapInArrow(lambda batches: _cut(batches, digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"), "kept")
-    spark.sql(f"DROP TABLE {name}")
-    delete(spark, path)
     discard(parsed, dictionary, again)
     return out
 
