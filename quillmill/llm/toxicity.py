@@ -7,7 +7,9 @@ its smoothed share of the toxic texts' features over that of the others', and a
 logistic regression is fitted to the scaled features.
 
 The fit takes a bounded sample: at most ``PER_CLASS`` labelled texts of each
-class, those with the smallest hashes of their ids. Only features present in at
+class, those with the smallest hashes, and ``SAMPLE_BYTES`` of texts, half of them
+of either class; a text that would pass that is left out. Rows that repeat an id
+and its text train once. Only features present in at
 least ``MIN_TEXTS`` of them and with a log-count ratio of ``LEAST_RATIO`` or more
 either way count. Every text is scored whole, whatever its
 length; a long text's n-grams are gathered in slices. The intercept is set for
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 from quillmill.llm.common import discard, materialize, table
 
 ORDERS, BUCKETS, BASE = (3, 4, 5, 6, 7, 8), 1 << 20, np.uint64(0x100000001B3)
+#: Texts that the fit takes: rows of each class, and bytes of both.
+SAMPLE_BYTES = 24 << 20
 PER_CLASS, MIN_TEXTS, SMOOTHING, LEAST_RATIO, RIDGE = 3000, 4, 1.0, 0.4, 1e-6
 SLICE = 1 << 16
 
@@ -143,6 +147,20 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"bucket": seen, "other": sums[0, seen], "toxic": sums[1, seen]})
 
 
+def bounded(rows: DataFrame, per_class: int) -> DataFrame:
+    """toxic, at of the rows to train with, at most ``per_class`` of a class, in the order of their hash ``at``."""
+    sizes = materialize(rows.select("toxic", "at", F.octet_length("text").alias("n")).distinct(), "sizes")
+    kept = []
+    for k in (0, 1):
+        left = SAMPLE_BYTES // 2
+        for at, n in sizes.where(F.col("toxic") == k).select("at", "n").orderBy("at").limit(per_class).collect():
+            if n <= left or left == SAMPLE_BYTES // 2:
+                kept.append((k, at))
+                left -= n
+    discard(sizes)
+    return rows.sparkSession.createDataFrame(kept, "toxic int, at long")
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[np.ndarray, np.ndarray, float]:
     """Buckets, their weights, and the intercept, fitted on the sample.
 
@@ -154,8 +172,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
         return np.array([], np.int64), np.array([]), 40.0 if counts.get(1) else -40.0
     share = counts[1] / (counts[0] + counts[1])
     sample = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
-    picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample[0].unionByName(sample[1])), "doc_id")
-    picked = materialize(picked.select("toxic", "text"), "sample")
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample[0].unionByName(sample[1])), "doc_id")
+    rows = rows.select("toxic", F.xxhash64("doc_id", "text").alias("at"), "text")
+    picked = materialize(rows.join(F.broadcast(bounded(rows, per_class)), ["toxic", "at"]).dropDuplicates(["toxic", "at"]).select("toxic", "text"), "sample")
     sizes = {r[0]: r[1] for r in picked.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return np.array([], np.int64), np.array([]), float(np.log(share / (1 - share)))
