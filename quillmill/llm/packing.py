@@ -145,14 +145,15 @@ def slots(found: list[tuple[int, list[tuple[int, int]]]]) -> pd.DataFrame:
 
 
 def ranked(cut_up: DataFrame) -> DataFrame:
-    """Adds ``rank`` from 0 within each length, without bringing a length together.
+    """Adds ``rank`` from 0 within each length to a stored table, without bringing a length together.
 
-    Rows are spread over parts by a hash; each part ranks its own rows of a
-    length and is offset by the parts before it.
+    Rows are spread over parts by a hash of their file and place in it, so rows
+    that are equal spread too; each part ranks its own rows of a length and is
+    offset by the parts before it.
     """
     n = partitions(cut_up.sparkSession)
-    part = F.pmod(F.xxhash64("doc_id", "piece", "tie"), F.lit(n)).cast("int")
-    spread = cut_up.withColumn("part", part)
+    part = F.pmod(F.xxhash64("_metadata.file_name", "_metadata.row_index"), F.lit(n)).cast("int")
+    spread = cut_up.select(*cut_up.columns, part.alias("part"))
     sums = spread.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = sums.select("length", "part", F.expr("sum(n) over (partition by length order by part) - n").alias("before"))
     own = spread.withColumn("own", F.expr("row_number() over (partition by part, length order by doc_id, piece, tie) - 1"))
