@@ -29,7 +29,7 @@ from pyspark.sql.types import StringType
 
 from quillmill.llm.common import exists, materialize, small, table
 
-RULE_VERSION = "1"
+RULE_VERSION = "2"
 LEDGER_SETTING = "spark.quillmill.secrets.ledger"
 #: kind, pattern, group to measure, least length; found spans shorter than that are dropped.
 RULES = (
@@ -40,7 +40,8 @@ RULES = (
     ("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?"), 0, 1),
     ("github", re.compile(r"gh[pousr]_[A-Za-z0-9]+"), 0, 40),
     ("slack", re.compile(r"xox[abprs]-[A-Za-z0-9-]+"), 0, 20),
-    ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), 0, 40),
+    # only where a run of its characters begins, so that each run is looked through once
+    ("jwt", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), 0, 40),
 )
 N_BASE = 3
 #: A text without any of these (lower-cased where the rule ignores case) can't match the rule.
@@ -132,14 +133,16 @@ def redacted(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     findings are broadcast while their bytes are few, and joined by a shuffle
     beyond. Only texts and spans go to Python, other columns stay as they are.
     """
-    hits = known(docs, ledger).where("spans <> ''").select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    sha = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    paths = docs.withColumn("__sha", sha).join(small(hits), F.col("__sha") == F.col("__blob"), "left")
-    found = F.col("__spans").isNotNull()
-    out = paths.withColumn("__clean", _blanked(F.when(found, F.col("text").cast("string")), F.col("__spans"))).withColumn("text", F.when(found, F.col("__clean")).otherwise(F.col("text")))
+    hits = known(docs.select("text"), ledger).where("spans <> ''").select("blob", "spans")
+    # the row is one column, so no name of its own can clash
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("sha"))
+    paths = rows.join(small(hits), F.col("sha") == F.col("blob"), "left")
+    found, text = F.col("spans").isNotNull(), F.col("row")["text"]
+    out = paths.withColumn("clean", _blanked(F.when(found, text.cast("string")), F.col("spans"))).withColumn("clean", F.when(found, F.col("clean")).otherwise(text))
+    new = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.coalesce(F.length("clean"), F.lit(0)).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def blanked(text: str, spans: str) -> str:
