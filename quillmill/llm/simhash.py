@@ -289,11 +289,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     are shuffled once and not written.
     """
     kept = named(materialize(fingerprints(docs), "prints")).select(*_key(F.col("keeper.doc_id"), F.col("keeper.fp"))).distinct()
-    own = docs.select(*docs.columns, *_key(F.col("doc_id").cast("bigint"), _print_of(F.col("text").cast("string"))))
-    return own.join(kept, KEY, "left_semi").dropDuplicates(KEY).select(*docs.columns)
+    # the row is one column, so no name of its own can clash
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *_key(F.col("doc_id").cast("bigint"), _print_of(F.col("text").cast("string"))))
+    return own.join(kept, KEY, "left_semi").dropDuplicates(KEY).select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
-KEY = ["__k_id", "__k_none", "__k_fp"]
+KEY = ["k_id", "k_none", "k_fp"]
 
 
 def _key(doc_id, fp) -> list:

@@ -12,6 +12,7 @@ import random
 import re
 import subprocess
 import sys
+import time
 import zlib
 from collections import Counter
 from math import comb
@@ -869,7 +870,7 @@ def test_ledger_scans_only_unseen_blobs(spark, docs, tmp_path, monkeypatch):
     new = docs.union(docs.limit(1).withColumn("text", F.lit("fresh token=abcdefgh1")))
     assert secrets.scan(new, secrets.ledger_at(spark, ledger)).count() == 1
     assert secrets.findings(new, ledger).count() == len(ROWS) + 1 and rows() == blobs + 1
-    monkeypatch.setattr(secrets, "RULE_VERSION", "2")
+    monkeypatch.setattr(secrets, "RULE_VERSION", "next")
     same(secrets.findings(docs, ledger).collect(), plain)
     assert rows() == 2 * blobs + 1
 
@@ -892,3 +893,71 @@ def test_the_query_uses_the_sessions_ledger(spark, tmp_path):
     finally:
         spark.conf.unset(secrets.LEDGER_SETTING)
     assert secrets.ledger_at(spark, str(tmp_path / "ledger")).count() == len({r[1] or "" for r in ROWS})
+
+
+# ---- rows that repeat, ties, names ----
+
+
+def test_ties_are_told_by_texts(spark):
+    """Rows that share an id, or have none, give the same whatever the order and partitions of the input."""
+    rng = random.Random(8)
+    passage, own = prose(rng, 60), [prose(rng, 40) for _ in range(8)]
+    rows = [(k, f"{own[n]} {passage} {own[-n]}") for n in range(8) for k in (7, None)]
+    kept = []
+    for order, parts in ((rows, 1), (rows[::-1], 1), (rng.sample(rows, len(rows)), 4)):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(parts)
+        out = substrings.removed(docs.sortWithinPartitions(F.rand(parts)) if parts > 1 else spark.createDataFrame(order, "doc_id long, text string").coalesce(1))
+        kept.append(sorted((str(r["doc_id"]), r["n_removed"], bytes(r["kept"])) for r in out.collect()))
+    assert kept[0] == kept[1] == kept[2] and len({n for _, n, _ in kept[0]}) > 1
+
+
+def test_a_failed_run_leaves_no_table(spark, monkeypatch):
+    def fails(*args, **named):
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(substrings, "_parse", fails)
+    with pytest.raises(Exception, match="killed|_parse"):
+        substrings.removed(spark.createDataFrame([(1, "x" * 300)], "doc_id long, text string"))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("quillmill_texts")]
+
+
+def test_equal_pieces_are_spread(spark):
+    """Rows that are equal in id and text are ranked in many parts."""
+    held = common.materialize(spark.range(0, 4000, 1, 8).selectExpr("cast(null AS bigint) AS doc_id", "0 AS piece", "'' AS tie", "1 AS length"), "equal")
+    out = packing.ranked(held)
+    assert sorted(r["rank"] for r in out.collect()) == list(range(4000))
+    parts = held.select(F.pmod(F.xxhash64("_metadata.file_name", "_metadata.row_index"), F.lit(4)).alias("p")).groupBy("p").count().collect()
+    assert len(parts) == 4 and max(r["count"] for r in parts) < 1500
+
+
+def test_the_fit_takes_a_bounded_sample(spark, monkeypatch):
+    rows = [(k % 4, f"text {j} of {k % 4}") for k in range(400) for j in (k % 50,)] + [(9, "long " * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 0), (3, 1), (9, 1)], "doc_id long, toxic int")
+    joined = docs.join(labels, "doc_id").select("toxic", F.xxhash64("doc_id", "text").alias("at"), "text")
+    assert {k: n for k, n in toxicity.bounded(joined, 5).groupBy("toxic").count().collect()} == {0: 5, 1: 5}
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 200)
+    kept = toxicity.bounded(joined, 50).join(joined, ["toxic", "at"]).select("toxic", "text").distinct().collect()
+    for k in (0, 1):
+        own = [len(r["text"]) for r in kept if r["toxic"] == k]
+        assert own and (sum(own) <= 100 or len(own) == 1)
+
+
+def test_secrets_in_linear_time():
+    for text in ("eyJ" * 350_000, "eyJ." * 250_000, ("eyJ" + "a" * 1000 + ".") * 1000, "xox" * 300_000, "ghp_" * 250_000, "-----BEGIN " * 90_000, "password" + " " * 1_000_000, "AKIA" * 250_000, "token=" * 150_000):
+        began = time.process_time()
+        secrets.find(text)
+        assert time.process_time() - began < 1, text[:20]
+    token = "eyJ" + "a" * 20 + ".eyJ" + "b" * 20 + ".sig-_9"
+    assert [(a, b) for a, k, b in secrets.find(f"a {token} b") if secrets.RULES[k][0] == "jwt"] == [(2, 2 + len(token))]
+
+
+def test_stages_take_any_column_names(spark):
+    names = ["source", "k_id", "k_none", "k_fp", "__k_id", "blob", "spans", "__blob", "__spans", "sha", "row", "clean", "a.b", "row.text", "doc id"]
+    rows = [(k, "words of text token=abcdefgh1 " * (1 + k % 2), 30, *(f"{n}{k}" for n in names)) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, " + ", ".join(f"`{n}` string" for n in names))
+    for out, left in ((simhash.keep_one(docs), 2), (secrets.redacted(docs), 4), (quality.keep_documents(docs), None)):
+        assert out.columns == docs.columns
+        got = [tuple(r) for r in out.collect()]
+        assert left is None or len(got) == left
+        assert all(r[3:] == tuple(f"{n}{r[0]}" for n in names) for r in got)
