@@ -9,6 +9,9 @@ from __future__ import annotations
 import functools
 import sys
 import unicodedata
+from functools import reduce
+from operator import and_, or_
+from re import _constants, _parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,6 +48,58 @@ def has(c: Column, pattern: str, flags: str = "") -> Column:
     return c.rlike(java(pattern, flags))
 
 
+# ---- required factors: what a match must hold, found by plain search first ----
+
+
+def _needed(parsed) -> list[tuple[str, ...]]:
+    out, run = [], ""
+    for op, value in [*parsed, (None, None)]:
+        if op is _constants.LITERAL:
+            run += chr(value)
+            continue
+        if run:
+            out.append((run,))
+            run = ""
+        if op is _constants.SUBPATTERN:
+            out += _needed(value[-1])
+        elif op in (_constants.MAX_REPEAT, _constants.MIN_REPEAT) and value[0] > 0:
+            out += _needed(value[2])
+        elif op is _constants.BRANCH:
+            parts = [_needed(x) for x in value[1]]
+            if all(parts):
+                out.append(tuple(f for x in parts for f in max(x, key=lambda any_of: min(map(len, any_of)))))
+    return out
+
+
+@functools.cache
+def factors(pattern: str, flags: str = "") -> tuple[tuple[str, ...], ...]:
+    """All of these are in any text that the pattern matches, of each one or more; the longest first. Lower-cased under the flag i."""
+    found = {tuple(dict.fromkeys(f.lower() if "i" in flags else f for f in any_of)) for any_of in _needed(_parser.parse(pattern))}
+    return tuple(sorted(found, key=lambda any_of: (-min(map(len, any_of)), len(any_of), any_of)))
+
+
+def literal(pattern: str) -> str | None:
+    """The text that the pattern is, if it is one."""
+    parsed = list(_parser.parse(pattern))
+    return "".join(chr(value) for _, value in parsed) if all(op is _constants.LITERAL for op, _ in parsed) else None
+
+
+def folded(c: Column) -> Column:
+    """Lower case, and the two letters besides that equal ASCII ones when case is ignored."""
+    return F.translate(F.lower(c), "ſı", "si")
+
+
+def holds(c: Column, low: Column, pattern: str, flags: str = "") -> Column:
+    """Whether the text has what a match needs; ``low`` is the folded text."""
+    where = low if "i" in flags else c
+    return reduce(and_, (reduce(or_, (where.contains(f) for f in any_of)) for any_of in factors(pattern, flags)), F.lit(True))
+
+
+def found(c: Column, low: Column, pattern: str, flags: str = "") -> Column:
+    """``has``, but the expression runs only on texts that hold its factors."""
+    return holds(c, low, pattern, flags) & has(c, pattern, flags)
+
+
 def sub(c: Column, pattern: str, to: str = "", flags: str = "") -> Column:
     return F.regexp_replace(c, java(pattern, flags), to)
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillmill.functions import rules as R
-from quillmill.functions.dialect import findall, group_of, has, java, let, nfkc, replaced, strip, sub
+from quillmill.functions.dialect import findall, folded, found, group_of, has, holds, java, let, literal, nfkc, replaced, strip, sub
 
 NEWLINES = (("\r\n", "\n"), ("\r", "\n"))
 
@@ -83,13 +83,17 @@ def _labels(pairs: list[tuple[Column, str]]) -> Column:
 def strict_residue(c: Column, class_rule: bool = True, keywords: bool = True) -> Column:
     """Labels of the strict rules (their patterns), then of the keywords. R2 without the class rule and keywords."""
     held = R.STRICT_RULES if class_rule else R.STRICT_RULES[:-1]
-    low = F.lower(c)
-    return _labels([(has(c, p, f), p) for p, f in held] + [(low.contains(k), f"KW:{k}") for k in R.KEYWORDS if keywords])
+
+    def labels(low: Column) -> Column:
+        return _labels([(found(c, low, p, f), p) for p, f in held] + [(low.contains(k), f"KW:{k}") for k in R.KEYWORDS if keywords])
+
+    # no keyword holds a letter that folding changes beyond lower case
+    return let(folded(c), labels)
 
 
 def named_residue(c: Column) -> Column:
     """Names of the named rules."""
-    return _labels([(has(c, p, f), name) for name, p, f in R.NAMED_RULES])
+    return let(folded(c), lambda low: _labels([(found(c, low, p, f), name) for name, p, f in R.NAMED_RULES]))
 
 
 def has_fence(c: Column) -> Column:
@@ -100,17 +104,35 @@ def has_fence(c: Column) -> Column:
 # ---- style and score ----
 
 
+#: What every literal outside ASCII needs.
+WIDE = "[^\\x00-\\x{2dff}]"
+
+
 def hint_count(low: Column) -> Column:
-    """How many of the hints a lower-cased text holds, each counted once."""
-    return sum((low.contains(h).cast("int") for h in R.WORD_PROBLEM_HINTS), F.lit(0))
+    """How many of the hints a lower-cased text holds, each counted once; the wide ones are looked for only where something is wide."""
+    count = lambda hints: sum((low.contains(h).cast("int") for h in hints), F.lit(0))
+    wide = [h for h in R.WORD_PROBLEM_HINTS if not h.isascii()]
+    return count([h for h in R.WORD_PROBLEM_HINTS if h.isascii()]) + F.when(low.rlike(WIDE), count(wide)).otherwise(0)
+
+
+def _any_of(c: Column, low: Column, patterns: tuple[str, ...]) -> Column:
+    """Whether any of the patterns matches, case ignored; literals by plain search, wide ones only where something is wide."""
+
+    def each(some: list[str]) -> Column:
+        return reduce(or_, (low.contains(literal(p)) if literal(p) else found(c, low, p, "i") for p in some))
+
+    wide = [p for p in patterns if not p.isascii()]
+    return each([p for p in patterns if p.isascii()]) | (c.rlike(WIDE) & each(wide))
 
 
 def style(question: Column) -> Column:
     """Y1."""
-    low = F.lower(question)
-    advanced = has(low, "|".join(f"(?:{p})" for p in R.ADVANCED_PATTERNS), "i")
-    unit = low.rlike("|".join(R.UNITS))
-    return F.when(advanced, "mathstyle").when((hint_count(low) >= 2) | unit, "gsm8kstyle").otherwise("general")
+
+    def told(low: Column) -> Column:
+        unit = reduce(or_, (low.contains(u) for u in R.UNITS))
+        return F.when(let(folded(low), lambda x: _any_of(low, x, R.ADVANCED_PATTERNS)), "mathstyle").when((hint_count(low) >= 2) | unit, "gsm8kstyle").otherwise("general")
+
+    return let(F.lower(question), told)
 
 
 def quality_score(question: Column, full: Column, ablated: Column, turns: Column, has_code: Column, had_system: Column) -> Column:
@@ -156,8 +178,10 @@ def _holds(c: Column, words: tuple[str, ...]) -> Column:
 
 
 def ablated(c: Column) -> Column:
-    """C4, phrases deleted in order, code-like lines and hint lines dropped, left fragments dropped."""
+    """C4, phrases deleted in order, code-like lines and hint lines dropped, left fragments dropped.
 
+    What the whole text lacks is not looked for in its lines.
+    """
 
     def without_phrases(x: Column) -> Column:
         out = x
@@ -166,11 +190,24 @@ def ablated(c: Column) -> Column:
         # every phrase holds one of these, so most texts skip all 22 passes
         return F.when(x.rlike("(?i)python|运行上述代码|运行以上代码"), out).otherwise(x)
 
-    bounded = "|".join(p.removeprefix(r"\b") for p in R.CODE_LINES if p.startswith(r"\b"))
-    code = "|".join([rf"\b(?:{bounded})", *(p for p in ("```", *R.CODE_LINES) if not p.startswith(r"\b"))])
+    def without_code(x: Column) -> Column:
+        """Blank lines are settled by normalizing, so texts without anything to drop stay whole."""
+        codes = ("```", *R.CODE_LINES)
+        low = F.lower(x)
+        bits = F.array(_holds(x, R.LINE_HINTS), *(holds(x, low, p) for p in codes))
+
+        def kept(bits: Column) -> Column:
+            lines = _kept_lines(x, lambda line: (bits[0] & _holds(line, R.LINE_HINTS)) | reduce(or_, (bits[k] & found(line, line, p) for k, p in enumerate(codes, 1))))
+            return F.when(F.exists(bits, lambda b: b), lines).otherwise(x)
+
+        return let(bits, kept)
+
+    def without_fragments(x: Column) -> Column:
+        return F.when(_holds(x, R.FRAGMENTS), _kept_lines(x, lambda line: _holds(line, R.FRAGMENTS))).otherwise(x)
+
     c = let(without_blocks(c), without_phrases)
-    c = normalize_chat(_kept_lines(c, lambda x: _holds(x, R.LINE_HINTS) | x.rlike(java(code))))
-    return normalize_chat(_kept_lines(c, lambda x: _holds(x, R.FRAGMENTS)))
+    c = normalize_chat(let(c, without_code))
+    return normalize_chat(let(c, without_fragments))
 
 
 def first_code(c: Column) -> Column:
