@@ -56,11 +56,11 @@ def test_every_reason_is_met(spark):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
 def test_texts_are_whole(spark):
     texts = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.col("text").alias("whole"))
-    # CODE_ROWS blanks every 23rd output
-    for sql, pos, column, blank in ((fixtures.ANSWERS, "pos", "answer_raw", 0), (fixtures.ANSWERS, "pos", "question", 0), (fixtures.QUESTIONS, "doc_id", "question", 0), (fixtures.CODE_ROWS, "pos", "output", 23)):
+    for sql, pos, column in ((fixtures.ANSWERS, "pos", "answer_raw"), (fixtures.ANSWERS, "pos", "question"), (fixtures.QUESTIONS, "doc_id", "question"), (fixtures.CODE_ROWS, "pos", "output"), (fixtures.RESIDUE, "doc_id", "output")):
         rows = catalogue._input(spark, SF, "documents", sql).select(F.col(pos).alias("id"), column).join(texts, F.col("id") == F.col("doc_id"))
-        if blank:
-            rows = rows.where(F.col("id") % blank != 11)
-        assert rows.count() > 0 and rows.where(~F.contains(column, "whole")).count() == 0, column
+        assert rows.count() == texts.count() and rows.where(~F.contains(column, "whole")).count() == 0, column
+    turns = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", F.col("text").alias("whole"))
+    rows = catalogue._turns(spark, SF).join(turns, ["conv_id", "turn"])
+    assert rows.count() == turns.count() and rows.where(~F.contains("text", "whole")).count() == 0
     rows = catalogue.prompts_and_fields(spark, SF).join(texts, "doc_id")
     assert rows.where(~F.endswith("number_prompt", "whole")).count() == 0
