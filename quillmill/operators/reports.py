@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from quillmill.functions import rules as R
 from quillmill.functions import text as T
 from quillmill.operators import dedup as D
 
@@ -34,6 +37,27 @@ def named_audit(rows: DataFrame) -> DataFrame:
     return rows.withColumn("hits", T.named_residue(F.coalesce("output", F.lit(""))))
 
 
+def told_while(audited: DataFrame, hits: str = "hits", pos: str = "pos") -> tuple[DataFrame, Callable[[], dict]]:
+    """The rows, and A5 to A7 of them once an action has read them all: total, hits and the histogram by named rule.
+
+    Spark adds the counts up beside whatever the action does, so a report's counts
+    and its examples take one scan.
+    """
+    names = [name for name, _, _ in R.NAMED_RULES]
+    seen = Observation()
+    each = [x for k, name in enumerate(names) for x in (
+        F.count_if(F.array_contains(hits, name)).alias(f"n{k}"),
+        F.min(F.when(F.array_contains(hits, name), F.col(pos).cast("decimal(20,0)") * 1024 + F.array_position(hits, name))).alias(f"first{k}"),
+    )]
+
+    def told() -> dict:
+        got = seen.get
+        found = [(-got[f"n{k}"], got[f"first{k}"], name) for k, name in enumerate(names) if got[f"n{k}"]]
+        return {"total": got["total"], "hits": got["hits"], "histogram": {name: -n for n, _, name in sorted(found)}}
+
+    return audited.observe(seen, F.count(F.lit(1)).alias("total"), F.count_if(F.size(hits) > 0).alias("hits"), *each), told
+
+
 def strict_audit(rows: DataFrame) -> DataFrame:
     """Adds hits of the spot check's nine rules (R2)."""
     return rows.withColumn("hits", T.strict_residue(F.col("output"), class_rule=False, keywords=False))

@@ -56,19 +56,18 @@ def clean(spark: SparkSession, input_path: str, output_path: str, report_path: s
 
 
 def audit(spark: SparkSession, input_path: str, report_path: str) -> dict:
-    """D3: named-rule residue of outputs; returns the report."""
+    """D3: named-rule residue of outputs, counts and examples in one job; returns the report."""
     items = jsonio.read_jsonl(spark, input_path)
     # a JSON null is the text 'None' as an output, stays null as an instruction, and has no text as an input
     told = F.when(F.is_variant_null(F.try_variant_get("item", "$.instruction", "variant")), F.lit(None)).otherwise(F.coalesce(jsonio.field("item", "instruction"), F.lit("")))
     rows = items.select("line_no", told.alias("instruction"), jsonio.field("item", "input").alias("input"), F.coalesce(jsonio.field_or_none("item", "output"), F.lit("")).alias("output"))
-    held = reports.named_audit(rows)
-    total = reports.ratio(held, F.size("hits") > 0).withColumn("ratio", rounded(F.col("ratio"), 6)).first()
-    histogram = reports.label_histogram(held, pos="line_no")
+    held, told = reports.told_while(reports.named_audit(rows), pos="line_no")
     found = held.where(F.size("hits") > 0).orderBy("line_no").limit(50)
-    shown = found.select("line_no", "hits", "instruction", F.substring(F.coalesce("input", F.lit("")), 1, 300).alias("input"), F.substring("output", 1, 800).alias("output_preview"))
+    shown = [r.asDict() for r in found.select("line_no", "hits", "instruction", F.substring(F.coalesce("input", F.lit("")), 1, 300).alias("input"), F.substring("output", 1, 800).alias("output_preview")).collect()]
+    seen = told()
     report = {
-        "input_path": input_path, "total_samples": total["total"], "residue_samples": total["hits"], "clean_samples": total["total"] - total["hits"],
-        "residue_ratio": total["ratio"], "reason_counter": reports.as_map(histogram, "label", "n"), "examples": [r.asDict() for r in shown.collect()],
+        "input_path": input_path, "total_samples": seen["total"], "residue_samples": seen["hits"], "clean_samples": seen["total"] - seen["hits"],
+        "residue_ratio": round(seen["hits"] / seen["total"], 6) if seen["total"] else 0.0, "reason_counter": seen["histogram"], "examples": shown,
     }
     jsonio.write_report(spark, report, report_path)
     return report

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -71,19 +72,37 @@ def conversations(spark: SparkSession, path: str) -> DataFrame:
     return items.select("pos", F.try_variant_get("item", "$.conversations", kind).alias("conversations"), F.col("file").alias("source"))
 
 
+#: The table of splits is broadcast up to this size.
+SPLIT_BYTES = 8 << 20
+
+
+def split_starts(splits: DataFrame) -> DataFrame:
+    """f, b, shift: what turns a row's id into its line number, from f, b, n, first of each split.
+
+    Prefix sums on three levels, none of which brings all splits together: the splits of
+    a file, the files of a range of names, and the ranges, as many as shuffle partitions.
+    """
+    own = splits.withColumn("before", F.sum("n").over(Window.partitionBy("f").orderBy("b")) - F.col("n"))
+    files = splits.groupBy("f").agg(F.sum("n").alias("lines")).repartitionByRange("f").withColumn("part", F.spark_partition_id())
+    within = files.withColumn("within", F.sum("lines").over(Window.partitionBy("part").orderBy("f")) - F.col("lines"))
+    parts = files.groupBy("part").agg(F.sum("lines").alias("lines")).select("part", (F.sum("lines").over(Window.orderBy("part")) - F.col("lines")).alias("ahead"))
+    told = within.join(parts, "part").select("f", (F.col("within") + F.col("ahead")).alias("ahead"))
+    return own.join(told, "f").select("f", "b", (F.col("ahead") + F.col("before") - F.col("first") + 1).alias("shift"))
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no (from 1, blank lines count) and line of a text file.
+    """line_no (from 1, blank lines count) and line of a text file or a folder of them.
 
-    Within a split Spark's row ids rise by one; a first pass over the splits
-    counts each one's lines, and those of the splits before it, in the order of
-    files and offsets, are added. The table of splits is small: one row for each
-    128 MB or so.
+    Within a split Spark's row ids rise by one. A first pass, which makes no
+    lines, counts each split's; what lies before it, in the order of files and
+    offsets, is added. The table of splits, one row for each 128 MB or so, is
+    broadcast while it is small.
     """
     raw = spark.read.text(settled(spark, path)).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("id"))
-    splits = raw.groupBy("f", "b").agg(F.count("line").alias("n"), F.min("id").alias("first"))
-    before = F.sum("n").over(Window.orderBy("f", "b")) - F.col("n")
-    starts = splits.select("f", "b", (before - F.col("first") + 1).alias("shift"))
-    return raw.join(F.broadcast(starts), ["f", "b"]).select((F.col("id") + F.col("shift")).alias("line_no"), "line")
+    splits = raw.groupBy("f", "b").agg(F.count("id").alias("n"), F.min("id").alias("first")).persist(StorageLevel.MEMORY_AND_DISK)
+    size = splits.agg(F.sum(F.octet_length("f") + 16)).first()[0] or 0
+    starts = split_starts(splits)
+    return raw.join(F.broadcast(starts) if size <= SPLIT_BYTES else starts, ["f", "b"]).select((F.col("id") + F.col("shift")).alias("line_no"), "line")
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:

@@ -153,6 +153,23 @@ def test_audit(spark, tmp_path):
     assert flows.fence_ratio(spark, str(strict)) == 0.5
 
 
+def test_audit_takes_one_job(spark, tmp_path):
+    """Counts equal those of the queries' own operators; rows are read by one job beside the count of splits."""
+    rng = random.Random(4)
+    marks = ["x = 5", "print (1)", "import os", "return 3", "for i in x:", "fine", "words", "代码执行结果", "```python", "if a:\n  b"]
+    rows = [{"output": "\n".join(rng.choice(marks) for _ in range(rng.randint(0, 3))), "input": "i" * 400} for _ in range(400)]
+    path = tmp_path / "rows.jsonl"
+    path.write_text("\n".join(json.dumps(r, ensure_ascii=False) for r in rows), encoding="utf-8")
+    report = flows.audit(spark, str(path), str(tmp_path / "r.json"))
+    held = reports.named_audit(spark.createDataFrame([(k + 1, r["output"]) for k, r in enumerate(rows)], "pos long, output string"))
+    assert list(report["reason_counter"].items()) == [(r["label"], r["n"]) for r in reports.label_histogram(held).collect()]
+    total = reports.ratio(held, F.size("hits") > 0).first()
+    assert (report["total_samples"], report["residue_samples"]) == (total["total"], total["hits"])
+    assert [e["line_no"] for e in report["examples"]] == [r["pos"] for r in held.where(F.size("hits") > 0).orderBy("pos").limit(50).collect()]
+    (tmp_path / "none.jsonl").write_text("")
+    assert flows.audit(spark, str(tmp_path / "none.jsonl"), str(tmp_path / "n.json"))["residue_ratio"] == 0.0
+
+
 def test_evaluations(spark, tmp_path):
     items = [{"instruction": "", "question": "q", "answer": 0, "label": "#### 18"}, {"input": "r", "gold_answer": "0"}, {}]
     path = tmp_path / "qa.json"
