@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.operators.selection import first_rows, holdout
+
 Executor = Callable[[str], tuple[bool, str, str]]
 
 
@@ -75,8 +77,7 @@ def generated(prompts: DataFrame, make: Callable[[], Callable[[list[str]], list[
     return prompts.mapInPandas(run, f"{schema}, answer_raw string")
 
 
-def training_split(rows: DataFrame, max_samples: int, val_fraction: float = 0.05, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """X4's share of data preparation: the first rows by pos, split by a keyed hash so reruns agree."""
-    held = rows.orderBy("pos").limit(max_samples)
-    at = F.pmod(F.xxhash64(F.lit(seed), "pos"), F.lit(1_000_000)) / 1_000_000
-    return held.where(at >= val_fraction), held.where(at < val_fraction)
+def training_split(rows: DataFrame, max_samples: int, val_fraction: float = 0.05, seed: int = 42, by: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """X4's share of data preparation: the first rows by pos, and of them exactly the fraction held out, of each value of ``by`` where it is given."""
+    split = holdout(first_rows(rows, max_samples), val_fraction, by, seed)
+    return split.where("NOT held").drop("held"), split.where("held").drop("held")

@@ -12,7 +12,7 @@ from quillmill.functions import numbers as N
 from quillmill.functions import rules as R
 from quillmill.functions import text as T
 from quillmill.functions.dialect import findall
-from quillmill.operators import cleaning, conversations, dedup, reports, scoring
+from quillmill.operators import cleaning, comparison, conversations, dedup, reports, scoring, selection
 from quillmill.plans import duck as D
 from quillmill.plans import fixtures as X
 
@@ -449,6 +449,41 @@ def wrong_ids_top50(spark, sf_dir):
     return scoring.wrong_ids(_analysed(spark, sf_dir))
 
 
+_BOTH = f"SELECT a.pos, a.is_correct AS a, b.type = 'correct' AS b FROM ({_SEG5}) a JOIN ({_SIMPLE2}) b ON a.pos = b.pos"
+_TABLE = f"SELECT count(*) AS total, count(*) FILTER (a AND b) AS both_right, count(*) FILTER (a AND NOT b) AS only_first, count(*) FILTER (NOT a AND b) AS only_second, count(*) FILTER (NOT a AND NOT b) AS both_wrong FROM ({_BOTH})"
+
+
+def _pairs(spark, sf_dir):
+    first = scoring.scored_segments(_answers(spark, sf_dir).withColumnRenamed("gold", "gold_raw")).select("idx", F.col("is_correct").alias("correct"))
+    return comparison.paired(first, _simple(spark, sf_dir).select(F.col("id").alias("idx"), "correct"))
+
+
+@query(f"""SELECT total, both_right, only_first, only_second, both_wrong, (both_right + only_first) / total AS accuracy_first, (both_right + only_second) / total AS accuracy_second,
+  round(CASE WHEN m = 0 THEN 1 ELSE least(1, 2 * (SELECT sum(exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) - m * ln(2))) FROM range(0, k + 1) r(i))) END, 9) AS p_value
+  FROM (SELECT *, only_first + only_second AS m, least(only_first, only_second) AS k FROM ({_TABLE}))""")
+def model_comparison(spark, sf_dir):
+    return comparison.compared(_pairs(spark, sf_dir)).withColumn("p_value", F.round("p_value", 9))
+
+
+_ORDER = "substr(md5('42:' || doc_id), 1, 15), doc_id"
+
+
+@query(f"SELECT doc_id AS pos, style, row_number() OVER (PARTITION BY style ORDER BY {_ORDER}) <= round_even(0.05 * count(*) OVER (PARTITION BY style), 0) AS held FROM (SELECT doc_id, {D.style('question')} AS style FROM {_pos(X.QUESTIONS)})")
+def holdout_split(spark, sf_dir):
+    rows = _input(spark, sf_dir, "documents", X.QUESTIONS).select(F.col("doc_id").alias("pos"), T.style(F.col("question")).alias("style"))
+    return selection.holdout(rows, by="style")
+
+
+_PART = "(l_partkey * 8 + l_linenumber)"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, ({_PART} * 100 // 1024 + CASE WHEN {_PART} * 100 % 1024 > 512 OR ({_PART} * 100 % 1024 = 512 AND {_PART} * 100 // 1024 % 2 = 1) THEN 1 ELSE 0 END) / 100 AS rounded FROM lineitem")
+def rounded_numbers(spark, sf_dir):
+    """Numbers of 1024ths, which doubles hold exactly, so that ties are ties."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return rows.select("l_orderkey", "l_linenumber", N.rounded(F.expr(_PART) / 1024, 2).alias("rounded"))
+
+
 # ---- projections ----
 
 
