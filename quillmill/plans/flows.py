@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions.numbers import rounded
 from quillmill.functions.text import has_fence
-from quillmill.operators import cleaning, conversations, dedup, hooks, reports, scoring
+from quillmill.operators import cleaning, comparison, conversations, dedup, hooks, reports, scoring
 from quillmill.sources import jsonio
 
 
@@ -139,6 +139,25 @@ def analyse(spark: SparkSession, pred_file: str, out_file: str, executor: hooks.
     return s | {"wrong": wrong}
 
 
+#: Where reports keep their rows: names of the item and of whether it is right.
+OUTCOMES = {"details": ("idx", "is_correct"), "results": ("id", "correct")}
+
+
+def compare(spark: SparkSession, first: str, second: str, out_file: str, member: str = "details") -> dict:
+    """Two reports on the same items: paired table, exact tail and interval of the difference; returns the report."""
+    idx, correct = OUTCOMES[member]
+
+    def told(path: str) -> DataFrame:
+        items = jsonio.read_json_array(spark, jsonio.require(spark, path), member)
+        return items.select(F.try_variant_get("item", f"$.{idx}", "bigint").alias("idx"), F.try_variant_get("item", f"$.{correct}", "boolean").alias("correct"))
+
+    pairs = comparison.paired(told(first), told(second)).persist(StorageLevel.MEMORY_AND_DISK)
+    report = {"first": first, "second": second, **comparison.compared(pairs).first().asDict(), **comparison.interval(pairs).first().asDict()}
+    pairs.unpersist()
+    jsonio.write_report(spark, report, out_file)
+    return report
+
+
 def summary_lines(report: dict) -> str:
     """What is told on the console."""
     return "\n".join(f"{k}: {v}" for k, v in report.items() if not isinstance(v, (list, dict))) + "".join(f"\n{k}: " + ", ".join(f"{a}={b}" for a, b in sorted(v.items())) for k, v in report.items() if isinstance(v, dict))
@@ -151,21 +170,21 @@ def generator(name: str, **told):
     return functools.partial(make, **{k: v for k, v in told.items() if v is not None})
 
 
-def segments(spark: SparkSession, mode: str, test_path: str, output_path: str, make) -> dict:
-    """D6 with generation: items are prompted, answered by the hook's generator, and scored."""
+def segments(spark: SparkSession, mode: str, test_path: str, output_path: str, make, log: str | None = None) -> dict:
+    """D6 with generation: items are prompted, answered by the hook's generator, and scored; ``log`` keeps answers for a rerun."""
     scoring.check_mode(mode)
     items = qa_items(spark, jsonio.require(spark, test_path))
-    answered = hooks.generated(items.withColumn("prompt", scoring.number_prompt(F.col("question"))), make).drop("prompt").persist(StorageLevel.MEMORY_AND_DISK)
+    answered = hooks.generated(items.withColumn("prompt", scoring.number_prompt(F.col("question"))), make, log=log).drop("prompt").persist(StorageLevel.MEMORY_AND_DISK)
     report = evaluate_segments(answered, mode, test_path, output_path)
     answered.unpersist()
     return report
 
 
-def simple(spark: SparkSession, mode: str, data_path: str, output_path: str, make, limit: int | None = None) -> dict:
+def simple(spark: SparkSession, mode: str, data_path: str, output_path: str, make, limit: int | None = None, log: str | None = None) -> dict:
     """D7 with generation; the generator gives prompt and answer together, as the task's does."""
     items = scoring.limited(body_items(spark, jsonio.require(spark, data_path)), limit)
     prompts = items.select("pos", scoring.boxed_prompt(F.col("question")).alias("prompt"))
-    answers = hooks.generated(prompts, make).select("pos", F.col("answer_raw").alias("model_output"))
+    answers = hooks.generated(prompts, make, log=log).select("pos", F.col("answer_raw").alias("model_output"))
     answered = items.join(answers, "pos").persist(StorageLevel.MEMORY_AND_DISK)
     report = evaluate_simple(answered, mode, data_path, output_path)
     answered.unpersist()
@@ -174,8 +193,9 @@ def simple(spark: SparkSession, mode: str, data_path: str, output_path: str, mak
 
 def main(argv: list[str] | None = None) -> None:
     """Build --input --out_dir [--parts] | clean --input --output [--report] [--parts] | audit --input --report | spot --input | fences --input
-    | segments --mode --test_path --output_path --generator [--base_model] [--max_new_tokens]
-    | simple --mode --data_path --output_path --generator [--base_model_path] [--adapter_path] [--limit] [--max_new_tokens]
+    | segments --mode --test_path --output_path --generator [--base_model] [--max_new_tokens] [--log]
+    | simple --mode --data_path --output_path --generator [--base_model_path] [--adapter_path] [--limit] [--max_new_tokens] [--log]
+    | compare --first --second --out_file [--member]
     | analyse --pred_file --out_file [--run_code]. A generator is ``module:factory``."""
     parser = argparse.ArgumentParser(prog="quillmill")
     sub = parser.add_subparsers(dest="flow", required=True)
@@ -183,6 +203,7 @@ def main(argv: list[str] | None = None) -> None:
         ("build", ("--input", "--out_dir"), ()), ("clean", ("--input", "--output"), ("--report",)), ("audit", ("--input", "--report"), ()),
         ("spot", ("--input",), ()), ("fences", ("--input",), ()), ("analyse", ("--pred_file", "--out_file"), ()),
         ("segments", ("--mode", "--test_path", "--output_path", "--generator"), ("--base_model",)),
+        ("compare", ("--first", "--second", "--out_file"), ()),
         ("simple", ("--mode", "--data_path", "--output_path", "--generator"), ("--base_model_path", "--adapter_path")),
     ):
         p = sub.add_parser(name)
@@ -194,7 +215,10 @@ def main(argv: list[str] | None = None) -> None:
             p.add_argument("--run_code", action="store_true")
         if name in ("build", "clean"):
             p.add_argument("--parts", action="store_true")
+        if name == "compare":
+            p.add_argument("--member", choices=sorted(OUTCOMES), default="details")
         if name in ("segments", "simple"):
+            p.add_argument("--log")
             p.add_argument("--max_new_tokens", type=int, default=512 if name == "segments" else 256)
         if name == "simple":
             p.add_argument("--limit", type=int)
@@ -212,10 +236,12 @@ def main(argv: list[str] | None = None) -> None:
     elif a.flow == "fences":
         print(f"share of outputs with a fence: {fence_ratio(spark, a.input):.2%}")
     elif a.flow == "segments":
-        print(summary_lines(segments(spark, a.mode, a.test_path, a.output_path, generator(a.generator, base_model=a.base_model, max_new_tokens=a.max_new_tokens))))
+        print(summary_lines(segments(spark, a.mode, a.test_path, a.output_path, generator(a.generator, base_model=a.base_model, max_new_tokens=a.max_new_tokens), a.log)))
     elif a.flow == "simple":
         make = generator(a.generator, base_model=a.base_model_path, adapter_path=a.adapter_path, max_new_tokens=a.max_new_tokens)
-        print(summary_lines(simple(spark, a.mode, a.data_path, a.output_path, make, a.limit)))
+        print(summary_lines(simple(spark, a.mode, a.data_path, a.output_path, make, a.limit, a.log)))
+    elif a.flow == "compare":
+        print(summary_lines(compare(spark, a.first, a.second, a.out_file, a.member)))
     else:
         told = analyse(spark, a.pred_file, a.out_file, hooks.subprocess_executor() if a.run_code else None)
         print(summary_lines(told), f"wrong sample idx: {told['wrong']}", sep="\n")
