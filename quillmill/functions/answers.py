@@ -41,11 +41,15 @@ def final_segment(c: Column, normalized: bool = False) -> Column:
     return found.otherwise(F.coalesce(last(_lines(c)), c))
 
 
+def number_of(segment: Column, c: Column) -> Column:
+    """The segment's first number, else the last of its normalized text, else ''."""
+    return F.coalesce(F.try_element_at(findall(segment, R.NUMBER), F.lit(1)), last(findall(c, R.NUMBER)), F.lit(""))
+
+
 def final_number(c: Column, normalized: bool = False) -> Column:
-    """The segment's first number, else the text's last, else ''."""
+    """E2 of a text."""
     c = c if normalized else normalize_answer(c)
-    own = findall(final_segment(c, True), R.NUMBER)
-    return F.coalesce(F.try_element_at(own, F.lit(1)), last(findall(c, R.NUMBER)), F.lit(""))
+    return number_of(final_segment(c, True), c)
 
 
 def simple_answer(c: Column) -> Column:
@@ -62,11 +66,16 @@ def analysis_answer(c: Column) -> Column:
     return F.coalesce(strip_answer(found), F.lit(""))
 
 
+def told_equal(pred: tuple[Column, Column], gold: tuple[Column, Column]) -> Column:
+    """E5 of (segment, number) each: the numbers where both are some, else the segments."""
+    a, b = (as_double(replaced(number, (",", ""))) for _, number in (pred, gold))
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda x: F.when(x["a"].isNotNull() & x["b"].isNotNull(), is_close(x["a"], x["b"])).otherwise(pred[0] == gold[0]))
+
+
 def segments_equal(pred: Column, gold: Column, normalized: bool = False) -> Column:
-    """E5."""
+    """E5 of texts."""
     p, g = (x if normalized else normalize_answer(x) for x in (pred, gold))
-    a, b = (as_double(replaced(final_number(x, True), (",", ""))) for x in (p, g))
-    return F.when(a.isNotNull() & b.isNotNull(), is_close(a, b)).otherwise(final_segment(p, True) == final_segment(g, True))
+    return told_equal(*((final_segment(x, True), final_number(x, True)) for x in (p, g)))
 
 
 def analysis_equal(pred: Column, gold: Column) -> Column:

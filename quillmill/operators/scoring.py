@@ -53,12 +53,17 @@ def limited(items: DataFrame, limit: int | None) -> DataFrame:
 
 
 def scored_segments(items: DataFrame) -> DataFrame:
-    """Idx (from 1), question, gold_raw, gold_answer, answer_raw, pred_answer, is_correct from pos, question, gold_raw, answer_raw."""
-    norm = items.withColumns({"__g": normalize_answer(F.col("gold_raw")), "__p": normalize_answer(F.col("answer_raw"))})
-    return norm.select(
-        (F.col("pos") + 1).alias("idx"), "question", "gold_raw", A.final_number(F.col("__g"), True).alias("gold_answer"), "answer_raw",
-        A.final_number(F.col("__p"), True).alias("pred_answer"), A.segments_equal(F.col("__p"), F.col("__g"), True).alias("is_correct"),
-    )
+    """Idx (from 1), question, gold_raw, gold_answer, answer_raw, pred_answer, is_correct from pos, question, gold_raw, answer_raw.
+
+    Normal form, segment and number of either side are each made once: a generator
+    stands between, as projections that are merged would make them anew.
+    """
+    own = ["pos", "question", "gold_raw", "answer_raw"]
+    norm = items.select(*own, F.inline(F.array(F.struct(normalize_answer(F.col("gold_raw")).alias("g"), normalize_answer(F.col("answer_raw")).alias("p")))))
+    segments = norm.select(*own, "g", "p", F.inline(F.array(F.struct(A.final_segment(F.col("g"), True).alias("g_part"), A.final_segment(F.col("p"), True).alias("p_part")))))
+    told = segments.select(*own, "g_part", "p_part", F.inline(F.array(F.struct(A.number_of(F.col("g_part"), F.col("g")).alias("gold_answer"), A.number_of(F.col("p_part"), F.col("p")).alias("pred_answer")))))
+    equal = A.told_equal((F.col("p_part"), F.col("pred_answer")), (F.col("g_part"), F.col("gold_answer")))
+    return told.select((F.col("pos") + 1).alias("idx"), "question", "gold_raw", "gold_answer", "answer_raw", "pred_answer", equal.alias("is_correct"))
 
 
 def scored_simple(items: DataFrame) -> DataFrame:
