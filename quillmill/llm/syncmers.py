@@ -6,7 +6,7 @@ inner s-mers (``S`` = 2 words) stands first or last. Whether a k-mer is chosen
 depends on its own words alone, so equal passages yield equal anchors wherever
 they stand. ``anchors`` returns all of them with their word positions, whatever
 the length of the text; ``likeness`` is the Jaccard index of two texts' sets of
-anchor hashes.
+anchor hashes, ``placed_likeness`` that of their anchors at one relative position.
 
 Texts of 1 to 4 words have one anchor, the whole word sequence; texts without
 words have none, and two such texts have likeness 1 (one of them: 0).
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from quillmill.llm.common import let, partitions, table, words_of
 
 K, S = 5, 2
+#: Shared anchors that tell of relative positions.
+TRIED = 3
 MASK = (1 << 32) - 1
 
 
@@ -68,6 +70,36 @@ def likeness(a: str, b: str) -> Column:
     return let(F.struct(*(F.array_distinct(F.col(c)["hash"]).alias(n) for c, n in ((a, "a"), (b, "b")))), index)
 
 
+def placed_likeness(a: str, b: str) -> Column:
+    """The share of anchors that stand in one chain: equal hashes at one relative position.
+
+    The relative position is that of a shared anchor; of the ``TRIED`` with the
+    least hashes the one whose chain is longest counts. 1 for two texts without
+    anchors, 0 where none is shared.
+    """
+    whole = F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+
+    def shared(x: Column) -> Column:
+        return F.slice(F.array_sort(F.array_intersect(x["a"]["hash"], x["b"]["hash"])), 1, TRIED)
+
+    def at(anchors: Column, h: Column) -> Column:
+        return F.get(F.filter(anchors, lambda y: y["hash"] == h), F.lit(0))["pos"]
+
+    def packed(anchors: Column, shift: Column) -> Column:
+        # places may fall below 0 by a shift
+        return F.transform(anchors, lambda y: F.shiftleft((y["pos"] + shift).cast("bigint"), 32).bitwiseOR(y["hash"]))
+
+    def chain(x: Column, h: Column) -> Column:
+        common = F.size(F.array_intersect(packed(x["a"], F.lit(0)), packed(x["b"], at(x["a"], h) - at(x["b"], h))))
+        return let(common, lambda n: n / (F.size(x["a"]) + F.size(x["b"]) - n))
+
+    def index(x: Column) -> Column:
+        best = F.coalesce(F.array_max(F.transform(shared(x), lambda h: chain(x, h))), F.lit(0.0))
+        return F.when((F.size(x["a"]) == 0) & (F.size(x["b"]) == 0), F.lit(1.0)).otherwise(best)
+
+    return let(whole, index)
+
+
 def as_text(a: str) -> Column:
     """16 hexadecimal digits for each anchor in the order of the text: position, hash."""
     return F.lower(F.array_join(F.transform(a, lambda x: F.lpad(F.hex(F.shiftleft(x["pos"].cast("bigint"), 32).bitwiseOR(x["hash"])), 16, "0")), ""))
@@ -128,7 +160,7 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
-    """All anchors of each text and of its edited text, with likenesses.
+    """All anchors of each text and of its edited text, with likenesses by hashes and by places.
 
     The edited text has its last floor(n/2) code points replaced by the first
     as many (or all) of the next document. Rows that repeat are reported each.
@@ -147,6 +179,8 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
         as_text("edited_anchors").alias("edited_fingerprint"),
         likeness("text_anchors", "edited_anchors").alias("near_edited"),
         likeness("text_anchors", "next_text_anchors").alias("near_next"),
+        placed_likeness("text_anchors", "edited_anchors").alias("placed_edited"),
+        placed_likeness("text_anchors", "next_text_anchors").alias("placed_next"),
     )
 
 

@@ -241,6 +241,26 @@ def test_anchors_are_closed_syncmers_with_places(spark):
     assert len(syncmers.anchors(tie).first()["anchors"]) == 26
 
 
+def test_chains_of_anchors_at_one_relative_position(spark):
+    rng = random.Random(12)
+    text, other = prose(rng, 200), prose(rng, 150)
+    words = text.split()
+    pairs = [(text, text), (text, other + " " + text), (text, " ".join(words[100:] + words[:100])), (text, other), (text, ""), ("", None), ("a b", "a b"), ("w " * 60, "w " * 50)]
+    df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "k int, a string, b string")
+    found = syncmers.anchors(syncmers.anchors(df, "a", "x"), "b", "y").select("k", syncmers.placed_likeness("x", "y").alias("placed"), syncmers.likeness("x", "y").alias("near"), "x", "y")
+    for r in found.collect():
+        a, b = ({(p["pos"], p["hash"]) for p in r[c]} for c in ("x", "y"))
+        tried = sorted({h for _, h in a} & {h for _, h in b})[: syncmers.TRIED]
+        first = lambda own, h: min(p for p, x in own if x == h)
+        chains = [len(a & {(p + first(a, h) - first(b, h), x) for p, x in b}) for h in tried]
+        wanted = max((n / (len(a) + len(b) - n) for n in chains), default=0.0) if a or b else 1.0
+        assert r["placed"] == pytest.approx(wanted), r["k"]
+    got = {r["k"]: (r["placed"], r["near"]) for r in found.collect()}
+    assert got[0] == (1.0, 1.0) and 0.4 < got[1][0] < 0.7 and got[5] == (1.0, 1.0)
+    assert got[2][1] > 0.9 and got[2][0] < 0.7  # the same passages in another order
+    assert got[3][0] == got[4][0] == 0.0
+
+
 def plain_anchors(text):
     def chained(*longs):
         seed = 42
