@@ -282,14 +282,14 @@ def op12_decontamination(spark, sf_dir: str) -> DataFrame:
 
 _WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 OP12_SQL = f"""
-WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
 i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, {_WORDS} AS w FROM benchmark),
 sized AS (SELECT *, least({WINDOW}, len(w)) AS m FROM i WHERE len(w) > 0),
 windows AS (SELECT DISTINCT item_id, m, list_slice(w, pos, pos + m - 1) AS gram FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS pos FROM sized)),
-grams AS (SELECT doc_id, m, pos, list_slice(w, pos, pos + m - 1) AS gram FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS pos FROM d, (SELECT DISTINCT m FROM sized) WHERE len(w) >= m)),
-hits AS (SELECT doc_id, item_id, pos, m FROM grams JOIN windows USING (m, gram)),
-places AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + m)) AS place FROM (SELECT DISTINCT doc_id, pos, m FROM hits)) GROUP BY doc_id),
-ids AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS told FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+grams AS (SELECT rid, m, pos, list_slice(w, pos, pos + m - 1) AS gram FROM (SELECT rid, w, m, unnest(range(1, len(w) - m + 2)) AS pos FROM d, (SELECT DISTINCT m FROM sized) WHERE len(w) >= m)),
+hits AS (SELECT rid, item_id, pos, m FROM grams JOIN windows USING (m, gram)),
+places AS (SELECT rid, count(DISTINCT place) AS n_hit FROM (SELECT rid, unnest(range(pos, pos + m)) AS place FROM (SELECT DISTINCT rid, pos, m FROM hits)) GROUP BY rid),
+ids AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS told FROM (SELECT DISTINCT rid, item_id FROM hits) GROUP BY rid)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(told, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN places USING (doc_id) LEFT JOIN ids USING (doc_id)
+FROM d LEFT JOIN places USING (rid) LEFT JOIN ids USING (rid)
 """

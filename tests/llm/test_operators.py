@@ -149,8 +149,10 @@ def test_queries_equal_their_sql(spark, docs, tmp_path, name):
     labels = [(k, int(k % 6 not in (0, 1, 3)), int(k % 12 == 0)) for k in range(500)] + [(None, 0, 1), (5, None, None)]
     spark.createDataFrame(pages, "page_id long, url string, host string").write.parquet(str(tmp_path / "pages.parquet"))
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    items = [(1, " ".join(ROWS[0][1].split()[5:40])), (10, ROWS[3][1].upper()), (2, " ".join(ROWS[0][1].split()[20:60])), (3, "one two three"), (4, None), (None, "..."), (2, "lonely")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     got = queries.QUERIES[name](spark, str(tmp_path))
     wanted = con.sql(queries.ORACLE_SQL[name])
