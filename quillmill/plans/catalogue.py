@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from quillmill.functions.dialect import findall
 from quillmill.operators import cleaning, comparison, conversations, dedup, reports, scoring, selection
 from quillmill.plans import duck as D
 from quillmill.plans import fixtures as X
+from quillmill.sources import commit, jsonio
 
 FLAGSHIP = "build_flagship"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -484,6 +486,75 @@ def rounded_numbers(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", N.rounded(F.expr(_PART) / 1024, 2).alias("rounded"))
 
 
+# ---- sources and sinks: what is written from the tables and read again ----
+
+
+def _docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("pos"), "lang", "source", "text")
+
+
+_PLACED = "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, doc_id, lang, text FROM documents"
+
+
+def _items(spark, path, member=None):
+    rows = jsonio.read_json_array(spark, path, member)
+    return rows.select("pos", F.try_variant_get("item", "$.pos", "bigint").alias("doc_id"), jsonio.field("item", "lang").alias("lang"), jsonio.field("item", "text").alias("text"))
+
+
+@query(_PLACED)
+def json_array_read(spark, sf_dir):
+    """A list written by the tasks, read by byte ranges."""
+    path = f"{commit.scratch(spark)}/list.json"
+    jsonio.write_array(_docs(spark, sf_dir), path)
+    return _items(spark, path)
+
+
+@query(_PLACED)
+def report_member_read(spark, sf_dir):
+    """A report's list, unwrapped from its member."""
+    path = f"{commit.scratch(spark)}/report.json"
+    jsonio.write_report(spark, {"mode": "base", "summary": {"details": [1, 2]}}, path, details=(_docs(spark, sf_dir), "pos", {}))
+    return _items(spark, path, "details")
+
+
+_LINES = "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, lang AS instruction, source AS input, text AS output FROM documents"
+
+
+@query(f"SELECT pos, true AS is_object, instruction, input, output, output AS strict FROM ({_LINES})")
+def jsonl_read(spark, sf_dir):
+    """S5, then S2 to S4: lines written to one file, numbered and read with both rules for missing fields."""
+    path = f"{commit.scratch(spark)}/rows.jsonl"
+    jsonio.write_jsonl(_docs(spark, sf_dir).selectExpr("pos", "lang AS instruction", "source AS input", "text AS output"), path)
+    strict = jsonio.strict_rows(spark, path).select("pos", F.col("output").alias("strict"))
+    return jsonio.instruction_rows(spark, path).join(strict, "pos")
+
+
+@query(f"WITH {_KEPT} SELECT subset, mode, count(*) AS n, CAST(sum(length(instruction) + length(input) + length(CASE mode WHEN 'full' THEN full_output ELSE ablated_output END)) AS BIGINT) AS chars FROM ({_FAN}) GROUP BY 1, 2")
+def fan_out_read(spark, sf_dir):
+    """The eight sets as they lie in their files."""
+    path = commit.scratch(spark)
+    kept = dedup.keep_best(conversations.valid(_parsed(spark, sf_dir)))
+    jsonio.write_fan_out(conversations.fan_out(kept.withColumn("pos", F.col("first_pos"))), path)
+    sets = []
+    for mode in ("full", "ablated"):
+        for name in jsonio.DATASETS:
+            own = jsonio.instruction_rows(spark, f"{path}/train_{mode}_{name}.jsonl")
+            sets.append(own.select(F.lit("all" if name == "clean" else name).alias("subset"), F.lit(mode).alias("mode"), "instruction", "input", "output"))
+    rows = reduce(DataFrame.unionByName, sets)
+    return rows.groupBy("subset", "mode").agg(F.count("*").alias("n"), F.sum(F.length("instruction") + F.length("input") + F.length("output")).alias("chars"))
+
+
+_FALSY = ('""', "0", "false", "null", "[]", "0.0", "{}")
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % {len(_FALSY) + 2} = {len(_FALSY)} THEN 'told' WHEN doc_id % {len(_FALSY) + 2} = {len(_FALSY) + 1} THEN '7' ELSE text END AS told FROM documents")
+def falsy_fields(spark, sf_dir):
+    """P3 over JSON values: what counts as empty gives way to the next field."""
+    values = F.element_at(F.array(*map(F.lit, (*_FALSY, '"told"', "7"))), (F.pmod("doc_id", F.lit(len(_FALSY) + 2)) + 1).cast("int"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat(F.lit('{"instruction": '), values, F.lit(', "question": '), commit.quoted(F.col("text")), F.lit("}")).alias("line"))
+    return d.select("doc_id", F.parse_json("line").alias("item")).select("doc_id", jsonio.truthy("item", "instruction", "question").alias("told"))
+
+
 # ---- projections ----
 
 

@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -129,6 +130,22 @@ def join_parts(spark: SparkSession, folder: str, path: str, head: str = "", tail
         out.close()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that goes with the driver, in the shared folder of ``spark.checkpoint.dir``; in local mode without one, a temporary one."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not base and context._jsc.sc().getCheckpointDir().isDefined():
+        base = context._jsc.sc().getCheckpointDir().get()
+    if not base:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="quillmill-")
+    fs, at = file_system(spark, f"{base}/quillmill-{context.applicationId}-{uuid.uuid4().hex}")
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return at.toString()
+
+
 # ---- publishing ----
 
 

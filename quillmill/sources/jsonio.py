@@ -189,6 +189,23 @@ def make_folder(spark: SparkSession, path: str) -> None:
     fs.mkdirs(at)
 
 
+def _listed(rows: DataFrame, order: str, indent: int, given: dict, staged: str, head: str, tail: str) -> None:
+    """A list of rows as ``indent=2`` has it, between ``head`` and ``tail``: elements by the tasks, streamed together."""
+    spark = rows.sparkSession
+    values = rows.select(F.col(order).alias("__order"), commit.block(rows, indent + 2, **given).alias("value"))
+    values.repartitionByRange("__order").sortWithinPartitions("__order").select("value").write.option("lineSep", ",\n").text(f"{staged}/parts")
+    some = bool(commit.parts_of(spark, f"{staged}/parts"))
+    commit.join_parts(spark, f"{staged}/parts", f"{staged}/whole", f"{head}[" + "\n" * some, f"\n{' ' * indent}" * some + f"]{tail}", 2 if some else 0)
+
+
+def write_array(rows: DataFrame, path: str, order: str = "pos", **given: Column) -> None:
+    """A JSON list of the rows as objects, as Python writes it with ``indent=2``."""
+    folder = commit.folder_of(rows.sparkSession, path)
+    staged = commit.stage(rows.sparkSession, folder)
+    _listed(rows, order, 0, given, staged, "", "")
+    commit.publish(rows.sparkSession, folder, staged, {path.rstrip("/").rsplit("/", 1)[-1]: "whole"})
+
+
 def write_report(spark: SparkSession, report: dict, path: str, **listed: tuple[DataFrame, str, dict]) -> None:
     """Pretty JSON wherever Spark can write, the old report whole until the new one is.
 
@@ -200,11 +217,8 @@ def write_report(spark: SparkSession, report: dict, path: str, **listed: tuple[D
     staged, name = commit.stage(spark, folder), path.rstrip("/").rsplit("/", 1)[-1]
     text = json.dumps(report, ensure_ascii=False, indent=2, default=str)
     for member, (rows, order, given) in listed.items():
-        values = rows.select(F.col(order).alias("__order"), commit.block(rows, 4, **given).alias("value"))
-        values.repartitionByRange("__order").sortWithinPartitions("__order").select("value").write.option("lineSep", ",\n").text(f"{staged}/parts")
-        head = f'{text.removesuffix("}").rstrip()}{"," if report else ""}\n  "{member}": ['
-        some = bool(commit.parts_of(spark, f"{staged}/parts"))
-        commit.join_parts(spark, f"{staged}/parts", f"{staged}/whole", head + "\n" * some, "\n  " * some + "]\n}", 2 if some else 0)
+        head = f'{text.removesuffix("}").rstrip()}{"," if report else ""}\n  "{member}": '
+        _listed(rows, order, 2, given, staged, head, "\n}")
     if not listed:
         commit.write_text(spark, f"{staged}/whole", text)
     commit.publish(spark, folder, staged, {name: "whole"})
