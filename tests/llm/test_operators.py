@@ -207,6 +207,15 @@ def test_registered_queries_without_sql(spark, docs, tmp_path, op):
     assert set(columns) <= set(got.columns)
     rows = got.where("piece = 0") if "piece" in got.columns else got
     assert Counter(r["doc_id"] for r in rows.collect()) == Counter(r[0] for r in ROWS)
+    if op == "op5_simhash_near_dedup":
+        prints = [plain_print(r[1]) for r in ROWS]
+        assert Counter(r["fingerprint"] for r in got.collect()) == Counter(f"{p:016x}" for p in prints)
+        assert len({r["component_id"] for r in got.collect()}) == len(set(plain_groups(prints)))
+    elif op == "op7_repeated_substrings":
+        own = sorted(((r[0], r[1]) for r in ROWS), key=lambda r: (r[0] is None, r[0] or 0, r[1] is None))
+        same(got.select(*columns).collect(), plain_removed(own))
+    elif op == "op10_secret_scans":
+        same(got.select(*columns).collect(), [(r[0], *plain_secrets(r[1]), plain_spans(r[1])) for r in ROWS])
 
 
 def test_fingerprints(spark, docs, empty):
@@ -868,6 +877,43 @@ def plain_secrets(text):
     return *(sum(k == n for _, k, _ in found) for n in range(3)), hashlib.sha256(said.encode()).hexdigest()
 
 
+def plain_spans(text):
+    """All kinds, those of the method's own by runs of characters."""
+    text = text or ""
+    base = ("assign", r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, 8), ("access", "(AKIA[A-Z0-9]+)", 0, 16), ("hex", "([0-9a-f]+)", 0, 32)
+    found = [(m.start(), k, m.end(), kind) for k, (kind, p, flags, least) in enumerate(base) for m in re.finditer(p, text, flags) if len(m[1]) >= least]
+    found += [(m.start(), 3, m.end(), "pem") for m in re.finditer("-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\\s]*(-----END [A-Z ]*PRIVATE KEY-----)?", text)]
+    for k, kind, heads, more, least in ((4, "github", [f"gh{c}_" for c in "pousr"], "", 40), (5, "slack", [f"xox{c}-" for c in "abprs"], "-", 20)):
+        at = 0
+        while at < len(text):
+            end = at + len(heads[0])
+            if text[at:end] in heads:
+                while end < len(text) and (text[end].isascii() and text[end].isalnum() or text[end] in more and more):
+                    end += 1
+                if end > at + len(heads[0]):
+                    found += [(at, k, end, kind)] if end - at >= least else []
+                    at = end
+                    continue
+            at += 1
+    runs, k = [(m.start(), m.end()) for m in re.finditer("[A-Za-z0-9_-]+", text)], 0
+    while k + 2 < len(runs):
+        (a, b), (c, d), (e, f) = runs[k : k + 3]
+        if text[b:c] == text[d:e] == "." and all(text[x : x + 3] == "eyJ" and y - x > 3 for x, y in ((a, b), (c, d))):
+            found += [(a, 6, f, "jwt")] if f - a >= 40 else []
+            k += 3
+        else:
+            k += 1
+    return ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(found))
+
+
+def test_own_kinds_of_secrets():
+    rng = random.Random(9)
+    parts = ["eyJ", "eyJabc", ".", "a1_", "-", " ", "ghp_", "gho_", "x" * 40, "xoxb-", "xoxz-", "12-ab-" * 4, "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "AbC+/=", "\n", "AKIA" + "Z" * 14, "0af1" * 9, "token=", "é"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert secrets.digest(text) == (*plain_secrets(text), plain_spans(text)), text
+
+
 def test_secrets(spark, docs, empty):
     got = secrets.findings(docs).collect()
     same([tuple(r)[:5] for r in got], [(r[0], *plain_secrets(r[1])) for r in ROWS])
