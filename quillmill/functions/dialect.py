@@ -86,7 +86,7 @@ def literal(pattern: str) -> str | None:
 
 def folded(c: Column) -> Column:
     """Lower case, and the two letters besides that equal ASCII ones when case is ignored."""
-    return F.translate(F.lower(c), "ſı", "si")
+    return let(F.lower(c), lambda low: F.when(low.rlike("[ſı]"), F.translate(low, "ſı", "si")).otherwise(low))
 
 
 def holds(c: Column, low: Column, pattern: str, flags: str = "") -> Column:

@@ -16,7 +16,8 @@ from quillmill.functions import rules as R
 from quillmill.functions.dialect import findall, folded, found, group_of, has, holds, java, let, literal, nfkc, replaced, strip, sub
 
 NEWLINES = (("\r\n", "\n"), ("\r", "\n"))
-
+#: What every literal outside ASCII needs.
+WIDE = "[^\\x00-\\x{2dff}]"
 
 # ---- normalizers ----
 
@@ -85,7 +86,9 @@ def strict_residue(c: Column, class_rule: bool = True, keywords: bool = True) ->
     held = R.STRICT_RULES if class_rule else R.STRICT_RULES[:-1]
 
     def labels(low: Column) -> Column:
-        return _labels([(found(c, low, p, f), p) for p, f in held] + [(low.contains(k), f"KW:{k}") for k in R.KEYWORDS if keywords])
+        words = let(low.rlike(WIDE), lambda wide: _labels([((F.lit(True) if k.isascii() else wide) & low.contains(k), f"KW:{k}") for k in R.KEYWORDS]))
+        rules = _labels([(found(c, low, p, f), p) for p, f in held])
+        return F.concat(rules, words) if keywords else rules
 
     # no keyword holds a letter that folding changes beyond lower case
     return let(folded(c), labels)
@@ -104,10 +107,6 @@ def has_fence(c: Column) -> Column:
 # ---- style and score ----
 
 
-#: What every literal outside ASCII needs.
-WIDE = "[^\\x00-\\x{2dff}]"
-
-
 def hint_count(low: Column) -> Column:
     """How many of the hints a lower-cased text holds, each counted once; the wide ones are looked for only where something is wide."""
     count = lambda hints: sum((low.contains(h).cast("int") for h in hints), F.lit(0))
@@ -162,7 +161,8 @@ def execution_result(c: Column) -> Column:
 
 def without_blocks(c: Column) -> Column:
     """C4: complete fences go, then from an orphan fence to the end."""
-    return normalize_chat(sub(sub(normalize_chat(c), R.FENCED, "", "i"), R.ORPHAN_FENCE, "", "i"))
+    bare = lambda x: F.when(x.contains("```"), normalize_chat(sub(sub(x, R.FENCED, "", "i"), R.ORPHAN_FENCE, "", "i"))).otherwise(x)
+    return let(normalize_chat(c), bare)
 
 
 def _kept_lines(c: Column, bad) -> Column:
@@ -173,8 +173,10 @@ def _kept_lines(c: Column, bad) -> Column:
 
 
 def _holds(c: Column, words: tuple[str, ...]) -> Column:
-    """Whether the lower-cased text holds any of the words."""
-    return let(F.lower(c), lambda low: reduce(or_, (low.contains(w) for w in words)))
+    """Whether the lower-cased text holds any of the words; the wide ones are looked for only where something is wide."""
+    some = lambda low, own: reduce(or_, (low.contains(w) for w in own), F.lit(False))
+    ascii_, wide = [w for w in words if w.isascii()], [w for w in words if not w.isascii()]
+    return let(F.lower(c), lambda low: some(low, ascii_) | (low.rlike(WIDE) & some(low, wide)))
 
 
 def ablated(c: Column) -> Column:
@@ -188,13 +190,13 @@ def ablated(c: Column) -> Column:
         for p in R.PHRASES:
             out = sub(out, p, "", "i")
         # every phrase holds one of these, so most texts skip all 22 passes
-        return F.when(x.rlike("(?i)python|运行上述代码|运行以上代码"), out).otherwise(x)
+        return F.when(_holds(x, ("python", "运行上述代码", "运行以上代码")), out).otherwise(x)
 
     def without_code(x: Column) -> Column:
         """Blank lines are settled by normalizing, so texts without anything to drop stay whole."""
         codes = ("```", *R.CODE_LINES)
-        low = F.lower(x)
-        bits = F.array(_holds(x, R.LINE_HINTS), *(holds(x, low, p) for p in codes))
+        # what no part of the text matches no line does; a line's beginning is another matter
+        bits = F.array(_holds(x, R.LINE_HINTS), *(holds(x, x, p) if p.startswith("^") else found(x, x, p) for p in codes))
 
         def kept(bits: Column) -> Column:
             lines = _kept_lines(x, lambda line: (bits[0] & _holds(line, R.LINE_HINTS)) | reduce(or_, (bits[k] & found(line, line, p) for k, p in enumerate(codes, 1))))
@@ -205,9 +207,12 @@ def ablated(c: Column) -> Column:
     def without_fragments(x: Column) -> Column:
         return F.when(_holds(x, R.FRAGMENTS), _kept_lines(x, lambda line: _holds(line, R.FRAGMENTS))).otherwise(x)
 
-    c = let(without_blocks(c), without_phrases)
-    c = normalize_chat(let(c, without_code))
-    return normalize_chat(let(c, without_fragments))
+    def settled(x: Column, change) -> Column:
+        """The changed text in normal form; ``x`` is in it already."""
+        return let(change(x), lambda y: F.when(y == x, x).otherwise(normalize_chat(y)))
+
+    stripped = let(without_blocks(c), lambda x: settled(x, lambda x: let(without_phrases(x), without_code)))
+    return let(stripped, lambda x: settled(x, without_fragments))
 
 
 def first_code(c: Column) -> Column:
