@@ -89,13 +89,16 @@ def placed_likeness(a: str, b: str) -> Column:
         # places may fall below 0 by a shift
         return F.transform(anchors, lambda y: F.shiftleft((y["pos"] + shift).cast("bigint"), 32).bitwiseOR(y["hash"]))
 
-    def chain(x: Column, h: Column) -> Column:
-        common = F.size(F.array_intersect(packed(x["a"], F.lit(0)), packed(x["b"], at(x["a"], h) - at(x["b"], h))))
-        return let(common, lambda n: n / (F.size(x["a"]) + F.size(x["b"]) - n))
-
     def index(x: Column) -> Column:
-        best = F.coalesce(F.array_max(F.transform(shared(x), lambda h: chain(x, h))), F.lit(0.0))
-        return F.when((F.size(x["a"]) == 0) & (F.size(x["b"]) == 0), F.lit(1.0)).otherwise(best)
+        # each value that a lambda uses for all elements is bound before it
+        def chained(own: Column) -> Column:
+            def chain(h: Column) -> Column:
+                common = let(at(x["a"], h) - at(x["b"], h), lambda shift: F.size(F.array_intersect(own, packed(x["b"], shift))))
+                return let(common, lambda n: n / (F.size(x["a"]) + F.size(x["b"]) - n))
+
+            return F.coalesce(F.array_max(F.transform(shared(x), chain)), F.lit(0.0))
+
+        return F.when((F.size(x["a"]) == 0) & (F.size(x["b"]) == 0), F.lit(1.0)).otherwise(let(packed(x["a"], F.lit(0)), chained))
 
     return let(whole, index)
 
